@@ -16,10 +16,15 @@ from broadsheet.functions.chunking import chunk_id, with_chunks
 def chunk_articles(
     articles: DataFrame, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP
 ) -> DataFrame:
-    """One row per chunk, numbered from 0 within its article, next to the article's columns."""
+    """One row per chunk, numbered from 0 within its article, next to the article's columns.
+
+    The outer form of explode, because for the inner one Spark adds a filter on the list's size
+    below, which would cut every text a second time.
+    """
     return (
         with_chunks(articles, text.index_text(), size=size, overlap=overlap)
-        .select(*articles.columns, F.posexplode("chunks").alias("chunk_index", "document"))
+        .select(*articles.columns, F.posexplode_outer("chunks").alias("chunk_index", "document"))
+        .filter(F.col("document").isNotNull())
         .withColumn("chunk_id", chunk_id("article_id", "chunk_index"))
     )
 

@@ -95,8 +95,8 @@ def chunk_estimate_stats(articles: DataFrame) -> DataFrame:
 
 def word_frequency(articles: DataFrame, n: int = 50) -> DataFrame:
     """The `n` most frequent words of the normalised texts."""
-    words = articles.select(
-        F.explode(text.tokens(text.normalise(text.full_text()))).alias("word")
+    words = articles.select(  # outer: an inner explode would normalise twice, to test for words
+        F.explode_outer(text.tokens(text.normalise(text.full_text()))).alias("word")
     )
     return (
         words.filter(text.keep_token("word"))

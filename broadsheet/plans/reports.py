@@ -16,8 +16,6 @@ from broadsheet.functions import text
 from broadsheet.operators.filters import preview
 from broadsheet.operators.sentiment import is_mismatch, mismatch_sample, with_sentiment
 
-_LONGEST = 50  # no section with a limit is longer
-
 
 def _entry(section: str, key: Column, value: Column, when: Column | None = None) -> Column:
     row = F.struct(
@@ -61,7 +59,7 @@ def _cut(
         allowed = F.when(section == name, n).otherwise(allowed)
     return (
         rows.withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= _LONGEST)
+        .filter(F.col("_n") <= max([1, *limits.values()]))  # a constant: cuts before the shuffle
         .filter(F.col("_n") <= allowed)
         .select("section", "key", "value", F.lit(None).cast("string").alias("detail"))
     )
@@ -178,8 +176,8 @@ def preprocessing_report(articles: DataFrame, words: int = 50, samples: int = 5)
         text.tokens("_normalised").alias("_words"),
         text.chunk_estimate(F.length("_normalised")).alias("_estimate"),
     )
-    per_word = split.select(
-        "_estimate", F.explode(F.concat("_words", F.array(F.lit(None).cast("string")))).alias("word")
+    per_word = split.select(  # outer: an inner explode would normalise twice, to test for words
+        "_estimate", F.explode_outer(F.concat("_words", F.array(F.lit(None).cast("string")))).alias("word")
     )
     estimate = F.when(F.col("word").isNull(), F.col("_estimate"))
     groups = (

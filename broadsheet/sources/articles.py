@@ -13,6 +13,7 @@ _CSV = {
     "header": True,
     "multiLine": True,
     "escape": '"',
+    "emptyValue": "",
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
 }
@@ -37,14 +38,15 @@ def read_articles_csv(
 ) -> DataFrame:
     """Articles from CSV with a header and quoted line breaks; every column is text.
 
-    A quoted file cannot be split, so the reading is as parallel as there are files.
+    CSV does not tell NULL from '': both come back as NULL. A file with quoted line breaks cannot
+    be split, so the reading is as parallel as there are files.
     """
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     return spark.read.schema(strings).options(**_CSV).csv(path)
 
 
 def write_articles_csv(articles: DataFrame, path: str) -> None:
-    """Articles as CSV; lists as JSON text. NULL is written as nothing, '' as two quotes."""
+    """Articles as CSV; lists as JSON text, NULL and '' both as an empty field."""
     flat = [
         text.keywords_json(f.name).alias(f.name)
         if isinstance(f.dataType, T.ArrayType)
