@@ -10,10 +10,15 @@ from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import vectors
+from broadsheet.operators.knn import rank_hits
+
+
+# So many queries at most are broadcast, with one vector and its buckets per hash table each.
+BROADCAST_QUERIES = 1000
 
 
 def _unit(embedding: Column) -> Column:
@@ -37,14 +42,18 @@ def _with_unit(rows: DataFrame) -> DataFrame:
     return rows.withColumn("unit", array_to_vector(_unit(F.col("embedding"))))
 
 
-def _bucketed(rows: DataFrame, model: BucketedRandomProjectionLSHModel, key: str) -> DataFrame:
-    """One row per hash table, with all the row's buckets beside it."""
-    hashed = model.transform(_with_unit(rows))
+def _buckets(rows: DataFrame, model: BucketedRandomProjectionLSHModel, key: str) -> DataFrame:
+    """The key, its unit vector and its bucket in every hash table."""
+    hashed = model.transform(_with_unit(rows.select(key, "embedding")))
     return hashed.select(
         key,
         vector_to_array("unit").alias(f"{key}_unit"),
         F.transform("hashes", lambda h: F.get(vector_to_array(h), 0)).alias(f"{key}_buckets"),
-    ).select("*", F.posexplode(f"{key}_buckets").alias("table", "bucket"))
+    )
+
+
+def _per_table(buckets: DataFrame, key: str) -> DataFrame:
+    return buckets.select("*", F.posexplode_outer(f"{key}_buckets").alias("table", "bucket"))
 
 
 def candidates(
@@ -53,10 +62,11 @@ def candidates(
     """Every (query, chunk) that shares a bucket, once, with its exact cosine.
 
     A pair that meets in several tables is kept in the first of them only, which the two lists of
-    buckets tell by themselves; no shuffle is needed to remove the others.
+    buckets tell by themselves; no shuffle is needed to remove the others. Few queries are
+    broadcast. Many meet the chunks in a join on the bucket that carries no vectors; those are
+    joined to the pairs that came out.
     """
-    left = _bucketed(queries.select("query_id", "embedding"), model, "query_id")
-    right = _bucketed(chunks.select("chunk_id", "embedding"), model, "chunk_id")
+    left, right = _buckets(queries, model, "query_id"), _buckets(chunks, model, "chunk_id")
     earlier = F.exists(
         F.zip_with(
             F.slice("query_id_buckets", F.lit(1), F.col("table")),
@@ -65,12 +75,20 @@ def candidates(
         ),
         lambda same: same,
     )
-    met = right.join(left, ["table", "bucket"]).filter(~earlier)
+    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        few = F.broadcast(_per_table(left, "query_id"))
+        pairs = _per_table(right, "chunk_id").join(few, ["table", "bucket"]).filter(~earlier)
+    else:
+        narrow = _per_table(right.drop("chunk_id_unit"), "chunk_id")
+        met = narrow.join(_per_table(left.drop("query_id_unit"), "query_id"), ["table", "bucket"])
+        pairs = (
+            met.filter(~earlier).select("query_id", "chunk_id")
+            .join(left.select("query_id", "query_id_unit"), "query_id")
+            .join(right.select("chunk_id", "chunk_id_unit"), "chunk_id")
+        )
     # The vectors are of unit length (or zero), so their dot product is the cosine.
-    return met.select(
-        "query_id", "chunk_id",
-        F.round(vectors.dot(F.col("query_id_unit"), F.col("chunk_id_unit")), 12).alias("cosine"),
-    )
+    similarity = vectors.dot(F.col("query_id_unit"), F.col("chunk_id_unit"))
+    return pairs.select("query_id", "chunk_id", F.round(similarity, 12).alias("cosine"))
 
 
 def ann_topk(
@@ -83,10 +101,4 @@ def ann_topk(
 ) -> DataFrame:
     """(query_id, chunk_id, rank, cosine, relevance) of the k best candidates per query."""
     model = fit_buckets(chunks, bucket_length, tables, seed)
-    order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "chunk_id")
-    return (
-        candidates(queries, chunks, model)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .withColumn("relevance", vectors.relevance(F.col("cosine")))
-    )
+    return rank_hits(candidates(queries, chunks, model), k)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every key, by an order column that is unique.
+    """The first row of every key by an order column; exactly one, whatever is delivered twice.
 
-    Only (key, order) is grouped, with partial minima before the shuffle, and the rows are then
-    picked by their unique order value; so a key that holds most of the rows stays cheap.
+    An aggregate instead of a window: every task first reduces its rows to one per key, so a key
+    that holds most of the rows is not collected in one task. Rows of equal order are told apart
+    by their other columns.
     """
-    first = rows.groupBy(key).agg(F.min(order).alias("_first")).select("_first")
-    return rows.join(first, rows[order] == first["_first"], "left_semi")
+    others = [c for c in rows.columns if c not in (key, order)]
+    first = rows.groupBy(key).agg(F.min(F.struct(order, *others)).alias("_first"))
+    return first.select(*[c if c == key else F.col("_first")[c].alias(c) for c in rows.columns])

@@ -38,21 +38,20 @@ def list_articles(
     offset: int = 0,
     category: str | None = None,
 ) -> DataFrame:
-    """One page of articles, newest first.
+    """One page of articles, newest first; articles without a time come last.
 
-    The time of the page's last row is found on narrow columns; the wide rows are then filtered by
-    it, which lets the scan skip the files and row groups of older articles.
+    The time of the page's last row is found on that column alone; the wide rows are then filtered
+    by it, which lets the scan skip the files and row groups of older articles.
     """
     if not 1 <= limit <= fixed.MAX_PAGE or offset < 0:
         raise ValueError(f"limit must be 1 to {fixed.MAX_PAGE} and offset not negative")
     rows = of_category(articles, category)
-    newest = rows.select("created_at").filter(F.col("created_at").isNotNull())
-    oldest = newest.orderBy(F.desc("created_at")).limit(offset + limit).agg(F.min("created_at"))
-    reached = newest.limit(offset + limit).agg(F.count(F.lit(1)))
-    # Pages beyond the dated articles reach those without a time, which come last.
-    within = (reached.scalar() < offset + limit) | (F.col("created_at") >= oldest.scalar())
+    newest = rows.select("created_at").orderBy(F.desc_nulls_last("created_at"))
+    oldest = newest.limit(offset + limit).agg(F.min("created_at")).scalar()
+    dated = rows.filter(F.col("created_at") >= oldest)
+    undated = rows.filter(F.col("created_at").isNull())
     return (
-        rows.filter(within)
+        dated.unionByName(undated)
         .orderBy(F.desc_nulls_last("created_at"), "article_id")
         .offset(offset)
         .limit(limit)

@@ -42,16 +42,20 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     executors as it is. Cosines are rounded to 12 digits: equal vectors then tie in every engine.
     """
 
-    def matrix(table, dim=None):
+    def matrix(table):
+        """The unit vectors of a table as rows; a missing vector is the zero vector."""
         import numpy as np
         import pyarrow.compute as pc
 
         column = table.column("embedding").combine_chunks()
         present = pc.is_valid(column).to_numpy(zero_copy_only=False)
-        values = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype="float64")
-        dim = dim or (len(values) // max(int(present.sum()), 1))
-        rows = np.zeros((len(column), dim))
-        rows[present] = values.reshape(-1, dim)
+        sizes = pc.unique(pc.list_value_length(column.drop_null())).to_pylist()
+        if len(sizes) > 1:
+            raise ValueError(f"vectors of different lengths: {sizes}")
+        rows = np.zeros((len(column), sizes[0] if sizes else 0))
+        if sizes:
+            values = np.asarray(column.flatten(), dtype="float64")
+            rows[present] = values.reshape(-1, sizes[0])
         lengths = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.where(lengths > 0, lengths, 1.0)
 
@@ -75,21 +79,25 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         ids = queries.column("query_id").to_numpy()
         wanted = np.array(queries.column("category").to_pylist(), dtype=object)
         free = np.array([c is None for c in wanted], dtype=bool)
-        vectors = matrix(queries)
         names = ["query_id", "chunk_id", "cosine"]
         types = [pa.int64(), pa.string(), pa.float64()]
         kept = pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         if not len(ids):
             return kept
+        vectors = matrix(queries)
         for table in tables:
             for start in range(0, len(table), 2048):
                 part = table.slice(start, 2048)
-                unit = matrix(part, vectors.shape[1])
+                unit = matrix(part)
+                known = vectors.shape[1] and unit.shape[1]  # else one side has no vector at all
                 category = np.array(part.column("category").to_pylist(), dtype=object)
                 found = [kept]
                 for block in range(0, len(ids), 256):
                     rows = slice(block, block + 256)
-                    cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
+                    if known:
+                        cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
+                    else:
+                        cosine = np.zeros((len(vectors[rows]), len(unit)))
                     allowed = free[rows, None] | (wanted[rows, None] == category[None, :])
                     cosine = np.where(allowed, cosine, -np.inf)
                     # Everything from the k-th best value on, so ties are decided by the id below.
@@ -182,7 +190,7 @@ def knn_topk(
         if wanted and None not in wanted:
             store = store.filter(F.col("category").isin(sorted(wanted)))
         local = _broadcast_topk(batch, store, k)
-    hits = _rank(local, k)
+    hits = rank_hits(local, k)
     if "top_k" in own:
         limits = queries.select(F.col("query_id").cast("long").alias("query_id"), "top_k")
         hits = hits.join(limits, "query_id").filter(
@@ -191,8 +199,8 @@ def knn_topk(
     return hits
 
 
-def _rank(local: DataFrame, k: int) -> DataFrame:
-    """Top k per query of what the tasks kept, merged in groups first.
+def rank_hits(local: DataFrame, k: int) -> DataFrame:
+    """Top k of (query_id, chunk_id, cosine) per query, merged in groups first.
 
     With very many tasks one query alone has k rows from each of them; no single task gets them all.
     """

@@ -33,9 +33,8 @@ def _rows(groups: DataFrame, *entries: Column) -> DataFrame:
 
 
 def _zeros(like: DataFrame, *rows: tuple[str, str]) -> DataFrame:
-    return like.sparkSession.createDataFrame(
-        [(section, key, 0.0) for section, key in rows], "section string, key string, value double"
-    )
+    zeros = F.array(*[_entry(section, F.lit(key), F.lit(0.0)) for section, key in rows])
+    return like.sparkSession.range(1).select(F.inline(zeros))
 
 
 def _cut(

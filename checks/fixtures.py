@@ -22,14 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores, if the scan has fewer splits than there are cores.
+
+    That is so for tables of a few MB per core only, such as the given ones, which have a single
+    row group each. A table that fills the cores is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def articles(
-    spark: SparkSession, sf_dir: str, labels: bool = False, times: bool = False, urls: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    labels: bool = False,
+    times: bool = False,
+    urls: bool = False,
+    heavy: bool = False,
 ) -> DataFrame:
     """Every document as an article, keyed by md5; what comes from other tables only if asked for.
 
-    `doc_id` is the landing order.
+    `doc_id` is the landing order. `heavy` is for work on the texts that needs all cores.
     """
     d = table(spark, sf_dir, "documents")
+    if heavy:
+        d = spread(d, "doc_id")
     slot = (F.col("doc_id") % N_SLOTS + 1).cast("int")
     a = d.select(
         "doc_id",
@@ -98,28 +115,40 @@ def given_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector as a chunk of article `vec_id div 5`, with the text of document `vec_id`."""
-    v = table(spark, sf_dir, "embeddings").withColumn(
-        "article_id", F.expr("vec_id div 5").cast("string")
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a chunk of article `vec_id div 5`; the columns that searches score."""
+    v = table(spark, sf_dir, "embeddings")
+    article = F.expr("vec_id div 5").cast("string")
+    return v.select(
+        "vec_id",
+        F.concat(article, F.lit("_chunk_"), F.col("vec_id") % 5).alias("chunk_id"),
+        article.alias("article_id"),
+        (F.col("vec_id") % 5).cast("int").alias("chunk_index"),
+        "embedding",
+        F.col("label").cast("string").alias("category"),
     )
+
+
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector store with the text of document `vec_id` and the columns of the article."""
     about = by_document(articles(spark, sf_dir, times=True, urls=True)).select(
         "article_id", "title", F.col("source_name").alias("source"), "published_at", "url"
     )
     texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("document")
     )
-    return v.join(about, "article_id").join(texts, "vec_id", "left").select(
-        F.concat("article_id", F.lit("_chunk_"), F.col("vec_id") % 5).alias("chunk_id"),
+    joined = vector_store(spark, sf_dir).join(about, "article_id").join(texts, "vec_id", "left")
+    return joined.select(
+        "chunk_id",
         "article_id",
-        (F.col("vec_id") % 5).cast("int").alias("chunk_index"),
+        "chunk_index",
         F.coalesce("document", F.lit("")).alias("document"),
         "title",
         "source",
         text.or_default("published_at", "").alias("published_at"),
         text.or_default("url", "").alias("url"),
         "embedding",
-        F.col("label").cast("string").alias("category"),
+        "category",
     )
 
 

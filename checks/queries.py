@@ -233,19 +233,19 @@ def avg_content_length(spark, sf):
 
 @query
 def chunk_estimates(spark, sf):
-    return counts.chunk_estimates(fx.articles(spark, sf)).select(
+    return counts.chunk_estimates(fx.articles(spark, sf, heavy=True)).select(
         "doc_id", F.col("text_length").cast("long").alias("text_length"), "estimated_chunks"
     )
 
 
 @query
 def chunk_estimate_stats(spark, sf):
-    return counts.chunk_estimate_stats(fx.articles(spark, sf))
+    return counts.chunk_estimate_stats(fx.articles(spark, sf, heavy=True))
 
 
 @query
 def word_frequency(spark, sf):
-    return counts.word_frequency(fx.articles(spark, sf))
+    return counts.word_frequency(fx.articles(spark, sf, heavy=True))
 
 
 @query
@@ -298,7 +298,7 @@ def ingest_counts(spark, sf):
 
 @query
 def vector_count(spark, sf):
-    return counts.vector_count(fx.chunk_store(spark, sf))
+    return counts.vector_count(fx.vector_store(spark, sf))
 
 
 @query
@@ -373,7 +373,7 @@ def article_ids(spark, sf):
 
 @query
 def lexicon_scores(spark, sf):
-    return sentiment.with_lexicon_scores(fx.articles(spark, sf), F.col("content")).select(
+    return sentiment.with_lexicon_scores(fx.articles(spark, sf, heavy=True), F.col("content")).select(
         "doc_id", "positive_score", "negative_score"
     )
 
@@ -381,7 +381,7 @@ def lexicon_scores(spark, sf):
 @query
 def sentiment_recalculated(spark, sf):
     """By title and description, and by the whole content, where all labels occur."""
-    rows = sentiment.with_sentiment(fx.articles(spark, sf))
+    rows = sentiment.with_sentiment(fx.articles(spark, sf, heavy=True))
     return sentiment.with_sentiment(rows, F.col("content"), into="content_sentiment").select(
         "doc_id", "recalculated_sentiment", "content_sentiment"
     )
@@ -396,20 +396,23 @@ def text_builders(spark, sf):
     )
 
 
+def _pages(spark, sf):
+    return fx.spread(fx.table(spark, sf, "pages"), "page_id")
+
+
 @query
 def strip_html(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("stripped"))
+    return _pages(spark, sf).select("page_id", text.strip_html("html").alias("stripped"))
 
 
 @query
 def strip_urls(spark, sf):
-    pages = fx.table(spark, sf, "pages")
-    return pages.select("page_id", text.strip_urls("html").alias("stripped"), text.strip_urls("url").alias("url"))
+    return _pages(spark, sf).select("page_id", text.strip_urls("html").alias("stripped"), text.strip_urls("url").alias("url"))
 
 
 @query
 def normalised_text(spark, sf):
-    return fx.table(spark, sf, "pages").select("page_id", text.normalise("html").alias("normalised"))
+    return _pages(spark, sf).select("page_id", text.normalise("html").alias("normalised"))
 
 
 @query
@@ -439,26 +442,26 @@ def zero_vector_relevance(spark, sf):
 
 @query
 def chunk_articles(spark, sf):
-    rows = fx.by_document(fx.articles(spark, sf))
+    rows = fx.by_document(fx.articles(spark, sf, heavy=True))
     return chunks.chunk_articles(rows).select("chunk_id", "article_id", "chunk_index", "document")
 
 
 @query
 def chunk_metadata(spark, sf):
-    rows = fx.by_document(fx.articles(spark, sf, times=True, urls=True))
+    rows = fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True))
     return chunks.chunk_metadata(chunks.chunk_articles(rows))
 
 
 @query
 def attach_vectors(spark, sf):
-    rows = chunks.chunk_articles(fx.by_document(fx.articles(spark, sf)))
+    rows = chunks.chunk_articles(fx.by_document(fx.articles(spark, sf, heavy=True)))
     joined = chunks.attach_vectors(rows, fx.given_vectors(spark, sf))
     return joined.select("chunk_id", "document", F.size("embedding").cast("long").alias("dim"))
 
 
 @query
 def vectorise_chunks(spark, sf):
-    rows = chunks.chunk_articles(fx.by_document(fx.articles(spark, sf)))
+    rows = chunks.chunk_articles(fx.by_document(fx.articles(spark, sf, heavy=True)))
     unit = chunks.vectorise(rows.select("chunk_id", "article_id", "document"))
     return unit.select("chunk_id", F.size("embedding").alias("dim"),
                        F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
@@ -470,7 +473,7 @@ def index_articles(spark, sf):
     tables.create_chunks(spark, path)
     given = fx.given_vectors(spark, sf)
     added = indexing.index_articles(
-        fx.by_document(fx.articles(spark, sf, times=True, urls=True)), path,
+        fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True)), path,
         lambda rows: chunks.attach_vectors_or_zero(rows, given, 64),
     )
     has_vector = vectors.norm(F.col("embedding")) > 0
@@ -486,18 +489,18 @@ def _hit_columns(found):
 
 @query
 def knn_topk(spark, sf):
-    return _hit_columns(knn.knn_topk(fx.topics(spark, sf), fx.chunk_store(spark, sf), 10))
+    return _hit_columns(knn.knn_topk(fx.topics(spark, sf), fx.vector_store(spark, sf), 10))
 
 
 @query
 def knn_topk_category(spark, sf):
     queries = fx.topics(spark, sf, own_category=True)
-    return _hit_columns(knn.knn_topk(queries, fx.chunk_store(spark, sf), 10))
+    return _hit_columns(knn.knn_topk(queries, fx.vector_store(spark, sf), 10))
 
 
 @query
 def ann_topk(spark, sf):
-    return _hit_columns(ann.ann_topk(fx.topics(spark, sf), fx.chunk_store(spark, sf), 10))
+    return _hit_columns(ann.ann_topk(fx.topics(spark, sf), fx.vector_store(spark, sf), 10))
 
 
 def _searched(spark, sf):
@@ -584,7 +587,7 @@ def sentiment_report(spark, sf):
 
 @query
 def preprocessing_report(spark, sf):
-    return reports.preprocessing_report(fx.articles(spark, sf))
+    return reports.preprocessing_report(fx.articles(spark, sf, heavy=True))
 
 
 # --- streaming ------------------------------------------------------------------------------

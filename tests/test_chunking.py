@@ -1,0 +1,113 @@
+"""The chunker on edge cases, against the recursive SQL, and its properties."""
+
+import random
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from broadsheet.functions.chunking import tiles, with_chunks
+from broadsheet.operators.chunks import chunk_articles, chunk_metadata
+from checks.oracles import _chunks
+
+
+def chunk(spark, texts, **sizes):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.chunks for r in with_chunks(rows, F.col("t"), **sizes).orderBy("i").collect()]
+
+
+def control(texts):
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE texts (key VARCHAR, t VARCHAR)")
+    connection.executemany("INSERT INTO texts VALUES (?, ?)", [(str(i), t) for i, t in enumerate(texts)])
+    rows = connection.execute(
+        f"WITH RECURSIVE {_chunks('texts')} SELECT key, document FROM chunks ORDER BY key, chunk_index"
+    ).fetchall()
+    return [[d for k, d in rows if k == str(i)] for i in range(len(texts))]
+
+
+def prose(length, seed, breaks=".\n"):
+    rng = random.Random(seed)
+    letters = "abcdefg hij  é😀" + breaks
+    return "".join(rng.choice(letters) for _ in range(length))
+
+
+LENGTHS = (0, 1, 99, 100, 101, 449, 450, 451, 480, 499, 500, 501, 900, 901, 949, 950, 951, 5000)
+
+
+def test_lengths(spark):
+    texts = [prose(n, n) for n in LENGTHS] + ["x" * n for n in LENGTHS] + ["." * n for n in LENGTHS]
+    assert chunk(spark, texts) == control(texts)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rare_breaks(spark, seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(40):
+        body = ["x"] * rng.randrange(100, 4000)
+        for _ in range(rng.randrange(0, 12)):
+            body[rng.randrange(len(body))] = rng.choice([".", "\n", " ", "\t"])
+        texts.append("".join(body))
+    assert chunk(spark, texts) == control(texts)
+
+
+def test_cut_only_beyond_thirty_percent(spark):
+    def text(at):
+        return "x" * at + "." + "y" * (600 - at - 1)
+
+    assert len(chunk(spark, [text(150)])[0][0]) == 500
+    assert chunk(spark, [text(151)])[0][0] == "x" * 151 + "."
+
+
+def test_last_of_both_breaks_wins(spark):
+    text = "x" * 200 + "." + "x" * 100 + "\n" + "x" * 400
+    assert len(chunk(spark, [text])[0][0]) == 301  # the newline itself is stripped
+
+
+def test_short_texts_are_kept_as_they_are(spark):
+    assert chunk(spark, [" short \n", "", None, " " * 99, " " * 100]) == [
+        [" short \n"], [], [], [" " * 99], []
+    ]
+
+
+def test_strips_all_whitespace(spark):
+    text = " \t\x1c" + "a" * 120 + "\xa0\n"
+    assert chunk(spark, [text]) == [["a" * 120]]
+
+
+def test_tail(spark):
+    assert [len(c) for c in chunk(spark, ["x" * 480])[0]] == [480, 30]
+    assert [len(c) for c in chunk(spark, ["x" * 450])[0]] == [450]
+
+
+def test_tiles_cover_the_text(spark):
+    texts = [prose(n, n) for n in range(100, 3000, 97)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    joined = rows.select("t", F.array_join(tiles(F.col("t")), "").alias("j")).collect()
+    assert all(r.t == r.j for r in joined)
+
+
+def test_windows_overlap(spark):
+    for pieces in chunk(spark, ["x" * 151 + "".join(f"{i:06d}" for i in range(500))]):
+        assert all(len(p) <= 500 for p in pieces)
+        assert all(a.endswith(b[:50]) for a, b in zip(pieces, pieces[1:]))
+
+
+def test_other_sizes_and_refused_overlap(spark):
+    pieces = chunk(spark, ["x" * 1000], size=200, overlap=20)[0]
+    assert [len(p) for p in pieces] == [200, 200, 200, 200, 200, 100]
+    with pytest.raises(ValueError):
+        chunk(spark, ["x"], size=500, overlap=100)
+
+
+def test_rows_and_metadata(spark):
+    rows = spark.createDataFrame(
+        [("a1", "T" * 600, None, None, None, "", None, ""), ("a2", "", "", "", "s", "c", "p", "u")],
+        "article_id string, title string, description string, content string, source_name string,"
+        " category string, published_at string, url string",
+    )
+    got = chunk_metadata(chunk_articles(rows)).orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in got] == ["a1_chunk_0", "a1_chunk_1", "a2_chunk_0"]
+    assert (got[0].source, got[0].category, got[0].published_at, got[0].url) == ("unknown", "general", "", "")
+    assert (got[2].source, got[2].category, got[2].document) == ("s", "c", ". . ")
