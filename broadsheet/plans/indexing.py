@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.operators.chunks import chunk_articles, chunk_metadata, vectorise
-from broadsheet.sources.tables import insert_new_chunks
+from broadsheet.sources.tables import insert_new_chunks, read_chunks
 
 Vectoriser = Callable[[DataFrame], DataFrame]
 
@@ -19,14 +19,18 @@ def chunks_of(articles: DataFrame, vectoriser: Vectoriser = vectorise) -> DataFr
 
 
 def index_articles(
-    articles: DataFrame, chunk_table: str, vectoriser: Vectoriser = vectorise
+    articles: DataFrame,
+    chunk_table: str,
+    vectoriser: Vectoriser = vectorise,
+    load_id: str | None = None,
 ) -> DataFrame:
-    """Store the chunks of the articles that are not stored yet; returns the added chunks."""
-    return insert_new_chunks(chunks_of(articles, vectoriser), chunk_table, articles)
+    """Store the chunks of the articles that are not stored yet; returns what the load added."""
+    load_id = insert_new_chunks(chunks_of(articles, vectoriser), chunk_table, articles, load_id)
+    return read_chunks(articles.sparkSession, chunk_table, load_id)
 
 
 def indexed_articles(added: DataFrame) -> DataFrame:
-    """How many articles got a new chunk."""
+    """How many articles got a new chunk, and how many chunks that were."""
     by_article = added.groupBy("article_id").agg(F.count(F.lit(1)).alias("chunks"))
     return by_article.agg(
         F.count(F.lit(1)).alias("indexed"),

@@ -20,9 +20,10 @@ ARTICLE = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
-# The stored table carries the load that wrote a row, as its partition column: a load that is
-# tried again finds exactly its own rows without reading the rest of the table.
-STORED_ARTICLE = T.StructType([*ARTICLE.fields, T.StructField("load_id", T.StringType())])
+# Stored tables carry the load that wrote a row, as a partition column: what a load has added, in
+# all its tries, is read back from its own folders without touching the rest of the table.
+LOAD = T.StructField("load_id", T.StringType())
+STORED_ARTICLE = T.StructType([*ARTICLE.fields, LOAD])
 
 PAYLOAD_ITEM = T.StructType([
     T.StructField("title", T.StringType()),
@@ -60,6 +61,8 @@ CHUNK = T.StructType([
     T.StructField("category", T.StringType()),
 ])
 
+STORED_CHUNK = T.StructType([*CHUNK.fields, LOAD])
+
 QUERY = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("query", T.StringType()),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", name: str = "broadsheet") -> SparkSession:
@@ -37,9 +37,3 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder once, so later steps all see the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -1,4 +1,4 @@
-"""Reading and writing the articles table as Parquet and CSV."""
+"""Articles as a named view and as CSV."""
 
 from __future__ import annotations
 
@@ -19,14 +19,6 @@ _CSV = {
 }
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """The articles table, without the column that tells the loads apart."""
-    return (
-        spark.read.schema(schemas.STORED_ARTICLE).parquet(path)
-        .select(*schemas.ARTICLE.fieldNames())
-    )
-
-
 def register(articles: DataFrame, name: str = "articles") -> DataFrame:
     """Make the articles available to SQL text under `name`."""
     articles.createOrReplaceTempView(name)

@@ -1,4 +1,8 @@
-"""Stored tables that only ever gain rows that are not there yet."""
+"""Stored tables that only ever gain rows that are not there yet.
+
+A load writes its new rows straight from the plan that found them, and whoever needs to know what
+it added reads the load's folders. One writer per table is assumed.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +14,12 @@ from pyspark.sql import types as T
 
 from broadsheet import schemas
 from broadsheet.operators.dedupe import dedupe_first
-from broadsheet.session import settle
 
 
-def create_table(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> None:
+def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> None:
     """An empty table at `path`, unless there is one."""
     empty = spark.createDataFrame([], schema)
-    empty.write.mode("ignore").partitionBy(partition).parquet(path)
+    empty.write.mode("ignore").partitionBy(*partitions).parquet(path)
 
 
 def create_articles(spark: SparkSession, path: str) -> None:
@@ -24,12 +27,27 @@ def create_articles(spark: SparkSession, path: str) -> None:
 
 
 def create_chunks(spark: SparkSession, path: str) -> None:
-    create_table(spark, path, schemas.CHUNK, "category")
+    create_table(spark, path, schemas.STORED_CHUNK, "category", "load_id")
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A table by its schema, so partition values that look like numbers stay text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def _of_load(stored: DataFrame, load_id: str | None) -> DataFrame:
+    rows = stored if load_id is None else stored.filter(F.col("load_id") == load_id)
+    return rows.drop("load_id")
+
 
+def read_articles(spark: SparkSession, path: str, load_id: str | None = None) -> DataFrame:
+    """The stored articles, or those that one load has added."""
+    return _of_load(_stored(spark, path, schemas.STORED_ARTICLE), load_id)
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunk table; its schema is given, so categories that look like numbers stay text."""
-    return spark.read.schema(schemas.CHUNK).parquet(path)
+
+def read_chunks(spark: SparkSession, path: str, load_id: str | None = None) -> DataFrame:
+    """The stored chunks, or those that one load has added."""
+    return _of_load(_stored(spark, path, schemas.STORED_CHUNK), load_id)
 
 
 def stored_keys(stored: DataFrame, load: DataFrame, key: str, by: str) -> DataFrame:
@@ -41,42 +59,41 @@ def stored_keys(stored: DataFrame, load: DataFrame, key: str, by: str) -> DataFr
     return stored.join(load.select(by), by, "left_semi").select(key)
 
 
-def insert_new(
-    articles: DataFrame, path: str, order: str, load_id: str | None = None
-) -> tuple[str, int]:
-    """Add the articles whose id is not stored, the first of each id; (load id, rows added).
+def insert_new(articles: DataFrame, path: str, order: str, load_id: str | None = None) -> str:
+    """Add the articles whose id is not stored, the first of each id; returns the load id.
 
     A load that is tried again under its `load_id` adds what an earlier try did not.
     """
-    spark = articles.sparkSession
     load_id = load_id or uuid.uuid4().hex
-    stored = spark.read.schema(schemas.STORED_ARTICLE).parquet(path)
+    stored = _stored(articles.sparkSession, path, schemas.STORED_ARTICLE)
+    known = stored_keys(stored, articles, key="article_id", by="article_id")
     stamped = (
         dedupe_first(articles, "article_id", order)
         .withColumn("created_at", F.current_timestamp())
         .withColumn("load_id", F.lit(load_id))
     )
-    known = stored_keys(stored, articles, key="article_id", by="article_id")
-    fresh = settle(
-        stamped.join(known, "article_id", "left_anti").select(*schemas.STORED_ARTICLE.fieldNames())
+    fresh = stamped.join(known, "article_id", "left_anti")
+    (
+        fresh.select(*schemas.STORED_ARTICLE.fieldNames())
+        .write.mode("append").partitionBy("load_id").parquet(path)
     )
-    fresh.write.mode("append").partitionBy("load_id").parquet(path)
-    return load_id, fresh.count()
+    return load_id
 
 
-def load_of(spark: SparkSession, path: str, load_id: str) -> DataFrame:
-    """The stored articles of one load; reads that load's folder only."""
-    stored = spark.read.schema(schemas.STORED_ARTICLE).parquet(path)
-    return stored.filter(F.col("load_id") == load_id).select(*schemas.ARTICLE.fieldNames())
+def insert_new_chunks(
+    chunks: DataFrame, path: str, articles: DataFrame, load_id: str | None = None
+) -> str:
+    """Add the chunks of `articles` whose id is not stored; returns the load id.
 
-
-def insert_new_chunks(chunks: DataFrame, path: str, articles: DataFrame) -> DataFrame:
-    """Add the chunks of `articles` whose id is not stored; returns the rows that were added."""
-    stored = read_chunks(chunks.sparkSession, path)
+    The rows are spread evenly over the files of each category; a category that holds most of
+    them is written by several tasks.
+    """
+    load_id = load_id or uuid.uuid4().hex
+    stored = _stored(chunks.sparkSession, path, schemas.STORED_CHUNK)
     known = stored_keys(stored, articles, key="chunk_id", by="article_id")
-    fresh = settle(
-        chunks.join(known, "chunk_id", "left_anti").select(*schemas.CHUNK.fieldNames())
+    fresh = chunks.join(known, "chunk_id", "left_anti").withColumn("load_id", F.lit(load_id))
+    (
+        fresh.select(*schemas.STORED_CHUNK.fieldNames()).hint("rebalance", "category")
+        .write.mode("append").partitionBy("category", "load_id").parquet(path)
     )
-    # Files per category of an even size; a large category is spread over several tasks.
-    fresh.hint("rebalance", "category").write.mode("append").partitionBy("category").parquet(path)
-    return fresh
+    return load_id

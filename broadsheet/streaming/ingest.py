@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.operators.chunks import hashed_vectors
-from broadsheet.plans.indexing import Vectoriser, index_articles
+from broadsheet.operators.counts import total
+from broadsheet.plans.indexing import Vectoriser, index_articles, indexed_articles
 from broadsheet.sources import payloads
-from broadsheet.sources.tables import create_articles, create_chunks, insert_new, load_of
+from broadsheet.sources.tables import (
+    create_articles,
+    create_chunks,
+    insert_new,
+    read_articles,
+    read_chunks,
+)
 
 
 def load_batch(
@@ -19,19 +27,38 @@ def load_batch(
     load_id: str | None = None,
     chunk_table: str | None = None,
     vectoriser: Vectoriser = hashed_vectors,
-) -> DataFrame | None:
+) -> str:
     """Store the new articles of some landed answers and, if asked to, their chunks.
 
     What is indexed is read back from the table by load, not taken from the insert: a try that
-    stored the articles and then failed is made good by the next try under the same load id. The
-    chunks that were added are returned.
+    stored the articles and then failed is made good by the next try under the same load id.
     """
-    articles = payloads.parse_payloads(landed)
-    load_id, _ = insert_new(articles, article_table, payloads.LANDED, load_id)
-    if chunk_table is None:
-        return None
-    stored = load_of(landed.sparkSession, article_table, load_id)
-    return index_articles(stored, chunk_table, vectoriser)
+    articles = payloads.parse_payloads(landed).persist()  # for its keys and for its rows
+    try:
+        load_id = insert_new(articles, article_table, payloads.LANDED, load_id)
+    finally:
+        articles.unpersist()
+    if chunk_table is not None:
+        added = read_articles(landed.sparkSession, article_table, load_id)
+        index_articles(added, chunk_table, vectoriser, load_id)
+    return load_id
+
+
+def ingest_counts(
+    landed: DataFrame, article_table: str, chunk_table: str, load_id: str
+) -> DataFrame:
+    """Counters of a load: (counter, n) for articles fetched, inserted and indexed, and chunks."""
+    spark = landed.sparkSession
+    indexed = indexed_articles(read_chunks(spark, chunk_table, load_id))
+    counters = {
+        "fetched": total(payloads.parse_payloads(landed), "n"),
+        "new_inserted": total(read_articles(spark, article_table, load_id), "n"),
+        "indexed": indexed.select(F.col("indexed").alias("n")),
+        "new_chunks": indexed.select(F.col("new_chunks").alias("n")),
+    }
+    return payloads.union_batches(*[
+        c.select(F.lit(name).alias("counter"), "n") for name, c in counters.items()
+    ])
 
 
 def ingest_stream(

@@ -86,14 +86,14 @@ def articles(
     return a
 
 
-def full_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return articles(spark, sf_dir, labels=True, times=True, urls=True)
+def full_articles(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    return articles(spark, sf_dir, labels=True, times=True, urls=True, heavy=heavy)
 
 
 def reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles that have a label: what an earlier load has stored."""
     known = table(spark, sf_dir, "labels").select("doc_id")
-    return full_articles(spark, sf_dir).join(known, "doc_id", "left_semi")
+    return full_articles(spark, sf_dir, heavy=True).join(known, "doc_id", "left_semi")
 
 
 def first_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +169,7 @@ def payloads(spark: SparkSession, sf_dir: str, only_reviewed: bool = False) -> D
 
     Toxic documents stand for failed fetches; documents in German deliver no source name.
     """
-    a = reviewed(spark, sf_dir) if only_reviewed else full_articles(spark, sf_dir)
+    a = reviewed(spark, sf_dir) if only_reviewed else full_articles(spark, sf_dir, heavy=True)
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
 
     def item(sentence: int):

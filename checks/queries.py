@@ -46,7 +46,7 @@ def scan_articles(spark, sf):
 
 
 def _csv(spark, sf):
-    rows = fx.full_articles(spark, sf).select(*schemas.ARTICLE.fieldNames())
+    rows = fx.full_articles(spark, sf, heavy=True).select(*schemas.ARTICLE.fieldNames())
     path = fresh_path(spark, "articles-csv")
     article_files.write_articles_csv(rows, path)
     return article_files.read_articles_csv(spark, path)
@@ -79,7 +79,7 @@ def _two_loads(spark, sf):
     path = fresh_path(spark, "articles")
     tables.create_articles(spark, path)
     tables.insert_new(fx.reviewed(spark, sf), path, "doc_id", "1-reviewed")
-    tables.insert_new(fx.full_articles(spark, sf), path, "doc_id", "2-all")
+    tables.insert_new(fx.full_articles(spark, sf, heavy=True), path, "doc_id", "2-all")
     return path
 
 
@@ -97,7 +97,7 @@ def _zero_vectors(rows):
 def insert_new_chunks(spark, sf):
     path = fresh_path(spark, "chunks")
     tables.create_chunks(spark, path)
-    for load in (fx.reviewed(spark, sf), fx.full_articles(spark, sf)):
+    for load in (fx.reviewed(spark, sf), fx.full_articles(spark, sf, heavy=True)):
         first = dedupe.dedupe_first(load, "article_id", "doc_id")
         new = indexing.chunks_of(first, _zero_vectors)
         tables.insert_new_chunks(new, path, first)
@@ -108,7 +108,7 @@ def insert_new_chunks(spark, sf):
 @query
 def report_json(spark, sf):
     path = fresh_path(spark, "report")
-    report = reports.sentiment_report(fx.articles(spark, sf, labels=True))
+    report = reports.sentiment_report(fx.articles(spark, sf, labels=True, heavy=True))
     report_files.write_report(report, path)
     return spark.read.schema(report.schema).json(path)
 
@@ -155,7 +155,7 @@ def lookup_article(spark, sf):
 
 @query
 def sentiment_mismatch_rows(spark, sf):
-    return sentiment.mismatches(fx.articles(spark, sf, labels=True)).select(
+    return sentiment.mismatches(fx.articles(spark, sf, labels=True, heavy=True)).select(
         "doc_id", "sentiment", "recalculated_sentiment"
     )
 
@@ -181,7 +181,7 @@ def normalised_preview(spark, sf):
 
 @query
 def sentiment_mismatch_sample(spark, sf):
-    return sentiment.mismatch_sample(fx.articles(spark, sf, labels=True))
+    return sentiment.mismatch_sample(fx.articles(spark, sf, labels=True, heavy=True))
 
 
 # --- aggregations ---------------------------------------------------------------------------
@@ -250,23 +250,23 @@ def word_frequency(spark, sf):
 
 @query
 def sentiment_recalc_distribution(spark, sf):
-    return sentiment.recalculated_distribution(fx.articles(spark, sf))
+    return sentiment.recalculated_distribution(fx.articles(spark, sf, heavy=True))
 
 
 @query
 def sentiment_mismatch_rate(spark, sf):
-    return sentiment.mismatch_rate(fx.articles(spark, sf, labels=True))
+    return sentiment.mismatch_rate(fx.articles(spark, sf, labels=True, heavy=True))
 
 
 @query
 def category_sentiment(spark, sf):
-    return sentiment.category_sentiment(fx.articles(spark, sf))
+    return sentiment.category_sentiment(fx.articles(spark, sf, heavy=True))
 
 
 @query
 def category_sentiment_pivot(spark, sf):
     """The nested map per category and the same numbers as columns, side by side."""
-    rows = fx.articles(spark, sf)
+    rows = fx.articles(spark, sf, heavy=True)
     nested = sentiment.category_sentiment_map(rows).select(
         "category", F.to_json("sentiments").alias("sentiments")
     )
@@ -279,21 +279,11 @@ def ingest_counts(spark, sf):
     articles_path, chunks_path = fresh_path(spark, "articles"), fresh_path(spark, "chunks")
     tables.create_articles(spark, articles_path)
     tables.create_chunks(spark, chunks_path)
-    answers = None
     for load, only_reviewed in (("1-reviewed", True), ("2-all", False)):
         folder = fx.land(fx.payloads(spark, sf, only_reviewed))
         answers = landed.read_payloads(spark, folder)
-        added = ingest.load_batch(answers, articles_path, load, chunks_path)
-    inserted = tables.load_of(spark, articles_path, "2-all")
-    counters = {
-        "fetched": counts.total(landed.parse_payloads(answers), "n"),
-        "new_inserted": counts.total(inserted, "n"),
-        "indexed": indexing.indexed_articles(added).select(F.col("indexed").alias("n")),
-        "new_chunks": indexing.indexed_articles(added).select(F.col("new_chunks").alias("n")),
-    }
-    return landed.union_batches(*[
-        c.select(F.lit(name).alias("counter"), "n") for name, c in counters.items()
-    ])
+        ingest.load_batch(answers, articles_path, load, chunks_path)
+    return ingest.ingest_counts(answers, articles_path, chunks_path, "2-all")
 
 
 @query
@@ -582,7 +572,7 @@ def overview_report(spark, sf):
 
 @query
 def sentiment_report(spark, sf):
-    return reports.sentiment_report(fx.articles(spark, sf, labels=True))
+    return reports.sentiment_report(fx.articles(spark, sf, labels=True, heavy=True))
 
 
 @query
@@ -608,7 +598,7 @@ def _streamed(spark, sf, with_chunks):
 @query
 def stream_ingest(spark, sf):
     path, _ = _streamed(spark, sf, with_chunks=False)
-    return article_files.read_articles(spark, path).select(*_SHORT, "published_at", "url")
+    return tables.read_articles(spark, path).select(*_SHORT, "published_at", "url")
 
 
 @query
