@@ -8,23 +8,25 @@ tables.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+from pyspark.ml.feature import (
+    BucketedRandomProjectionLSH,
+    BucketedRandomProjectionLSHModel,
+    Normalizer,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import vectors
-from broadsheet.operators.knn import rank_hits
+from broadsheet.operators.knn import broadcast_topk, rank_hits, small_batch
 
 
-# So many queries at most are broadcast, with one vector and its buckets per hash table each.
-BROADCAST_QUERIES = 1000
-
-
-def _unit(embedding: Column) -> Column:
-    v = embedding.cast("array<double>")
-    length = vectors.norm(v)
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+def _with_unit(rows: DataFrame) -> DataFrame:
+    """Add the vector at length 1; rows without a vector have no bucket and drop out."""
+    raw = rows.filter(F.col("embedding").isNotNull()).withColumn(
+        "_raw", array_to_vector(F.col("embedding").cast("array<double>"))
+    )
+    return Normalizer(inputCol="_raw", outputCol="unit").transform(raw).drop("_raw")
 
 
 def fit_buckets(
@@ -35,38 +37,30 @@ def fit_buckets(
         inputCol="unit", outputCol="hashes", bucketLength=bucket_length,
         numHashTables=tables, seed=seed,
     )
-    return lsh.fit(_with_unit(chunks.select("embedding")).select("unit"))
-
-
-def _with_unit(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("unit", array_to_vector(_unit(F.col("embedding"))))
+    return lsh.fit(_with_unit(chunks.select("embedding")))
 
 
-def _buckets(rows: DataFrame, model: BucketedRandomProjectionLSHModel, key: str) -> DataFrame:
-    """The key, its unit vector and its bucket in every hash table."""
-    hashed = model.transform(_with_unit(rows.select(key, "embedding")))
+def with_buckets(rows: DataFrame, model: BucketedRandomProjectionLSHModel) -> DataFrame:
+    """Add the list of a row's buckets, one per hash table; can be stored with a chunk table."""
+    hashed = model.transform(_with_unit(rows))
     return hashed.select(
-        key,
-        vector_to_array("unit").alias(f"{key}_unit"),
-        F.transform("hashes", lambda h: F.get(vector_to_array(h), 0)).alias(f"{key}_buckets"),
+        *rows.columns,
+        F.transform("hashes", lambda h: F.get(vector_to_array(h), 0)).alias("buckets"),
     )
 
 
-def _per_table(buckets: DataFrame, key: str) -> DataFrame:
-    return buckets.select("*", F.posexplode_outer(f"{key}_buckets").alias("table", "bucket"))
+def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every (query_id, chunk_id) that shares a bucket, once; both sides have `buckets`.
 
+    The join on (table, bucket) carries no vectors. A pair that meets in several tables is kept in
+    the first of them only, which the two lists of buckets tell by themselves; so no shuffle is
+    needed to remove the others.
+    """
 
-def candidates(
-    queries: DataFrame, chunks: DataFrame, model: BucketedRandomProjectionLSHModel
-) -> DataFrame:
-    """Every (query, chunk) that shares a bucket, once, with its exact cosine.
+    def per_table(rows: DataFrame, key: str) -> DataFrame:
+        named = rows.select(key, F.col("buckets").alias(f"{key}_buckets"))
+        return named.select("*", F.posexplode_outer(f"{key}_buckets").alias("table", "bucket"))
 
-    A pair that meets in several tables is kept in the first of them only, which the two lists of
-    buckets tell by themselves; no shuffle is needed to remove the others. Few queries are
-    broadcast. Many meet the chunks in a join on the bucket that carries no vectors; those are
-    joined to the pairs that came out.
-    """
-    left, right = _buckets(queries, model, "query_id"), _buckets(chunks, model, "chunk_id")
     earlier = F.exists(
         F.zip_with(
             F.slice("query_id_buckets", F.lit(1), F.col("table")),
@@ -75,20 +69,17 @@ def candidates(
         ),
         lambda same: same,
     )
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        few = F.broadcast(_per_table(left, "query_id"))
-        pairs = _per_table(right, "chunk_id").join(few, ["table", "bucket"]).filter(~earlier)
-    else:
-        narrow = _per_table(right.drop("chunk_id_unit"), "chunk_id")
-        met = narrow.join(_per_table(left.drop("query_id_unit"), "query_id"), ["table", "bucket"])
-        pairs = (
-            met.filter(~earlier).select("query_id", "chunk_id")
-            .join(left.select("query_id", "query_id_unit"), "query_id")
-            .join(right.select("chunk_id", "chunk_id_unit"), "chunk_id")
-        )
-    # The vectors are of unit length (or zero), so their dot product is the cosine.
-    similarity = vectors.dot(F.col("query_id_unit"), F.col("chunk_id_unit"))
-    return pairs.select("query_id", "chunk_id", F.round(similarity, 12).alias("cosine"))
+    met = per_table(chunks, "chunk_id").join(per_table(queries, "query_id"), ["table", "bucket"])
+    return met.filter(~earlier).select("query_id", "chunk_id")
+
+
+def _scored(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """All candidates with their exact cosine."""
+    left = _with_unit(queries).select("query_id", vector_to_array("unit").alias("q"))
+    right = _with_unit(chunks).select("chunk_id", vector_to_array("unit").alias("v"))
+    pairs = candidates(queries, chunks).join(left, "query_id").join(right, "chunk_id")
+    similarity = F.round(vectors.dot(F.col("q"), F.col("v")), 12)
+    return pairs.select("query_id", "chunk_id", similarity.alias("cosine"))
 
 
 def ann_topk(
@@ -99,6 +90,19 @@ def ann_topk(
     tables: int = 8,
     seed: int = 42,
 ) -> DataFrame:
-    """(query_id, chunk_id, rank, cosine, relevance) of the k best candidates per query."""
+    """(query_id, chunk_id, rank, cosine, relevance) of the k best candidates per query.
+
+    A batch of queries small enough is sent to the tasks with its buckets, and no pair becomes a
+    row; a larger one meets the chunks in a join.
+    """
     model = fit_buckets(chunks, bucket_length, tables, seed)
-    return rank_hits(candidates(queries, chunks, model), k)
+    asked = with_buckets(queries.select("query_id", "embedding"), model)
+    store = with_buckets(chunks.select("chunk_id", "embedding"), model)
+    anything = F.lit(None).cast("string").alias("category")
+    batch = small_batch(asked.select(
+        F.col("query_id").cast("long").alias("query_id"),
+        anything, F.col("embedding").cast("array<double>").alias("embedding"), "buckets",
+    ))
+    if batch is None:
+        return rank_hits(_scored(asked, store), k)
+    return rank_hits(broadcast_topk(batch, store.select("*", anything), k), k)

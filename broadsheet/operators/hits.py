@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text
+from broadsheet.session import broadcast_if_few
 
 
 def with_chunk_columns(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -35,8 +36,14 @@ def numbered(hits: DataFrame, into: str = "source_no") -> DataFrame:
 
 
 def enrich_hits(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """Hits with the columns of their article; the chunk's own columns where it is not stored."""
-    a, h = articles.alias("a"), hits.alias("h")
+    """Hits with the columns of their article; the chunk's own columns where it is not stored.
+
+    The articles are first cut down to those of the hits, whose ids are few and broadcast: an
+    outer join alone would shuffle the whole table. `hits` is read twice, so settle it before.
+    """
+    ids = broadcast_if_few(hits.select("article_id"))
+    a = articles.join(ids, "article_id", "left_semi").alias("a")
+    h = hits.alias("h")
     joined = h.join(a, F.col("h.article_id") == F.col("a.article_id"), "left")
     stored = F.col("a.article_id").isNotNull()
 

@@ -38,24 +38,30 @@ _HIT = T.StructType([
 def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     """The work of one task: top k of its chunks for every query, by (cosine, chunk id).
 
-    Defined as a closure that needs nothing but numpy and pyarrow, so it is shipped to the
-    executors as it is. Cosines are rounded to 12 digits: equal vectors then tie in every engine.
+    Tables with a column `buckets` score only pairs that share a bucket at any position. Defined as
+    a closure that needs nothing but numpy and pyarrow, so it is shipped to the executors as it is.
+    Cosines are rounded to 12 digits: equal vectors then tie in every engine.
     """
 
-    def matrix(table):
-        """The unit vectors of a table as rows; a missing vector is the zero vector."""
+    def matrix(table, name):
+        """A column of lists as the rows of a matrix; a missing list is a row of zeros."""
         import numpy as np
         import pyarrow.compute as pc
 
-        column = table.column("embedding").combine_chunks()
+        column = table.column(name).combine_chunks()
         present = pc.is_valid(column).to_numpy(zero_copy_only=False)
         sizes = pc.unique(pc.list_value_length(column.drop_null())).to_pylist()
         if len(sizes) > 1:
-            raise ValueError(f"vectors of different lengths: {sizes}")
+            raise ValueError(f"{name} of different lengths: {sizes}")
         rows = np.zeros((len(column), sizes[0] if sizes else 0))
         if sizes:
             values = np.asarray(column.flatten(), dtype="float64")
             rows[present] = values.reshape(-1, sizes[0])
+        return rows
+
+    def unit_length(rows):
+        import numpy as np
+
         lengths = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.where(lengths > 0, lengths, 1.0)
 
@@ -79,26 +85,32 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         ids = queries.column("query_id").to_numpy()
         wanted = np.array(queries.column("category").to_pylist(), dtype=object)
         free = np.array([c is None for c in wanted], dtype=bool)
+        hashed = "buckets" in queries.column_names
         names = ["query_id", "chunk_id", "cosine"]
         types = [pa.int64(), pa.string(), pa.float64()]
         kept = pa.table({n: pa.array([], t) for n, t in zip(names, types)})
         if not len(ids):
             return kept
-        vectors = matrix(queries)
+        vectors = unit_length(matrix(queries, "embedding"))
+        query_buckets = matrix(queries, "buckets") if hashed else None
         for table in tables:
             for start in range(0, len(table), 2048):
                 part = table.slice(start, 2048)
-                unit = matrix(part)
-                known = vectors.shape[1] and unit.shape[1]  # else one side has no vector at all
                 category = np.array(part.column("category").to_pylist(), dtype=object)
+                chunk_buckets = matrix(part, "buckets") if hashed else None
+                unit = unit_length(matrix(part, "embedding"))
+                known = vectors.shape[1] and unit.shape[1]  # else one side has no vector at all
                 found = [kept]
                 for block in range(0, len(ids), 256):
                     rows = slice(block, block + 256)
+                    allowed = free[rows, None] | (wanted[rows, None] == category[None, :])
+                    if hashed:
+                        same = query_buckets[rows, None, :] == chunk_buckets[None, :, :]
+                        allowed &= same.any(axis=2)
                     if known:
                         cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
                     else:
-                        cosine = np.zeros((len(vectors[rows]), len(unit)))
-                    allowed = free[rows, None] | (wanted[rows, None] == category[None, :])
+                        cosine = np.zeros(allowed.shape)
                     cosine = np.where(allowed, cosine, -np.inf)
                     # Everything from the k-th best value on, so ties are decided by the id below.
                     if cosine.shape[1] > k:
@@ -117,14 +129,15 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     return score
 
 
-def _small_batch(queries: DataFrame) -> pa.Table | None:
+def small_batch(queries: DataFrame) -> pa.Table | None:
     """The queries, if they are few and small enough to be sent to every task."""
     batch = queries.limit(BROADCAST_ROWS + 1).toArrow()
     fits = batch.num_rows <= BROADCAST_ROWS and batch.nbytes <= BROADCAST_BYTES
     return batch if fits else None
 
 
-def _broadcast_topk(batch: pa.Table, store: DataFrame, k: int) -> DataFrame:
+def broadcast_topk(batch: pa.Table, store: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, cosine) of the k best chunks per query in each task's part."""
     shared = store.sparkSession.sparkContext.broadcast(batch)
     score = _scorer(k)
 
@@ -170,7 +183,9 @@ def knn_topk(
     """(query_id, chunk_id, rank, cosine, relevance) of the k nearest chunks per query.
 
     `queries` has query_id and embedding, and may have a `category` that its hits must have and a
-    `top_k` of its own. `category` restricts the whole batch and prunes the table's folders.
+    `top_k` of its own. `category` restricts the whole batch and prunes the table's folders. The
+    hits of a small batch are bounded by its checked size times k and are marked for broadcast, so
+    joining them to a table does not shuffle the table.
     """
     if not 1 <= k <= fixed.MAX_TOP_K:
         raise ValueError(f"k must be 1 to {fixed.MAX_TOP_K}")
@@ -182,15 +197,14 @@ def knn_topk(
         (F.col("category") if "category" in own else F.lit(None)).cast("string").alias("category"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
-    batch = _small_batch(asked)
+    batch = small_batch(asked)
     if batch is None:
-        local = _grid_topk(asked, store, k)
+        hits = rank_hits(_grid_topk(asked, store, k), k)
     else:
         wanted = set(batch.column("category").to_pylist())
         if wanted and None not in wanted:
             store = store.filter(F.col("category").isin(sorted(wanted)))
-        local = _broadcast_topk(batch, store, k)
-    hits = rank_hits(local, k)
+        hits = F.broadcast(rank_hits(broadcast_topk(batch, store, k), k))
     if "top_k" in own:
         limits = queries.select(F.col("query_id").cast("long").alias("query_id"), "top_k")
         hits = hits.join(limits, "query_id").filter(

@@ -10,6 +10,7 @@ from broadsheet.functions import text
 from broadsheet.operators import hits as H
 from broadsheet.operators.filters import published_between
 from broadsheet.operators.knn import knn_topk
+from broadsheet.session import settle
 
 
 def search(
@@ -27,7 +28,7 @@ def search(
     """
     store = published_between(chunks, date_from, date_to)
     found = H.first_hit(H.with_chunk_columns(knn_topk(queries, store, k, category), store))
-    return H.enrich_hits(found, articles).withColumn(
+    return H.enrich_hits(settle(found), articles).withColumn(
         "total", F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     )
 

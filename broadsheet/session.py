@@ -1,11 +1,12 @@
-"""Session for tests and bench, and the shared folder that intermediate tables go to."""
+"""Session for tests and bench, the shared folder, and the size check before a broadcast."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", name: str = "broadsheet") -> SparkSession:
@@ -37,3 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder, so that it is computed once for several uses."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def broadcast_if_few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """`df` marked for broadcast if it has at most `most` rows, else as it is, for a shuffle join.
+
+    For narrow rows, such as ids: at the default they are some tens of MB.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

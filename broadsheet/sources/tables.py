@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from broadsheet import schemas
 from broadsheet.operators.dedupe import dedupe_first
+from broadsheet.session import broadcast_if_few, settle
 
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> None:
@@ -54,9 +55,10 @@ def stored_keys(stored: DataFrame, load: DataFrame, key: str, by: str) -> DataFr
     """Stored values of `key` in the rows whose `by` occurs in the load.
 
     A load is small next to the table, and an anti join cannot broadcast its left side. So the
-    stored keys are first cut down to those of the load, by a semi join that can.
+    stored keys are first cut down to those of the load, by a semi join that can. The table is
+    scanned for two narrow columns and not shuffled, unless the load is large itself.
     """
-    return stored.join(load.select(by), by, "left_semi").select(key)
+    return stored.join(broadcast_if_few(load.select(by)), by, "left_semi").select(key)
 
 
 def insert_new(articles: DataFrame, path: str, order: str, load_id: str | None = None) -> str:
@@ -85,12 +87,13 @@ def insert_new_chunks(
 ) -> str:
     """Add the chunks of `articles` whose id is not stored; returns the load id.
 
-    The rows are spread evenly over the files of each category; a category that holds most of
-    them is written by several tasks.
+    Few chunks of a load are stored already as a rule; their ids are broadcast, so the new chunks
+    with their vectors are shuffled only once, to spread them evenly over the files of each
+    category: one that holds most of them is written by several tasks.
     """
     load_id = load_id or uuid.uuid4().hex
     stored = _stored(chunks.sparkSession, path, schemas.STORED_CHUNK)
-    known = stored_keys(stored, articles, key="chunk_id", by="article_id")
+    known = broadcast_if_few(settle(stored_keys(stored, articles, key="chunk_id", by="article_id")))
     fresh = chunks.join(known, "chunk_id", "left_anti").withColumn("load_id", F.lit(load_id))
     (
         fresh.select(*schemas.STORED_CHUNK.fieldNames()).hint("rebalance", "category")

@@ -131,12 +131,23 @@ def test_approximate_recall_and_scores(spark, sf_dir):
     assert both.filter(F.abs(F.col("a.cosine") - F.col("e.cosine")) > 1e-9).count() == 0
 
 
-def test_candidates_are_met_once_and_alike_for_many_queries(spark, sf_dir, monkeypatch):
+def test_candidates_are_met_once(spark, sf_dir):
     store, queries = fx.vector_store(spark, sf_dir), fx.topics(spark, sf_dir)
     model = ann.fit_buckets(store, 0.2, 4)
-    few = ann.candidates(queries, store, model).collect()
-    pairs = {(r.query_id, r.chunk_id) for r in few}
-    assert len(pairs) == len(few) < queries.count() * store.count()
-    monkeypatch.setattr(ann, "BROADCAST_QUERIES", 0)
-    many = ann.candidates(queries, store, model).collect()
-    assert sorted(map(tuple, many)) == sorted(map(tuple, few))
+    q, c = ann.with_buckets(queries, model), ann.with_buckets(store, model)
+    pairs = [tuple(p) for p in ann.candidates(q, c).collect()]
+    expected = {
+        (x.query_id, y.chunk_id) for x in q.collect() for y in c.collect()
+        if any(a == b for a, b in zip(x.buckets, y.buckets))
+    }
+    assert len(pairs) == len(set(pairs)) < queries.count() * store.count()
+    assert set(pairs) == expected
+
+
+def test_approximate_is_alike_for_many_queries(spark, sf_dir, monkeypatch):
+    store, queries = fx.vector_store(spark, sf_dir), fx.topics(spark, sf_dir)
+    few = result(ann.ann_topk(queries, store, 10, 0.2, 3))
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 3)
+    hits = ann.ann_topk(queries, store, 10, 0.2, 3)
+    assert "MapInArrow" not in hits._jdf.queryExecution().toString()
+    assert result(hits) == few
