@@ -56,12 +56,14 @@ CONTEXT_TOP_K = 5
 CITATION_CHARS = 200
 SEARCH_SNIPPET_CHARS = 300
 PREVIEW_CHARS = 300
+EMBEDDING_BATCH = 20
 FETCH_INTERVAL_MINUTES = 15
 
 # --- fixed values: context and prompt texts -------------------------------------------------
 CONTEXT_BLOCK = (
     "[Source %s] %s\nSource: %s\nCategory: %s\nPublished: %s\nContent: %s\n"
 )
+UNKNOWN = "Unknown"
 CONTEXT_SEPARATOR = "\n---\n"
 NO_CONTEXT = "No relevant news articles found in the database."
 PROMPT = (

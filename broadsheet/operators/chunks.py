@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import text, vectors
@@ -90,3 +93,40 @@ def hashed_vectors(chunks: DataFrame, dim: int = 256) -> DataFrame:
     counted = counter.transform(tokenizer.transform(chunks))
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
     return _as_arrays(unit, chunks.columns)
+
+
+def model_vectors(
+    embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = fixed.EMBEDDING_BATCH
+) -> Callable[[DataFrame], DataFrame]:
+    """A vectoriser that calls an embedding model of the user's in every task.
+
+    `embed` gets the texts of up to `batch` chunks; where it fails, they get the zero vector.
+    """
+
+    def vectors_of(texts: list[str]) -> list[list[float]]:
+        try:
+            return embed(texts)
+        except Exception:
+            return [[0.0] * dim] * len(texts)
+
+    def task(batches):
+        import pyarrow as pa
+
+        for rows in batches:
+            texts = rows.column("document").to_pylist()
+            found = [
+                vector for start in range(0, len(texts), batch)
+                for vector in vectors_of(texts[start:start + batch])
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(found, pa.list_(pa.float32()))],
+                names=[*rows.schema.names, "embedding"],
+            )
+
+    def vectoriser(chunks: DataFrame) -> DataFrame:
+        schema = T.StructType([
+            *chunks.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))
+        ])
+        return chunks.mapInArrow(task, schema)
+
+    return vectoriser

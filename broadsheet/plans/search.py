@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
@@ -44,11 +44,14 @@ def retrieve_context(
     return H.numbered(H.best_chunk(found))
 
 
+def _known(column: str) -> Column:
+    return F.coalesce(column, F.lit(fixed.UNKNOWN))
+
+
 def format_context(queries: DataFrame, context: DataFrame) -> DataFrame:
     """One text per query: its numbered source blocks, or a fixed sentence without any."""
-    block = F.format_string(
-        fixed.CONTEXT_BLOCK, "source_no", "title", "source", "category", "published_at", "document"
-    )
+    about = [_known(c) for c in ("title", "source", "category", "published_at")]
+    block = F.format_string(fixed.CONTEXT_BLOCK, "source_no", *about, "document")
     blocks = context.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("source_no", block.alias("block")))).alias("blocks")
     )
@@ -63,9 +66,9 @@ def citations(context: DataFrame) -> DataFrame:
     return context.select(
         "query_id",
         "source_no",
-        "title",
-        "source",
-        "url",
+        _known("title").alias("title"),
+        _known("source").alias("source"),
+        F.coalesce("url", F.lit("")).alias("url"),
         text.citation_snippet("document").alias("snippet"),
         "relevance",
     )

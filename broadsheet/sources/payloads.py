@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,13 +17,22 @@ from broadsheet.operators.sentiment import with_sentiment
 LANDED = "landed"
 
 
-def read_payloads(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Landed answers, one JSON document per line; damaged and vanished files are skipped."""
-    return (
+def read_payloads(
+    spark: SparkSession, path: str | list[str], categories: Sequence[str] | None = None
+) -> DataFrame:
+    """Landed answers, one JSON document per line; damaged and vanished files are skipped.
+
+    `categories` keeps the answers to requests for those, e.g. `fixed.FETCHED_CATEGORIES`. Where
+    they land in folders `requested_category=...`, the other folders are not read.
+    """
+    landed = (
         spark.read.schema(schemas.PAYLOAD)
         .options(ignoreCorruptFiles=True, ignoreMissingFiles=True)
         .json(path)
     )
+    if categories is None:
+        return landed
+    return landed.filter(F.col("requested_category").isin(*categories))
 
 
 def parse_payloads(

@@ -77,6 +77,7 @@ def insert_new(articles: DataFrame, path: str, order: str, load_id: str | None =
     fresh = stamped.join(known, "article_id", "left_anti")
     (
         fresh.select(*schemas.STORED_ARTICLE.fieldNames())
+        .sortWithinPartitions("load_id", "article_id")  # lookups by id skip row groups
         .write.mode("append").partitionBy("load_id").parquet(path)
     )
     return load_id

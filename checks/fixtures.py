@@ -195,8 +195,8 @@ def payloads(spark: SparkSession, sf_dir: str, only_reviewed: bool = False) -> D
     )
 
 
-def land(answers: DataFrame, folder: str | None = None) -> str:
+def land(answers: DataFrame, folder: str | None = None, *partitions: str) -> str:
     """Write answers as JSON lines; returns the folder."""
     folder = folder or fresh_path(answers.sparkSession, "landing")
-    answers.write.mode("append").json(folder)
+    answers.write.mode("append").partitionBy(*partitions).json(folder)
     return folder

@@ -207,6 +207,12 @@ SELECT article_id, nullif(title, '') AS title, nullif(content, '') AS content, s
 FROM articles"""
 ORACLES["ingest_payload"] = _with(ARTICLES, PARSED) + """
 SELECT * EXCLUDE (is_reviewed) FROM parsed"""
+_FETCHED = ", ".join(f"'{c}'" for c in fixed.FETCHED_CATEGORIES)
+ORACLES["fetch_categories"] = _with(ARTICLES, PARSED) + f"""
+SELECT article_id, title, category, content FROM (
+  SELECT p.*, row_number() OVER (PARTITION BY p.article_id ORDER BY fetch_id, position) AS nth
+  FROM parsed p JOIN articles a ON a.doc_id = p.fetch_id
+  WHERE coalesce(nullif(a.category, ''), 'top') IN ({_FETCHED})) WHERE nth = 1"""
 ORACLES["insert_new_articles"] = _with(ARTICLES, _loads("articles", "doc_id")) + f"""
 SELECT {_SHORT}, load_id FROM stored"""
 ORACLES["insert_new_chunks"] = _with(

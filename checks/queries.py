@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.functions import text, vectors
 from broadsheet.operators import ann, chunks, counts, dedupe, filters, hits, knn, scales, sentiment
@@ -75,6 +76,18 @@ def ingest_payload(spark, sf):
     )
 
 
+@query
+def fetch_categories(spark, sf):
+    """Answers landed per requested category: those usually fetched, duplicates removed."""
+    delivered = F.get(F.col("results")[0]["category"], 0)
+    asked = F.coalesce(F.nullif(delivered, F.lit("")), F.lit("top"))
+    answers = fx.payloads(spark, sf).withColumn("requested_category", asked)
+    folder = fx.land(answers, None, "requested_category")
+    fetched = landed.read_payloads(spark, folder, fixed.FETCHED_CATEGORIES)
+    first = dedupe.dedupe_first(landed.parse_payloads(fetched), "article_id", "landed")
+    return first.select("article_id", "title", "category", "content")
+
+
 def _two_loads(spark, sf):
     path = fresh_path(spark, "articles")
     tables.create_articles(spark, path)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet import schemas
+from broadsheet.operators import filters
 from broadsheet.operators.dedupe import dedupe_first
 from broadsheet.plans import indexing
 from broadsheet.session import fresh_path
@@ -104,6 +105,21 @@ def test_insert_first_wins_and_twice_adds_nothing(spark, store):
     assert stored.filter("created_at IS NULL").count() == 0
 
 
+def test_lookup_reaches_the_scan_of_sorted_files(spark, store):
+    path, _ = store
+    tables.insert_new(batch(spark, *[article(i) for i in range(50)]), path, "at")
+    found = filters.get_article(tables.read_articles(spark, path), "a7")
+    assert found.count() == 1
+    assert "EqualTo(article_id,a7)" in found._jdf.queryExecution().executedPlan().toString()
+    ids = [
+        (r.file, r.article_id) for r in spark.read.parquet(path)
+        .select(F.col("_metadata.file_path").alias("file"), "article_id").collect()
+    ]
+    for file in {f for f, _ in ids}:
+        stored = [i for f, i in ids if f == file]
+        assert stored == sorted(stored)
+
+
 def test_create_keeps_what_is_there(spark, store):
     path, _ = store
     tables.insert_new(batch(spark, article(1)), path, "at")
