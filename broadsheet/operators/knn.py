@@ -59,6 +59,13 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
             rows[present] = values.reshape(-1, sizes[0])
         return rows
 
+    def code(table, categories):
+        """Categories as their place in a list, -1 for others and none."""
+        import pyarrow.compute as pc
+
+        place = pc.index_in(table.column("category"), value_set=categories)
+        return place.fill_null(-1).to_numpy()
+
     def unit_length(rows):
         import numpy as np
 
@@ -81,10 +88,11 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     def score(queries, tables):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         ids = queries.column("query_id").to_numpy()
-        wanted = np.array(queries.column("category").to_pylist(), dtype=object)
-        free = np.array([c is None for c in wanted], dtype=bool)
+        categories = pc.unique(queries.column("category").drop_null())
+        wanted = code(queries, categories)
         hashed = "buckets" in queries.column_names
         names = ["query_id", "chunk_id", "cosine"]
         types = [pa.int64(), pa.string(), pa.float64()]
@@ -96,14 +104,15 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         for table in tables:
             for start in range(0, len(table), 2048):
                 part = table.slice(start, 2048)
-                category = np.array(part.column("category").to_pylist(), dtype=object)
+                category = code(part, categories)
                 chunk_buckets = matrix(part, "buckets") if hashed else None
                 unit = unit_length(matrix(part, "embedding"))
                 known = vectors.shape[1] and unit.shape[1]  # else one side has no vector at all
                 found = [kept]
                 for block in range(0, len(ids), 256):
                     rows = slice(block, block + 256)
-                    allowed = free[rows, None] | (wanted[rows, None] == category[None, :])
+                    asked = wanted[rows, None]
+                    allowed = (asked < 0) | (asked == category[None, :])
                     if hashed:
                         same = query_buckets[rows, None, :] == chunk_buckets[None, :, :]
                         allowed &= same.any(axis=2)

@@ -51,4 +51,4 @@ def broadcast_if_few(df: DataFrame, most: int = 500_000) -> DataFrame:
 
     For narrow rows, such as ids: at the default they are some tens of MB.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df

@@ -16,6 +16,9 @@ from broadsheet.operators.sentiment import with_sentiment
 # Orders landed articles: fetch by fetch, and inside a fetch as delivered.
 LANDED = "landed"
 
+# One fetch that went wrong must not stop the others.
+SKIP_DAMAGED = {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+
 
 def read_payloads(
     spark: SparkSession, path: str | list[str], categories: Sequence[str] | None = None
@@ -27,7 +30,7 @@ def read_payloads(
     """
     landed = (
         spark.read.schema(schemas.PAYLOAD)
-        .options(ignoreCorruptFiles=True, ignoreMissingFiles=True)
+        .options(**SKIP_DAMAGED)
         .json(path)
     )
     if categories is None:

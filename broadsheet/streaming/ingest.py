@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -74,16 +76,18 @@ def ingest_stream(
     """Keep the tables up to date with a landing folder.
 
     Runs every 15 minutes, or with `once` until all that has landed is stored. One writer per
-    table; batches are numbered by the checkpoint, and a repeated batch adds nothing twice.
+    table; loads are named by checkpoint and batch, and a repeated batch adds nothing twice.
     """
     create_articles(spark, article_table)
     if chunk_table is not None:
         create_chunks(spark, chunk_table)
 
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
+
     def store(landed: DataFrame, batch: int) -> None:
-        load_batch(landed, article_table, f"batch-{batch:012d}", chunk_table, vectoriser)
+        load_batch(landed, article_table, f"{stream}-{batch:012d}", chunk_table, vectoriser)
 
-    reader = spark.readStream.schema(schemas.PAYLOAD)
+    reader = spark.readStream.schema(schemas.PAYLOAD).options(**payloads.SKIP_DAMAGED)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     trigger = (

@@ -406,6 +406,11 @@ FROM chunks c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key"""
 ORACLES["attach_vectors"] = CHUNKED + f"""
 SELECT {_CHUNK_ID}, document, len(embedding) AS dim
 FROM chunks JOIN embeddings v ON key = CAST(vec_id // 5 AS VARCHAR) AND chunk_index = vec_id % 5"""
+# The weights are fitted, but every text with a word has a vector of length 1.
+ORACLES["vectorise_chunks"] = CHUNKED + f"""
+SELECT {_CHUNK_ID}, 256 AS dim,
+       CASE WHEN regexp_matches(document, '[\\p{{L}}\\p{{N}}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
+FROM chunks"""
 ORACLES["index_articles"] = CHUNKED + f"""
 SELECT {_CHUNK_ID}, document, {_META_ALL}, v.vec_id IS NOT NULL AS has_vector
 FROM chunks c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key

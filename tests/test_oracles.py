@@ -6,8 +6,7 @@ from checks.compare import connect, oracle_rows, rows_of
 from checks.oracles import ORACLES
 from checks.queries import QUERIES
 
-# No SQL for these: iterative fitting, or an approximate result.
-WITHOUT_SQL = {"vectorise_chunks", "ann_topk"}
+WITHOUT_SQL = {"ann_topk"}  # an approximate result
 
 
 @pytest.fixture(scope="module")
