@@ -85,3 +85,15 @@ def citation_lists(context: DataFrame) -> DataFrame:
 def prompts(contexts: DataFrame) -> DataFrame:
     """The prompt of every query from its context and question."""
     return contexts.withColumn("prompt", F.format_string(fixed.PROMPT, "context", "query"))
+
+
+def chat(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int = fixed.CONTEXT_TOP_K,
+    category: str | None = None,
+) -> DataFrame:
+    """Per query its prompt and the list of sources cited in it; the table is searched once."""
+    context = settle(retrieve_context(queries, chunks, k, category))
+    asked = queries.select("query_id", "query")
+    return prompts(format_context(asked, context)).join(citation_lists(context), "query_id", "left")

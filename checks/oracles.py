@@ -446,9 +446,13 @@ FROM context"""
 ORACLES["citation_lists"] = CONTEXT + """
 SELECT query_id, string_agg(title, ' | ' ORDER BY source_no) AS titles, count(*) AS n
 FROM context GROUP BY query_id"""
-ORACLES["prompts"] = CONTEXT + f"""
-SELECT query_id, replace(replace('{fixed.PROMPT.replace("'", "''").replace('%s', '{context}', 1).replace('%s', '{question}', 1)}',
-       '{{question}}', query), '{{context}}', context) AS prompt FROM contexts"""
+_PROMPT = fixed.PROMPT.replace("'", "''").replace("%s", "{context}", 1).replace("%s", "{question}", 1)
+_PROMPT_OF = f"replace(replace('{_PROMPT}', '{{question}}', c.query), '{{context}}', c.context) AS prompt"
+ORACLES["prompts"] = CONTEXT + f"SELECT query_id, {_PROMPT_OF} FROM contexts c"
+ORACLES["chat"] = CONTEXT + f""", sources AS (
+  SELECT query_id, string_agg(concat_ws('|', source_no, title, url, relevance), ';' ORDER BY source_no) AS sources
+  FROM context GROUP BY query_id)
+SELECT c.query_id, c.query, {_PROMPT_OF}, s.sources FROM contexts c LEFT JOIN sources s ON s.query_id = c.query_id"""
 
 # --- reports --------------------------------------------------------------------------------
 

@@ -569,6 +569,13 @@ def prompts(spark, sf):
     return search.prompts(contexts).select("query_id", "prompt")
 
 
+@query
+def chat(spark, sf):
+    answers = search.chat(fx.topics(spark, sf), fx.chunk_store(spark, sf))
+    cited = F.transform("sources", lambda s: F.concat_ws("|", s.source_no, s.title, s.url, s.relevance))
+    return answers.select("query_id", "query", "prompt", F.array_join(cited, ";").alias("sources"))
+
+
 # --- reports --------------------------------------------------------------------------------
 
 @query

@@ -88,6 +88,15 @@ def test_tiles_cover_the_text(spark):
     assert all(r.t == r.j for r in joined)
 
 
+@pytest.mark.parametrize("text", ["x" * 2_000_000, "word. " * 300_000, "\n" * 1_000_000])
+def test_long_text(spark, text):
+    pieces = chunk(spark, [text])[0]
+    assert all(len(p) <= 500 for p in pieces)
+    assert len(pieces) == (0 if not text.strip() else len(pieces))
+    if text[0] == "x":
+        assert len(pieces) == 4445  # every window but the last moves on by 450
+
+
 def test_windows_overlap(spark):
     for pieces in chunk(spark, ["x" * 151 + "".join(f"{i:06d}" for i in range(500))]):
         assert all(len(p) <= 500 for p in pieces)
