@@ -25,7 +25,7 @@ MIN_WORD_LENGTH = 4
 # --- fixed values: patterns of the text normalisation ---------------------------------------
 HTML_TAG = r"<[^>]+>"
 URL = r"https?://\S+|www\.\S+"
-WHITESPACE_RUN = r"\s+"
+WHITESPACE_TO_COLLAPSE = r"\s{2,}|[^\S ]"  # same result as \s+, single spaces stay
 NON_LETTERS = "[^a-z]+"
 
 # --- fixed values: chunking -----------------------------------------------------------------

@@ -63,7 +63,11 @@ def strip_urls(c: Column | str) -> Column:
 
 
 def collapse_whitespace(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(_column(c), fixed.WHITESPACE_RUN, " "))
+    """Every run of whitespace as one space, none at the ends.
+
+    Matches only what changes: longer runs, and single characters other than a space.
+    """
+    return F.trim(F.regexp_replace(_column(c), fixed.WHITESPACE_TO_COLLAPSE, " "))
 
 
 def normalise(c: Column | str) -> Column:

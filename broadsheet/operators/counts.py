@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import text
+from broadsheet.operators.normalised import with_normalised
 
 
 def total(rows: DataFrame, name: str = "total_articles") -> DataFrame:
@@ -78,8 +79,10 @@ def avg_content_length(articles: DataFrame) -> DataFrame:
 def chunk_estimates(articles: DataFrame) -> DataFrame:
     """Per article the length of its normalised text and the estimated number of chunks."""
     return (
-        articles.withColumn("text_length", F.length(text.normalise(text.full_text())))
+        with_normalised(articles, text.full_text())
+        .withColumn("text_length", F.length("normalised_text"))
         .withColumn("estimated_chunks", text.chunk_estimate("text_length"))
+        .drop("normalised_text")
     )
 
 
@@ -95,8 +98,9 @@ def chunk_estimate_stats(articles: DataFrame) -> DataFrame:
 
 def word_frequency(articles: DataFrame, n: int = 50) -> DataFrame:
     """The `n` most frequent words of the normalised texts."""
-    words = articles.select(  # outer: an inner explode would normalise twice, to test for words
-        F.explode_outer(text.tokens(text.normalise(text.full_text()))).alias("word")
+    words = with_normalised(articles, text.full_text()).select(
+        # Outer: an inner explode would normalise a second time, to test for words.
+        F.explode_outer(text.tokens("normalised_text")).alias("word")
     )
     return (
         words.filter(text.keep_token("word"))

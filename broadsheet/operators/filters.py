@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.functions import text
+from broadsheet.operators.normalised import with_normalised
 
 
 def of_category(rows: DataFrame, category: str | None) -> DataFrame:
@@ -82,7 +83,7 @@ def preview(articles: DataFrame, n: int = 5) -> DataFrame:
         .limit(n)
     )
     return (
-        first.withColumn("normalised", text.normalise(text.full_text()))
+        with_normalised(first, text.full_text(), into="normalised")
         .select(
             "article_id",
             "title",

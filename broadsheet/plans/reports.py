@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import text
 from broadsheet.operators.filters import preview
+from broadsheet.operators.normalised import with_normalised
 from broadsheet.operators.sentiment import is_mismatch, mismatch_sample, with_sentiment
 
 
@@ -170,10 +171,9 @@ def preprocessing_report(articles: DataFrame, words: int = 50, samples: int = 5)
     Words and estimates come from the same pass: each text gives its words and one row with its
     estimate, under the key NULL.
     """
-    normalised = articles.select(text.normalise(text.full_text()).alias("_normalised"))
-    split = normalised.select(
-        text.tokens("_normalised").alias("_words"),
-        text.chunk_estimate(F.length("_normalised")).alias("_estimate"),
+    split = with_normalised(articles, text.full_text()).select(
+        text.tokens("normalised_text").alias("_words"),
+        text.chunk_estimate(F.length("normalised_text")).alias("_estimate"),
     )
     per_word = split.select(  # outer: an inner explode would normalise twice, to test for words
         "_estimate", F.explode_outer(F.concat("_words", F.array(F.lit(None).cast("string")))).alias("word")

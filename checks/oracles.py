@@ -64,7 +64,7 @@ _DISAGREES = "sentiment IS NOT NULL AND sentiment <> '' AND sentiment <> recalcu
 def _normalise(text: str) -> str:
     return (
         f"trim(regexp_replace(regexp_replace(regexp_replace({text}, '{fixed.HTML_TAG}', ' ', 'g'),"
-        f" '{fixed.URL}', '', 'g'), '{fixed.WHITESPACE_RUN}', ' ', 'g'))"
+        f" '{fixed.URL}', '', 'g'), '\\s+', ' ', 'g'))"
     )
 
 
@@ -386,7 +386,8 @@ SELECT page_id, regexp_replace(html, '{fixed.HTML_TAG}', ' ', 'g') AS stripped F
 ORACLES["strip_urls"] = f"""
 SELECT page_id, regexp_replace(html, '{fixed.URL}', '', 'g') AS stripped,
        regexp_replace(url, '{fixed.URL}', '', 'g') AS url FROM pages"""
-ORACLES["normalised_text"] = f"SELECT page_id, {_normalise('html')} AS normalised FROM pages"
+ORACLES["normalised_text"] = f"""
+SELECT page_id, {_normalise('html')} AS normalised, {_normalise('html')} AS normalised_text FROM pages"""
 ORACLES["keywords_roundtrip"] = _with(ARTICLES) + """
 SELECT doc_id, CAST(to_json(coalesce(keywords, [])) AS VARCHAR) AS keywords_json,
        coalesce(array_to_string(keywords, '|'), '') AS keywords, len(coalesce(keywords, [])) AS n FROM articles"""

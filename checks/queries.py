@@ -11,6 +11,7 @@ from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.functions import text, vectors
 from broadsheet.operators import ann, chunks, counts, dedupe, filters, hits, knn, scales, sentiment
+from broadsheet.operators.normalised import with_normalised
 from broadsheet.plans import indexing, reports, search
 from broadsheet.session import fresh_path
 from broadsheet.sources import articles as article_files
@@ -415,7 +416,9 @@ def strip_urls(spark, sf):
 
 @query
 def normalised_text(spark, sf):
-    return _pages(spark, sf).select("page_id", text.normalise("html").alias("normalised"))
+    """By the column function and by the one for whole tables."""
+    rows = with_normalised(_pages(spark, sf), F.col("html"))
+    return rows.select("page_id", text.normalise("html").alias("normalised"), "normalised_text")
 
 
 @query

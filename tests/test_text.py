@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.functions import text, vectors
 from broadsheet.operators import sentiment
+from broadsheet.operators.normalised import with_normalised
 
 
 def one(spark, column, **values):
@@ -19,9 +20,16 @@ def one(spark, column, **values):
     (" \t\n ", ""),
     ("x https://a.b", "x"),
     ("1 < 2", "1 < 2"),
+    ("a \x0b b\u00a0c\t\nd", "a b\u00a0c d"),
+    ("<www.x>www.y http", "http"),
+    ("ht<b>tp://x", "ht tp://x"),
+    ("ww<i>w.x y", "ww w.x y"),
 ])
 def test_normalise(spark, given, expected):
     assert one(spark, text.normalise("t"), t=F.lit(given)) == expected
+    rows = with_normalised(spark.createDataFrame([(given,)], "t string"), F.col("t"))
+    assert rows.columns == ["t", "normalised_text"]
+    assert rows.first().normalised_text == expected
 
 
 @pytest.mark.parametrize("given, expected", [
