@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,22 +206,30 @@ def knn_topk(
         (F.col("category") if "category" in own else F.lit(None)).cast("string").alias("category"),
         F.col("embedding").cast("array<double>").alias("embedding"),
     )
+    kept = fixed.MAX_TOP_K if "top_k" in own else k
     batch = small_batch(asked)
     if batch is None:
-        hits = rank_hits(_grid_topk(asked, store, k), k)
+        hits = rank_hits(_grid_topk(asked, store, kept), kept)
     else:
         wanted = set(batch.column("category").to_pylist())
         if wanted and None not in wanted:
             store = store.filter(F.col("category").isin(sorted(wanted)))
-        hits = F.broadcast(rank_hits(broadcast_topk(batch, store, k), k))
+        hits = F.broadcast(rank_hits(broadcast_topk(batch, store, kept), kept))
     if "top_k" in own:
-        limits = queries.select(F.col("query_id").cast("long").alias("query_id"), "top_k")
-        hits = hits.join(limits, "query_id").filter(
-            F.col("rank") <= F.coalesce("top_k", F.lit(k))
-        ).drop("top_k")
+        limits = queries.select(
+            F.col("query_id").cast("long").alias("query_id"), _checked("top_k", k).alias("_limit")
+        )
+        hits = hits.join(limits, "query_id").filter(F.col("rank") <= F.col("_limit")).drop("_limit")
     return hits
 
 
+def _checked(top_k: str, default: int) -> Column:
+    """A query's own k, or the default; fails outside the bounds."""
+    own = F.coalesce(F.col(top_k), F.lit(default))
+    refused = F.raise_error(F.lit(f"top_k must be 1 to {fixed.MAX_TOP_K}")).cast("int")
+    return F.when(own.between(1, fixed.MAX_TOP_K), own).otherwise(refused)
+
+
 def rank_hits(local: DataFrame, k: int) -> DataFrame:
     """Top k of (query_id, chunk_id, cosine) per query, merged in groups first.
 

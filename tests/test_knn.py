@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import ann, knn
+from broadsheet.operators import ann, hits, knn
+from broadsheet.plans import search
 from checks import fixtures as fx
 
 SCHEMA = "query_id long, category string, embedding array<float>"
@@ -54,8 +55,8 @@ def tables(spark, queries, store):
     return spark.createDataFrame(queries, SCHEMA), spark.createDataFrame(store, STORE).repartition(5)
 
 
-def result(hits):
-    return {(r.query_id, r["rank"], r.chunk_id, r.relevance) for r in hits.collect()}
+def result(found):
+    return {(r.query_id, r["rank"], r.chunk_id, r.relevance) for r in found.collect()}
 
 
 @pytest.mark.parametrize("k", [1, 10, 50])
@@ -69,9 +70,9 @@ def test_grid_for_large_batches(spark, monkeypatch):
     monkeypatch.setattr(knn, "GRID_QUERIES", 3)
     monkeypatch.setattr(knn, "GRID_CHUNKS", 70)
     queries, store = data(n_queries=11)
-    hits = knn.knn_topk(*tables(spark, queries, store), 10)
-    assert "CoGroup" in hits._jdf.queryExecution().toString()
-    assert result(hits) == brute(queries, store, 10)
+    got = knn.knn_topk(*tables(spark, queries, store), 10)
+    assert "CoGroup" in got._jdf.queryExecution().toString()
+    assert result(got) == brute(queries, store, 10)
 
 
 def test_batch_larger_than_a_block(spark):
@@ -83,9 +84,42 @@ def test_category_of_the_batch_and_own_top_k(spark):
     queries, store = data()
     q, s = tables(spark, [(i, None, v) for i, _, v in queries], store)
     q = q.withColumn("top_k", F.when(F.col("query_id") > 0, F.col("query_id").cast("int")))
-    hits = knn.knn_topk(q, s, 10, category="a")
+    got = knn.knn_topk(q, s, 10, category="a")
     expected = brute([(i, "a", v) for i, _, v in queries], store, 10)
-    assert result(hits) == {h for h in expected if h[1] <= (h[0] or 10)}
+    assert result(got) == {h for h in expected if h[1] <= (h[0] or 10)}
+
+
+def test_own_top_k_beyond_the_default_and_out_of_bounds(spark):
+    queries, store = data(n_queries=2)
+    q, s = tables(spark, queries, store)
+    assert knn.knn_topk(q.withColumn("top_k", F.lit(30)), s, 5).count() == 60
+    with pytest.raises(Exception, match="top_k must be"):
+        knn.knn_topk(q.withColumn("top_k", F.lit(51)), s, 5).collect()
+
+
+def test_search_by_time_and_category(spark, sf_dir):
+    store, queries = fx.chunk_store(spark, sf_dir), fx.topics(spark, sf_dir)
+    known = fx.by_document(fx.full_articles(spark, sf_dir))
+    dates = [r.published_at for r in store.select("published_at").distinct().orderBy("published_at").collect()]
+    middle = dates[len(dates) // 2]
+    found = search.search(queries, store, known, 50, date_from=middle)
+    assert found.count() and found.filter(F.col("published_at") < middle).count() == 0
+    of_one = search.search(queries, store, known, 50, category="3").select("chunk_id").distinct()
+    expected = store.filter("category = '3'").select("chunk_id")
+    assert of_one.join(expected, "chunk_id", "left_anti").count() == 0
+
+
+def test_hits_do_not_shuffle_the_tables(spark, sf_dir):
+    store, queries = fx.chunk_store(spark, sf_dir), fx.topics(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = hits.with_chunk_columns(knn.knn_topk(queries, store, 5), store)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first_join = plan[plan.index("Join"):].splitlines()[0]
+    assert "chunk_id" in first_join and "BuildLeft" in first_join
+    assert "BroadcastHashJoin" in plan[:plan.index("BuildLeft")]
 
 
 def test_no_queries_and_no_chunks(spark):
@@ -148,6 +182,6 @@ def test_approximate_is_alike_for_many_queries(spark, sf_dir, monkeypatch):
     store, queries = fx.vector_store(spark, sf_dir), fx.topics(spark, sf_dir)
     few = result(ann.ann_topk(queries, store, 10, 0.2, 3))
     monkeypatch.setattr(knn, "BROADCAST_ROWS", 3)
-    hits = ann.ann_topk(queries, store, 10, 0.2, 3)
-    assert "MapInArrow" not in hits._jdf.queryExecution().toString()
-    assert result(hits) == few
+    got = ann.ann_topk(queries, store, 10, 0.2, 3)
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+    assert result(got) == few
