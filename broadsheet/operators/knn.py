@@ -27,7 +27,6 @@ GRID_CHUNKS = 20_000
 # Per query the rows kept by the tasks are merged in this many groups first.
 MERGE_GROUPS = 32
 
-_QUERY = ("query_id", "category", "embedding")
 _HIT = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("chunk_id", T.StringType()),
@@ -77,63 +76,78 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         import numpy as np
 
         hits = hits.sort_by([
-            ("query_id", "ascending"), ("cosine", "descending"), ("chunk_id", "ascending"),
+            ("query", "ascending"), ("cosine", "descending"), ("chunk_id", "ascending"),
         ])
-        query = hits.column("query_id").to_numpy()
-        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
-        sizes = np.diff(np.r_[starts, len(query)]).astype(int)
-        place = np.arange(len(query)) - np.repeat(starts, sizes)
-        return hits.filter(place < k)
+        query = hits.column("query").to_numpy()
+        starts = np.searchsorted(query, query)  # where the rows of the same query begin
+        return hits.filter(np.arange(len(query)) - starts < k)
+
+    def kth_best(hits, n):
+        """The cosine that a further hit of each of n queries has to reach."""
+        import numpy as np
+
+        least = np.full(n, -np.inf)
+        sizes = np.bincount(hits.column("query").to_numpy(), minlength=n)
+        last = np.cumsum(sizes) - 1
+        full = sizes == k
+        least[full] = hits.column("cosine").to_numpy()[last[full]]
+        return least
 
     def score(queries, tables):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        ids = queries.column("query_id").to_numpy()
+        ids = queries.column("query_id").combine_chunks()
         categories = pc.unique(queries.column("category").drop_null())
         wanted = code(queries, categories)
-        hashed = "buckets" in queries.column_names
-        names = ["query_id", "chunk_id", "cosine"]
-        types = [pa.int64(), pa.string(), pa.float64()]
-        kept = pa.table({n: pa.array([], t) for n, t in zip(names, types)})
-        if not len(ids):
-            return kept
         vectors = unit_length(matrix(queries, "embedding"))
-        query_buckets = matrix(queries, "buckets") if hashed else None
-        for table in tables:
-            for start in range(0, len(table), 2048):
-                part = table.slice(start, 2048)
-                category = code(part, categories)
-                chunk_buckets = matrix(part, "buckets") if hashed else None
-                unit = unit_length(matrix(part, "embedding"))
-                known = vectors.shape[1] and unit.shape[1]  # else one side has no vector at all
-                found = [kept]
-                for block in range(0, len(ids), 256):
-                    rows = slice(block, block + 256)
-                    asked = wanted[rows, None]
-                    allowed = (asked < 0) | (asked == category[None, :])
-                    if hashed:
-                        same = query_buckets[rows, None, :] == chunk_buckets[None, :, :]
-                        allowed &= same.any(axis=2)
-                    if known:
-                        cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
-                    else:
-                        cosine = np.zeros(allowed.shape)
-                    cosine = np.where(allowed, cosine, -np.inf)
-                    # Everything from the k-th best value on, so ties are decided by the id below.
-                    if cosine.shape[1] > k:
-                        least = np.partition(cosine, -k, axis=1)[:, [-k]]
-                    else:
-                        least = np.full((cosine.shape[0], 1), -np.inf)
-                    q, c = np.nonzero((cosine >= least) & (cosine > -np.inf))
+        query_buckets = matrix(queries, "buckets") if "buckets" in queries.column_names else None
+        kept = pa.table({
+            "query": pa.array([], pa.int64()),
+            "chunk_id": pa.array([], pa.string()),
+            "cosine": pa.array([], pa.float64()),
+        })
+        least = kth_best(kept, len(ids))
+        parts = (t.slice(start, 2048) for t in tables for start in range(0, len(t), 2048))
+        for part in parts:
+            chunk_ids = part.column("chunk_id").combine_chunks()
+            category = code(part, categories)
+            unit = unit_length(matrix(part, "embedding"))
+            if query_buckets is not None:
+                chunk_buckets = matrix(part, "buckets")
+            found = [kept]
+            for block in range(0, len(ids), 256):
+                rows = slice(block, block + 256)
+                asked = wanted[rows, None]
+                allowed = (asked < 0) | (asked == category[None, :])
+                if query_buckets is not None:
+                    same = query_buckets[rows, None, :] == chunk_buckets[None, :, :]
+                    allowed &= same.any(axis=2)
+                if vectors.shape[1] and unit.shape[1]:
+                    cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
+                else:  # one side has no vector at all
+                    cosine = np.zeros(allowed.shape)
+                cosine = np.where(allowed, cosine, -np.inf)
+                # Ties with the k-th best, here or so far, stay in: the chunk id decides below.
+                reached = least[rows, None]
+                if cosine.shape[1] > k:
+                    reached = np.maximum(reached, np.partition(cosine, -k, axis=1)[:, [-k]])
+                q, c = np.nonzero((cosine >= reached) & (cosine > -np.inf))
+                if len(q):
                     found.append(best(pa.table({
-                        "query_id": pa.array(ids[rows][q], pa.int64()),
-                        "chunk_id": part.column("chunk_id").combine_chunks().take(pa.array(c)),
+                        "query": pa.array(q + block, pa.int64()),
+                        "chunk_id": chunk_ids.take(pa.array(c)),
                         "cosine": pa.array(cosine[q, c], pa.float64()),
                     })))
+            if len(found) > 1:
                 kept = best(pa.concat_tables(found))
-        return kept
+                least = kth_best(kept, len(ids))
+        return pa.table({
+            "query_id": ids.take(kept.column("query").combine_chunks()),
+            "chunk_id": kept.column("chunk_id"),
+            "cosine": kept.column("cosine"),
+        })
 
     return score
 
