@@ -58,7 +58,8 @@ def stored_keys(stored: DataFrame, load: DataFrame, key: str, by: str) -> DataFr
     stored keys are first cut down to those of the load, by a semi join that can. The table is
     scanned for two narrow columns and not shuffled, unless the load is large itself.
     """
-    return stored.join(broadcast_if_few(load.select(by)), by, "left_semi").select(key)
+    ids = broadcast_if_few(settle(load.select(by)))
+    return stored.join(ids, by, "left_semi").select(key)
 
 
 def insert_new(articles: DataFrame, path: str, order: str, load_id: str | None = None) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text
@@ -32,6 +32,15 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
+def sentence(column: str, n: int) -> Column:
+    """The n-th part of a text between full stops, '' beyond the last; splits no further than that."""
+    c = F.col(column)
+    if n == 1:
+        return F.substring_index(c, ".", 1)
+    last = F.substring_index(F.substring_index(c, ".", n), ".", -1)
+    return F.when(F.substring_index(c, ".", n - 1) != c, last).otherwise("")
+
+
 def articles(
     spark: SparkSession,
     sf_dir: str,
@@ -50,9 +59,9 @@ def articles(
     slot = (F.col("doc_id") % N_SLOTS + 1).cast("int")
     a = d.select(
         "doc_id",
-        text.article_id(F.split_part("text", F.lit("."), F.lit(1)), "source").alias("article_id"),
-        F.split_part("text", F.lit("."), F.lit(1)).alias("title"),
-        F.split_part("text", F.lit("."), F.lit(2)).alias("description"),
+        text.article_id(sentence("text", 1), "source").alias("article_id"),
+        sentence("text", 1).alias("title"),
+        sentence("text", 2).alias("description"),
         F.col("text").alias("content"),
         F.col("source").alias("source_name"),
         F.lit(None).cast("string").alias("source_url"),
@@ -172,14 +181,14 @@ def payloads(spark: SparkSession, sf_dir: str, only_reviewed: bool = False) -> D
     a = reviewed(spark, sf_dir) if only_reviewed else full_articles(spark, sf_dir, heavy=True)
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
 
-    def item(sentence: int):
+    def item(n: int):
         return F.struct(
-            F.split_part("content", F.lit("."), F.lit(sentence)).alias("title"),
+            sentence("content", n).alias("title"),
             F.when(F.col("language") != "de", F.col("source_name")).alias("source_name"),
             F.col("source_name").alias("source_id"),
             F.col("source_url").alias("source_url"),
             F.col("content").alias("content"),
-            F.split_part("content", F.lit("."), F.lit(sentence + 1)).alias("description"),
+            sentence("content", n + 1).alias("description"),
             F.array_compact(F.array("category")).alias("category"),
             F.col("published_at").alias("pubDate"),
             F.col("url").alias("link"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.functions import text, vectors
-from broadsheet.operators import ann, chunks, counts, dedupe, filters, hits, knn, scales, sentiment
+from broadsheet.operators import ann, chunks, counts, dedupe, filters, knn, scales, sentiment
 from broadsheet.operators.normalised import with_normalised
 from broadsheet.plans import indexing, reports, search
 from broadsheet.session import fresh_path
