@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ann, fingerprints, langid, packing, secrets
+from broadsheet.llm import ann, fingerprints, langid, ngram_join, packing, secrets, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,14 @@ def op6_ann(spark, sf):
 @query
 def op8_langid(spark, sf):
     return langid.predict_all(_table(spark, sf, "documents"))
+
+
+@query
+def op3_ngram_join(spark, sf):
+    found = ngram_join.near_duplicates(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op10_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(_table(spark, sf, "documents"))
