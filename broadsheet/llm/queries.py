@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ann, fingerprints, langid, ngram_join, packing, secrets, suffix_dedup
+from broadsheet.llm import (
+    ann,
+    fingerprints,
+    langid,
+    line_dedup,
+    merkle,
+    ngram_join,
+    packing,
+    secrets,
+    suffix_dedup,
+    transducer,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +73,52 @@ def op3_ngram_join(spark, sf):
 @query
 def op10_suffix_dedup(spark, sf):
     return suffix_dedup.remove_repeats(_table(spark, sf, "documents"))
+
+
+@query
+def op1_line_dedup(spark, sf):
+    return line_dedup.summary(_table(spark, sf, "documents"))
+
+
+@query
+def op7_merkle(spark, sf):
+    return merkle.audit_copy(_table(spark, sf, "pages"))
+
+
+ORACLES["op7_merkle"] = r"""
+WITH n AS (SELECT greatest(1, (count(*) + 511) // 512) AS shards FROM pages),
+r AS (
+  SELECT page_id,
+    CAST('0x' || substr(md5(coalesce(url, '') || ':' || CAST(coalesce(page_id, -1) AS VARCHAR)), 1, 8) AS BIGINT)
+      % shards AS shard,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+      || 'WARC-Record-ID: <urn:sha256:' || sha256(coalesce(url, '')) || '>' || chr(13) || chr(10)
+      || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+      || 'Content-Type: text/html' || chr(13) || chr(10)
+      || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10)
+      || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages, n
+),
+p AS (
+  SELECT *, CAST(row_number() OVER o - 1 AS BIGINT) AS seq,
+    CAST(sum(strlen(record)) OVER o AS BIGINT) - strlen(record) AS start
+  FROM r WINDOW o AS (PARTITION BY shard ORDER BY page_id ROWS UNBOUNDED PRECEDING)
+),
+d AS (
+  SELECT *, CASE WHEN page_id % 211 = 5 THEN 'missing' WHEN page_id % 101 = 7 THEN 'altered' ELSE 'ok' END AS state,
+    encode(record) AS bytes
+  FROM p
+)
+SELECT page_id, shard, seq, start, strlen(record) AS length, sha256(bytes) AS sha256,
+  CASE state WHEN 'ok' THEN sha256(bytes)
+    WHEN 'altered' THEN sha256(from_hex(
+      substr(hex(bytes), 1, 2 * (strlen(record) // 2)) || '00' || substr(hex(bytes), 2 * (strlen(record) // 2) + 3)
+    )) END AS replica_sha256, state
+FROM d
+"""
+
+
+@query
+def op9_sentencepiece(spark, sf):
+    return transducer.round_trip(_table(spark, sf, "documents"), PIECE_BPE)

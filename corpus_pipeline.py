@@ -1,22 +1,37 @@
-"""A corpus made ready for training, in stages over `documents`."""
+"""A corpus made ready for training, in stages over `documents`.
+
+Every stage reads what the one before has written and works on all of it. All but the last return
+the columns of documents; n_chars follows the text where a stage changes it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from broadsheet.llm import langid, packing, secrets
+from broadsheet.llm import langid, line_dedup, ngram_join, packing, secrets
 from broadsheet.llm.common import stored
 from broadsheet.llm.queries import WORD_BPE
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; junk and empty ones go."""
+    """Documents whose language can be told stay; those without a letter, or in no one language, go."""
     return langid.reject(docs, langid.fit(docs))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Blocks of lines that an earlier document has are cut; documents of nothing else go."""
+    return _measured(line_dedup.without_repeats(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    return ngram_join.keep_one(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", _length(docs))
+    """All documents stay; secrets in their texts are replaced."""
+    return _measured(secrets.redact(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +39,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, WORD_BPE)
 
 
-def _length(docs: DataFrame):
-    from pyspark.sql import functions as F
-
-    return F.length("text").cast(docs.schema["n_chars"].dataType)
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 STAGES = [
     ("language_id", language),
+    ("line_dedup", lines),
+    ("ngram_join", near_duplicates),
     ("secret_scan", secret_scan),
     ("best_fit_packing", packed),
 ]
 
-ORACLE_SQL = None  # models, alignments and packing are beyond SQL; tests compare with brute force
+ORACLE_SQL = None  # models, alignment, components and packing are beyond SQL; see tests/llm
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order; each reads what the one before has written."""
+    """The stages in order over `documents`; the result is the last one's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
