@@ -7,8 +7,8 @@ The order here is that of the tokens' hashes. Each document chooses how far to l
 * Tokens in very many prefixes (more than `FREQUENT`) are not used to find candidates. A document
   lengthens its prefix by as many places, e, as there are such tokens in it; of the e + 1 tokens
   that it then shares with a similar document at least one is another.
-* It lengthens it by m more places, and demands m + 1 shared tokens, where the candidates saved by
-  this are estimated to cost more than the longer lists.
+* It lengthens it by m more places, and demands m + 1 shared tokens, as long as the candidates
+  saved by this are estimated to cost more than the longer lists.
 * Where that would make the prefix too long, the document is dense in frequent tokens. Such
   documents are joined among themselves once more, with all their tokens in order of frequency.
 
@@ -36,8 +36,8 @@ from broadsheet.llm.components import components
 WORDS = 5
 THRESHOLD = 75  # per cent
 FREQUENT = 64  # a token in more prefixes than these finds no candidates
-MORE = 3  # m at most
-VERIFY = 8.0  # cost of a candidate, in entries of token lists
+VERIFY = 0.25  # cost of verifying a candidate per token of its set, in entries of token lists
+STEPS = (0, 1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300)  # values of m that are tried
 DENSE = 99  # stands for the demand of a dense document; its partner's is smaller
 KNOWN_WORDS = 300_000
 
@@ -72,10 +72,10 @@ def shingle_sets(texts: list[bytes], words: int, known: WordHashes) -> Iterator[
         if n >= words:
             yield np.unique(runs[at:at + n - words + 1])
         elif n:
-            whole = np.uint64(n)
-            for h in hashes[at:at + n]:
-                whole = whole * _FACTOR + h
-            yield mix(np.array([whole ^ _FACTOR]))
+            whole = np.array([n], np.uint64)
+            for i in range(at, at + n):
+                whole = whole * _FACTOR + hashes[i:i + 1]
+            yield mix(whole ^ _FACTOR)
         else:
             yield np.array([], np.uint64)
 
@@ -85,44 +85,47 @@ def prefix_length(n, threshold: int):
     return n - (threshold * n + 99) // 100 + 1
 
 
+def _slack(p):
+    return p // 4 + 2
+
+
 def lengthening(n, threshold: int):
     """How far a document of n shingles may lengthen its prefix."""
     p = prefix_length(n, threshold)
-    return np.minimum(p // 8 + 1, n - p)
+    return np.minimum(_slack(p), n - p)
 
 
-def stored_length(n, threshold: int):
-    """Tokens kept of a set: enough for its largest possible partner's lengthening."""
+def looked_at(n, threshold: int):
+    """Tokens looked at of a set: enough for its largest possible partner's lengthening."""
     largest = n * 100 // threshold
-    most = prefix_length(largest, threshold) // 8 + 1
-    return np.minimum(n, prefix_length(n, threshold) + most)
-
+    return np.minimum(n, prefix_length(n, threshold) + _slack(prefix_length(largest, threshold)))
 
-def _sets(rows: DataFrame, words: int, threshold: int, whole: bool, extra: str = "") -> DataFrame:
-    """Rows (doc_id, text_key, `extra` columns, n, sid, tokens): all tokens, or those to store."""
-    carried = ["doc_id", "text_key", *[c.split()[0] for c in extra.split(", ") if c]]
 
+def _sets(rows: DataFrame, words: int, threshold: int, tokens: str = "") -> DataFrame:
+    """(doc_id, text_key, n, sid) of the sets, and tokens: `all`, or those `looked at`."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches):
             sizes, names, kept = [], [], []
-            for tokens in shingle_sets(text_bytes(batch.column("text")), words, known):
-                n = len(tokens)
+            for found in shingle_sets(text_bytes(batch.column("text")), words, known):
+                n = len(found)
                 sizes.append(n)
                 names.append(int.from_bytes(
-                    hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True
+                    hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True
                 ))
-                kept.append(tokens if whole or not n else tokens[:stored_length(n, threshold)])
-            lengths = np.fromiter(map(len, kept), np.int64, len(kept))
-            values = np.concatenate(kept).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), pa.array(sizes, pa.int64()),
-                 pa.array(names, pa.int64()), list_array(pa.array(values), lengths)],
-                names=[*carried, "n", "sid", "tokens"],
-            )
+                if tokens:
+                    kept.append(found if tokens == "all" or not n else found[:looked_at(n, threshold)])
+            columns = {
+                "doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"),
+                "n": pa.array(sizes, pa.int64()), "sid": pa.array(names, pa.int64()),
+            }
+            if tokens:
+                lengths = np.fromiter(map(len, kept), np.int64, len(kept))
+                columns["tokens"] = list_array(pa.array(np.concatenate(kept).view(np.int64)), lengths)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    schema = "doc_id long, text_key long, " + (f"{extra}, " if extra else "")
-    return rows.select(*carried, "text").mapInArrow(compute, schema + "n long, sid long, tokens array<long>")
+    schema = "doc_id long, text_key long, n long, sid long" + (", tokens array<long>" if tokens else "")
+    return rows.select("doc_id", "text_key", "text").mapInArrow(compute, schema)
 
 
 # --- candidates -------------------------------------------------------------------------------
@@ -133,20 +136,18 @@ def _choose(
     """(prefix length, demand) for a set, from places and frequencies of its shared tokens."""
     p, most = prefix_length(n, threshold), int(lengthening(n, threshold))
     frequent = np.sort(at[df > limit])
+    e = next((e for e in range(most + 1) if np.searchsorted(frequent, p + e) <= e), None)
+    if e is None:
+        return None
     best = None
-    for e in range(most + 1):
-        if np.searchsorted(frequent, p + e) > e:
-            continue
-        for m in range(min(MORE, most - e) + 1):
-            if np.searchsorted(frequent, p + e + m) > e:
-                break
-            used = (at < p + e + m) & (df <= limit)
-            lists = float((df[used] - 1).sum())
-            cost = lists * (1 + VERIFY / (1 + m))
-            if best is None or cost < best[0]:
-                best = cost, p + e + m, 1 + m
-        break
-    return best and best[1:]
+    for m in [*(m for m in STEPS if m < most - e), most - e]:
+        if np.searchsorted(frequent, p + e + m) > e:
+            break
+        lists = float((df[(at < p + e + m) & (df <= limit)] - 1).sum())
+        cost = lists * (1 + VERIFY * n / (1 + m))
+        if best is None or cost < best[0]:
+            best = cost, p + e + m, 1 + m
+    return best[1:]
 
 
 def _postings(rows: DataFrame, threshold: int, limit: int) -> DataFrame:
@@ -158,21 +159,23 @@ def _postings(rows: DataFrame, threshold: int, limit: int) -> DataFrame:
             held = batch.column("held")
             ends = np.cumsum(held.value_lengths().to_numpy())[:-1]
             fields = [np.split(f.to_numpy(zero_copy_only=False), ends) for f in held.flatten().flatten()]
-            sizes = batch.column("n").to_pylist()
+            sizes = []
             needs, kept = [], []
-            for n, at, tokens, df in zip(sizes, *fields, strict=True):
+            for place, tokens, df in zip(*fields, strict=True):
+                n, at = int(place[0] >> 32), place & 0xFFFFFFFF
+                sizes.append(n)
                 chosen = _choose(n, at, df, threshold, limit)
                 length, need = chosen or (n, DENSE)
                 needs.append(need)
                 kept.append(tokens[(at < length) & (df <= limit)])
             lengths = np.fromiter(map(len, kept), np.int64, len(kept))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("sid"), batch.column("n"), pa.array(needs, pa.int32()),
+                [batch.column("sid"), pa.array(sizes, pa.int64()), pa.array(needs, pa.int32()),
                  list_array(pa.array(np.concatenate(kept)), lengths)],
                 names=["sid", "n", "need", "tokens"],
             )
 
-    grouped = rows.groupBy("sid", "n").agg(F.collect_list(F.struct("at", "token", "df")).alias("held"))
+    grouped = rows.groupBy("sid").agg(F.collect_set(F.struct("place", "token", "df")).alias("held"))
     return grouped.mapInArrow(adapt, "sid long, n long, need int, tokens array<long>")
 
 
@@ -186,14 +189,13 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, threshold: int, frequent: int):
         self.rows, self.words, self.threshold = keyed(docs), words, threshold
         self.frequent = frequent
-        sets = _sets(self.rows, words, threshold, whole=False)
+        sets = _sets(self.rows, words, threshold)
         self.sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "shingle-sets")
-        # One row stands for each set.
-        filled = self.sets.filter("n > 0")
-        named = filled.groupBy("sid").agg(F.min("row").alias("row"))
-        self.keys = stored(
-            named.join(filled.select("row", "doc_id", "text_key", "n"), "row"), "shingle-keys"
-        )
+        # One version of a document stands for each set.
+        one = self.sets.filter("n > 0").groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+        self.keys = stored(one.select("sid", "one.*"), "shingle-keys")
+        versions = self.sets.groupBy("doc_id", "text_key").count()
+        self.repeated = not versions.filter("count > 1").isEmpty()
 
     def tokens_of(self, sids: DataFrame) -> DataFrame:
         """(sid, n, tokens) with all tokens of the sets named, computed from their texts again."""
@@ -202,18 +204,27 @@ class _Join:
         )
         chosen = self.rows.join(if_few(stored(keys, "keys")), F.col("doc_id").eqNullSafe(F.col("key_id"))
                                 & (F.col("text_key") == F.col("key_text")), "left_semi")
-        whole = _sets(chosen, self.words, self.threshold, whole=True).select("sid", "n", "tokens")
-        return stored(whole.dropDuplicates(["sid"]), "tokens")
+        whole = _sets(chosen, self.words, self.threshold, "all").select("sid", "n", "tokens")
+        return stored(whole.dropDuplicates(["sid"]) if self.repeated else whole, "tokens")
 
     def postings(self) -> DataFrame:
         """(token, sid, n, need): what finds the candidates."""
         copies = self.sets.filter("n > 0").join(
-            self.keys.select("sid", F.col("row").alias("first")), "sid"
-        ).filter("row != first").select("row")
-        kept = self.sets.filter("n > 0").join(if_few(copies), "row", "left_anti")
-        rows = kept.select("sid", "n", F.posexplode("tokens").alias("at", "token"))
+            self.keys.select("sid", F.struct("doc_id", "text_key").alias("one")), "sid"
+        ).filter(F.struct("doc_id", "text_key") != F.col("one")).select(
+            F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text")
+        ).distinct()
+        kept = self.rows.join(if_few(copies), F.col("doc_id").eqNullSafe(F.col("key_id"))
+                              & (F.col("text_key") == F.col("key_text")), "left_anti")
+        # Computed twice, once to count and once to look up: tokens hardly compress on disk.
+        tokens = _sets(kept, self.words, self.threshold, "looked at")
+        rows = tokens.select("sid", "n", F.posexplode("tokens").alias("at", "token")).select(
+            "token", "sid", (F.col("n") * (1 << 32) + F.col("at")).alias("place")
+        )
         shared = rows.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-        chosen = stored(_postings(rows.join(shared, "token"), self.threshold, self.frequent), "prefixes")
+        chosen = stored(
+            _postings(rows.join(shared, "token"), self.threshold, self.frequent), "prefixes"
+        )
         found = chosen.select(F.explode("tokens").alias("token"), "sid", "n", "need")
 
         dense = chosen.filter(F.col("need") == DENSE)
@@ -257,14 +268,15 @@ class _Join:
     def links(self) -> DataFrame:
         threshold = self.threshold
         postings = self.postings()
-        centre = F.min(F.struct("sid", "n"))
+        centre = F.min(F.struct("sid", "n", "need"))
         centres = postings.groupBy("token").agg(centre.alias("c"), F.count("*").alias("k")).filter("k > 1")
         stars = postings.join(centres, "token").filter(
             (F.col("sid") != F.col("c.sid")) & _similar_sizes(F.col("n"), F.col("c.n"), threshold)
         )
-        first = self.verify(
-            stars.select(F.col("c.sid").alias("a"), F.col("sid").alias("b")).distinct()
-        )
+        ties = stars.groupBy(F.col("c.sid").alias("a"), F.col("sid").alias("b")).agg(
+            F.count("*").alias("shared"), F.min(F.least("need", "c.need")).alias("need")
+        )  # tokens they share under another centre are not counted; the second pass counts all
+        first = self.verify(ties.filter("shared >= need").select("a", "b"))
         roots = stored(components(first), "roots")
 
         labelled = postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(

@@ -94,7 +94,7 @@ def test_choice_keeps_every_similar_pair():
         frequent = np.concatenate([x, y])[rng.random(len(x) + len(y)) < rng.choice([0, 0.05, 0.15, 0.5])]
         held, demand, dense = [], [], []
         for s in (np.sort(x), np.sort(y)):
-            kept = s[:nj.stored_length(len(s), 75)]
+            kept = s[:nj.looked_at(len(s), 75)]
             df = np.where(np.isin(kept, frequent), nj.FREQUENT + 1, rng.integers(2, 9, len(kept)))
             chosen = nj._choose(len(s), np.arange(len(kept)), df, 75)
             length, need = chosen or (len(s), nj.DENSE)
