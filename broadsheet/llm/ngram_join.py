@@ -179,8 +179,9 @@ def _postings(rows: DataFrame, threshold: int, limit: int) -> DataFrame:
     return grouped.mapInArrow(adapt, "sid long, n long, need int, tokens array<long>")
 
 
-def _similar_sizes(a, b, threshold: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * threshold
+def _can_link(n_a, alone_a, n_b, alone_b, threshold: int):
+    """What two sets can have in common suffices; `alone` are tokens that no other set has."""
+    return F.least(n_a - alone_a, n_b - alone_b) * (100 + threshold) >= (n_a + n_b) * threshold
 
 
 class _Join:
@@ -208,7 +209,7 @@ class _Join:
         return stored(whole.dropDuplicates(["sid"]) if self.repeated else whole, "tokens")
 
     def postings(self) -> DataFrame:
-        """(token, sid, n, need): what finds the candidates."""
+        """(token, sid, n, need, alone): what finds the candidates."""
         copies = self.sets.filter("n > 0").join(
             self.keys.select("sid", F.struct("doc_id", "text_key").alias("one")), "sid"
         ).filter(F.struct("doc_id", "text_key") != F.col("one")).select(
@@ -225,7 +226,9 @@ class _Join:
         chosen = stored(
             _postings(rows.join(shared, "token"), self.threshold, self.frequent), "prefixes"
         )
-        found = chosen.select(F.explode("tokens").alias("token"), "sid", "n", "need")
+        found = chosen.select(
+            F.explode("tokens").alias("token"), "sid", "n", "need", F.lit(0).alias("alone")
+        )
 
         dense = chosen.filter(F.col("need") == DENSE)
         every = self.tokens_of(dense).select("sid", "n", F.explode("tokens").alias("token"))
@@ -233,11 +236,14 @@ class _Join:
         n = F.col("n")
         p = n - F.floor((n * self.threshold + 99) / 100) + 1
         ordered = every.join(among, "token").groupBy("sid", "n").agg(
-            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held")
+            F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"),
+            F.count_if(F.col("df") == 1).cast("int").alias("alone"),
+        )
+        prefix = ordered.select(
+            "sid", "n", "alone", F.explode(F.slice("held", F.lit(1), p.cast("int"))).alias("t")
         )
-        prefix = ordered.select("sid", "n", F.explode(F.slice("held", F.lit(1), p.cast("int"))).alias("t"))
         rare_first = prefix.filter("t.df > 1").select(
-            "t.token", "sid", "n", F.lit(1).cast("int").alias("need")
+            "t.token", "sid", "n", F.lit(1).cast("int").alias("need"), "alone"
         )
         return stored(found.unionByName(rare_first), "postings")
 
@@ -268,10 +274,13 @@ class _Join:
     def links(self) -> DataFrame:
         threshold = self.threshold
         postings = self.postings()
-        centre = F.min(F.struct("sid", "n", "need"))
+        # The set with the fewest tokens of its own is likeliest to be what others are copies of.
+        own = (F.col("alone") / F.col("n")).alias("own")
+        centre = F.min(F.struct(own, "sid", "n", "need", "alone"))
         centres = postings.groupBy("token").agg(centre.alias("c"), F.count("*").alias("k")).filter("k > 1")
         stars = postings.join(centres, "token").filter(
-            (F.col("sid") != F.col("c.sid")) & _similar_sizes(F.col("n"), F.col("c.n"), threshold)
+            (F.col("sid") != F.col("c.sid"))
+            & _can_link(F.col("n"), F.col("alone"), F.col("c.n"), F.col("c.alone"), threshold)
         )
         ties = stars.groupBy(F.col("c.sid").alias("a"), F.col("sid").alias("b")).agg(
             F.count("*").alias("shared"), F.min(F.least("need", "c.need")).alias("need")
@@ -288,10 +297,10 @@ class _Join:
             F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")
         ).filter("roots > 1").select("token", F.col("top.root").alias("top"))
         open_ = stored(labelled.join(largest, "token").withColumn("in_top", F.col("root") == F.col("top")).drop("top"), "open")
-        x = open_.filter("not in_top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "need", "root")))
+        x = open_.filter("not in_top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "need", "alone", "root")))
         meets = (F.col("x_root") != F.col("root")) & (F.col("in_top") | (F.col("x_sid") < F.col("sid")))
         pairs = x.join(open_, "token").filter(
-            meets & _similar_sizes(F.col("n"), F.col("x_n"), threshold)
+            meets & _can_link(F.col("n"), F.col("alone"), F.col("x_n"), F.col("x_alone"), threshold)
         ).groupBy(
             F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")
         ).agg(F.count("*").alias("shared"), F.min(F.least("need", "x_need")).alias("need"))
