@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import if_few, keyed, list_array, mix, slices, stored, text_bytes
 
 LENGTH = 200
-GRAM = 64
+GRAM = 100  # half the length: shorter lines that very many texts share have no anchor of their own
 LARGE = 1024  # different contexts from which a class is counted instead of sorted
 CELL = 16  # neighbouring strings that are counted together
 STRETCH = 1 << 19  # bytes of a text that are hashed at a time
@@ -324,31 +324,21 @@ def _cuts(classes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _counted_classes(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """The same for classes with very many contexts, by counts of hashes."""
-    def strings(low, high):
-        """The context's bytes from the longest to the shortest left part: those of one cell."""
-        at = F.col("before") - high
-        return F.substring("context", (at + 1).cast("int"), (high - low + length).cast("int"))
-
-    # Strings with o bytes before the anchor, o from low to high; a cell's share `core`.
+    # Strings with o bytes before the anchor, o from low to high; those of a whole cell share `core`.
     o = F.col("cell") * CELL
-    cells = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit((length - gram) // CELL)))).withColumn(
-        "low", F.greatest(o, length - (F.length("context") - F.col("before")))
-    ).withColumn("high", F.least(o + CELL - 1, F.lit(length - gram), F.col("before"))).filter("low <= high")
-    union = strings(F.col("low"), F.col("high"))
-    # Where a context ends inside the cell it has no core of full length; it goes on as it is.
-    full_low, full_high = o, F.least(o + CELL - 1, F.lit(length - gram))
-    core_start = F.col("before") - full_low
-    core = F.substring("context", (core_start + 1).cast("int"),
-                       (length - (full_high - full_low)).cast("int"))
-    keyed_cells = cells.select("class", "row", "place", "cell", "low", "high", union.alias("union"),
-                               F.xxhash64("cell", core).alias("core"))
-    twice = keyed_cells.groupBy("class", "core").agg(F.count("*").alias("k")).filter("k > 1").select("class", "core")
-    left = keyed_cells.join(twice, ["class", "core"])
-    windows = left.withColumn("o", F.explode(F.sequence("low", "high"))).select(
-        "class", "row", "place", "o",
-        F.substring("union", (F.col("high") - F.col("o") + 1).cast("int"), F.lit(length)).alias("string"),
-    ).select("class", "row", "place", "o", F.xxhash64("o", "string").alias("h1"),
-             F.hash("string").alias("h2"))
+    top = F.least(o + CELL - 1, F.lit(length - gram))
+    core = F.substring("context", (F.col("before") - o + 1).cast("int"), (length - (top - o)).cast("int"))
+    cells = rows.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit((length - gram) // CELL)))).select(
+        "class", "row", "place", F.xxhash64("cell", core).alias("core"),
+        F.greatest(o, length - (F.length("context") - F.col("before"))).alias("low"),
+        F.least(top, F.col("before")).alias("high"),
+    ).filter("low <= high")
+    twice = cells.groupBy("class", "core").agg(F.count("*").alias("k")).filter("k > 1").select("class", "core")
+    left = cells.join(twice, ["class", "core"]).select("row", "place", "low", "high")
+    whole = rows.select("class", "row", "place", "before", "context").join(left, ["row", "place"])
+    windows = whole.withColumn("o", F.explode(F.sequence("low", "high"))).withColumn(
+        "string", F.substring("context", (F.col("before") - F.col("o") + 1).cast("int"), F.lit(length))
+    ).select("class", "row", "place", "o", F.xxhash64("o", "string").alias("h1"), F.hash("string").alias("h2"))
     again = windows.groupBy("class", "h1", "h2").agg(F.count("*").alias("k")).filter("k > 1")
     found = windows.join(again, ["class", "h1", "h2"]).groupBy("row", "place").agg(
         F.min("o").alias("least"), F.max("o").alias("most")
@@ -388,7 +378,7 @@ def repeated_spans(
     keys = held.select(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text"), "row", "held")
     match = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_key") == F.col("key_text"))
     affected = rows.join(if_few(keys.select("key_id", "key_text")), match, "left_semi")
-    with_anchors = affected.dropDuplicates(["doc_id", "text_key"]).join(keys, match)
+    with_anchors = _once(affected, named).join(keys, match)
     contexts = stored(_contexts(with_anchors, length, gram), "contexts")
 
     whole = contexts.groupBy("class", "context_key").agg(
@@ -419,6 +409,12 @@ def repeated_spans(
     return named, stored(joined, "spans")
 
 
+def _once(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row of each version of a document; nothing is moved where no version is repeated."""
+    repeated = texts.groupBy("doc_id", "text_key").count().filter("count > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text_key"])
+
+
 def _merged(spans: str):
     """Sorted spans, with those that touch or overlap made one."""
     last = lambda done: F.element_at(done, -1)
@@ -473,7 +469,7 @@ def remove_repeats(
     keys = spans.select(F.col("doc_id").alias("key_id"), F.col("text_key").alias("key_text"), "row", "spans")
     match = F.col("doc_id").eqNullSafe(F.col("key_id")) & (F.col("text_key") == F.col("key_text"))
     affected = keyed(docs).join(if_few(keys.select("key_id", "key_text")), match, "left_semi")
-    kept = _kept(affected.dropDuplicates(["doc_id", "text_key"]).join(keys, match))
+    kept = _kept(_once(affected, texts).join(keys, match))
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return texts.join(kept, "row", "left").select(
         "doc_id", "n_bytes",
