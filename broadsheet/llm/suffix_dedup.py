@@ -119,7 +119,7 @@ def _find_anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, place, class, before, context, context_key) for the listed anchors of each text."""
+    """(row, place, class, before, size, context, context_key) for the listed anchors of each text."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
             out = []
@@ -130,7 +130,7 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     place = anchor["place"]
                     low = max(0, place - (length - gram))
                     context = data[low:place + length]
-                    out.append((row, place, anchor["hash"], place - low, context,
+                    out.append((row, place, anchor["hash"], place - low, len(context), context,
                                 xxhash.xxh3_64_intdigest(context, seed=place - low) - (1 << 63)))
                     if len(out) == 1 << 15:
                         yield _context_batch(out)
@@ -139,13 +139,13 @@ def _contexts(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 yield _context_batch(out)
 
     return rows.select("row", "text", "held").mapInArrow(cut, (
-        "row long, place long, class long, before int, context binary, context_key long"
+        "row long, place long, class long, before int, size int, context binary, context_key long"
     ))
 
 
 def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-    names = ["row", "place", "class", "before", "context", "context_key"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    names = ["row", "place", "class", "before", "size", "context", "context_key"]
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names
@@ -385,17 +385,17 @@ def repeated_spans(
         F.count("*").alias("k"), F.min(F.struct("row", "place")).alias("one")
     )
     whole = stored(whole, "context-counts")
-    of_copies = contexts.join(whole.filter("k > 1").select("class", "context_key"), ["class", "context_key"])
-    equal = of_copies.filter(F.length("context") >= length).select(
+    of_copies = contexts.drop("context").join(whole.filter("k > 1").select("class", "context_key"), ["class", "context_key"])
+    equal = of_copies.filter(F.col("size") >= length).select(
         "row", (F.col("place") - F.col("before")).alias("start"),
-        (F.col("place") - F.col("before") + F.length("context")).alias("stop"),
+        (F.col("place") - F.col("before") + F.col("size")).alias("stop"),
     )
     classes = whole.groupBy("class").agg(F.count("*").alias("contexts"), F.min("k").alias("fewest"))
     classes = classes.filter("contexts > 1 and fewest = 1").select("class", "contexts")
     chosen = whole.join(classes, "class").select(
         "contexts", F.col("one.row").alias("row"), F.col("one.place").alias("place")
     )
-    live = stored(contexts.join(chosen, ["row", "place"]), "live-contexts")
+    live = stored(contexts.drop("context_key", "size").join(chosen, ["row", "place"]), "live-contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = live.filter(F.col("contexts") <= large).repartition(4 * parts, "class").sortWithinPartitions("class")
     spans = equal.unionByName(_sorted_classes(few, length, gram)).unionByName(
