@@ -52,7 +52,7 @@ class WordIds(dict):
 
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = list(set(words) - self.keys())
+        new = [w for w in set(words) if w not in self]
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
             new = list(set(words))
