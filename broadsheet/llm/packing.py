@@ -35,7 +35,7 @@ CAPACITY = 4096
 SCHEMES = ((8, 0.2), (16, 0.2), (32, 0.2), (32, 0.3), (0, 1.0))
 END_ID = 1
 SALTS = 64  # parts in which the pieces of one length are ranked
-KNOWN_WORDS = 400_000  # words whose ids a task remembers at most
+KNOWN_WORDS = 1_000_000  # words whose ids a task remembers at most
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -50,19 +50,31 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
+    def _unknown(self, words: list[str]) -> list[str]:
+        return [w for w in set(words) if w not in self]
+
     def ids(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        new = [w for w in set(words) if w not in self]
+        new = self._unknown(words)
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = list(set(words))
+            new = self._unknown(words)
+        ended = [w for w in new if _stem(w) is not w]
+        new = list({_stem(w) for w in new if _stem(w) not in self} | {c for c in ",." if c not in self})
         for word, found in zip(
             new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
         ):
             self[word] = np.array(found.ids, "<u4").tobytes()
+        for word in ended:
+            self[word] = self[word[:-1]] + self[word[-1]]
         return b"".join(map(self.__getitem__, words))
 
 
+def _stem(word: str) -> str:
+    """A word without a comma or full stop after a letter, which is a token of its own."""
+    return word[:-1] if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else word
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: its ids and the end id, cut every `capacity` ids."""
 
