@@ -18,9 +18,13 @@ def norm(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
-    """Cosine similarity; 0 where either vector has length 0. Known lengths can be passed in."""
+    """Cosine similarity; 0 where either vector has length 0 or a component that is not finite.
+
+    Known lengths can be passed in.
+    """
     lengths = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    return F.coalesce(F.try_divide(dot(a, b), lengths), F.lit(0.0))
+    found = F.try_divide(dot(a, b), lengths)
+    return F.when(lengths < F.lit(float("inf")), F.coalesce(found, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def relevance(similarity: Column) -> Column:

@@ -22,8 +22,9 @@ from broadsheet.operators.knn import broadcast_topk, rank_hits, small_batch
 
 
 def _with_unit(rows: DataFrame) -> DataFrame:
-    """Add the vector at length 1; rows without a vector have no bucket and drop out."""
-    raw = rows.filter(F.col("embedding").isNotNull()).withColumn(
+    """Add the vector at length 1; rows without a finite vector have no bucket and drop out."""
+    finite = F.forall("embedding", lambda x: F.abs(x) < F.lit(float("inf")))
+    raw = rows.filter(F.col("embedding").isNotNull() & finite).withColumn(
         "_raw", array_to_vector(F.col("embedding").cast("array<double>"))
     )
     return Normalizer(inputCol="_raw", outputCol="unit").transform(raw).drop("_raw")

@@ -68,6 +68,8 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     def unit_length(rows):
         import numpy as np
 
+        # One component that is not finite makes the row a missing vector.
+        rows = np.where(np.isfinite(rows).all(axis=1, keepdims=True), rows, 0.0)
         lengths = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.where(lengths > 0, lengths, 1.0)
 

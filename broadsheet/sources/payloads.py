@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet import fixed_values as fixed
 from broadsheet import schemas
@@ -16,28 +17,40 @@ from broadsheet.operators.sentiment import with_sentiment
 # Orders landed articles: fetch by fetch, and inside a fetch as delivered.
 LANDED = "landed"
 
-# One fetch that went wrong must not stop the others.
-SKIP_DAMAGED = {"ignoreCorruptFiles": True, "ignoreMissingFiles": True}
+# Holds a line that is no answer, as it landed.
+DAMAGED = "_damaged"
+LANDED_SCHEMA = T.StructType([*schemas.PAYLOAD.fields, T.StructField(DAMAGED, T.StringType())])
+READ_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": DAMAGED}
 
 
 def read_payloads(
     spark: SparkSession, path: str | list[str], categories: Sequence[str] | None = None
 ) -> DataFrame:
-    """Landed answers, one JSON document per line; damaged and vanished files are skipped.
+    """Landed answers, one JSON document per line.
+
+    A line that is no JSON is kept in DAMAGED and found by `rejected_answers`. A file that cannot
+    be read to its end fails the read, so a load is tried again instead of losing the rest.
 
     `categories` keeps the answers to requests for those, e.g. `fixed.FETCHED_CATEGORIES`. Where
     they land in folders `requested_category=...`, the other folders are not read.
     """
-    landed = (
-        spark.read.schema(schemas.PAYLOAD)
-        .options(**SKIP_DAMAGED)
-        .json(path)
-    )
+    landed = spark.read.schema(LANDED_SCHEMA).options(**READ_OPTIONS).json(path)
     if categories is None:
         return landed
     return landed.filter(F.col("requested_category").isin(*categories))
 
 
+def rejected_answers(payloads: DataFrame) -> DataFrame:
+    """(fetch_id, reason, record) of what gives no articles: damaged lines and error answers."""
+    damaged = F.col(DAMAGED).isNotNull()
+    failed = F.coalesce(F.col("status") != "success", F.lit(True))
+    return payloads.filter(damaged | failed).select(
+        "fetch_id",
+        F.when(damaged, "damaged").otherwise(F.coalesce("status", F.lit("no status"))).alias("reason"),
+        F.col(DAMAGED).alias("record"),
+    )
+
+
 def parse_payloads(
     payloads: DataFrame,
     country: str = fixed.DEFAULT_COUNTRY,

@@ -89,14 +89,16 @@ def insert_new_chunks(
 ) -> str:
     """Add the chunks of `articles` whose id is not stored; returns the load id.
 
-    Few chunks of a load are stored already as a rule; their ids are broadcast, so the new chunks
-    with their vectors are shuffled only once, to spread them evenly over the files of each
-    category: one that holds most of them is written by several tasks.
+    Few chunks of a load are stored already as a rule; their ids are broadcast. The new chunks
+    with their vectors are shuffled twice: by id, as an article given twice gives its chunks twice
+    and each is stored once, and to spread them evenly over the files of each category: one that
+    holds most of them is written by several tasks.
     """
     load_id = load_id or uuid.uuid4().hex
     stored = _stored(chunks.sparkSession, path, schemas.STORED_CHUNK)
     known = broadcast_if_few(settle(stored_keys(stored, articles, key="chunk_id", by="article_id")))
-    fresh = chunks.join(known, "chunk_id", "left_anti").withColumn("load_id", F.lit(load_id))
+    new = chunks.join(known, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+    fresh = new.withColumn("load_id", F.lit(load_id))
     (
         fresh.select(*schemas.STORED_CHUNK.fieldNames()).hint("rebalance", "category")
         .write.mode("append").partitionBy("category", "load_id").parquet(path)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet import fixed_values as fixed
-from broadsheet import schemas
 from broadsheet.operators.chunks import hashed_vectors
 from broadsheet.operators.counts import total
 from broadsheet.plans.indexing import Vectoriser, index_articles, indexed_articles
+from broadsheet.session import broadcast_if_few, settle
 from broadsheet.sources import payloads
 from broadsheet.sources.tables import (
     create_articles,
@@ -32,17 +32,18 @@ def load_batch(
 ) -> str:
     """Store the new articles of some landed answers and, if asked to, their chunks.
 
-    What is indexed is read back from the table by load, not taken from the insert: a try that
-    stored the articles and then failed is made good by the next try under the same load id.
+    Indexed are the stored articles whose ids occur in the batch, not only those it added: a try
+    that stored articles and then failed is made good by any later load that holds them again.
     """
     articles = payloads.parse_payloads(landed).persist()  # for its keys and for its rows
     try:
         load_id = insert_new(articles, article_table, payloads.LANDED, load_id)
+        if chunk_table is not None:
+            ids = broadcast_if_few(settle(articles.select("article_id").distinct()))
+            held = read_articles(landed.sparkSession, article_table).join(ids, "article_id", "left_semi")
+            index_articles(held, chunk_table, vectoriser, load_id)
     finally:
         articles.unpersist()
-    if chunk_table is not None:
-        added = read_articles(landed.sparkSession, article_table, load_id)
-        index_articles(added, chunk_table, vectoriser, load_id)
     return load_id
 
 
@@ -87,7 +88,7 @@ def ingest_stream(
     def store(landed: DataFrame, batch: int) -> None:
         load_batch(landed, article_table, f"{stream}-{batch:012d}", chunk_table, vectoriser)
 
-    reader = spark.readStream.schema(schemas.PAYLOAD).options(**payloads.SKIP_DAMAGED)
+    reader = spark.readStream.schema(payloads.LANDED_SCHEMA).options(**payloads.READ_OPTIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     trigger = (

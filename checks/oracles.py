@@ -515,3 +515,8 @@ ORACLES["stream_index"] = _with(
 ) + f"""
 SELECT {_CHUNK_ID}, key AS article_id, document, title, {_META.format(a="a")}
 FROM chunks c JOIN stored a ON a.article_id = c.key"""
+
+ORACLES["ingest_rejects"] = """
+SELECT d.doc_id AS fetch_id, 'error' AS reason
+FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1
+"""

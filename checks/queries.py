@@ -64,6 +64,12 @@ def csv_roundtrip(spark, sf):
     return _csv(spark, sf).select(*_SHORT, "description", "published_at", "keywords")
 
 
+@query
+def ingest_rejects(spark, sf):
+    folder = fx.land(fx.payloads(spark, sf))
+    return landed.rejected_answers(landed.read_payloads(spark, folder)).select("fetch_id", "reason")
+
+
 @query
 def ingest_payload(spark, sf):
     folder = fx.land(fx.payloads(spark, sf))

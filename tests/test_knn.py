@@ -137,6 +137,15 @@ def test_missing_vectors_only(spark):
     assert {r.relevance for r in knn.knn_topk(q, s, 2).collect()} == {0.0}
 
 
+def test_components_that_are_not_finite_are_missing_vectors(spark):
+    queries, store = data(5, 60)
+    plain = [(c, g, None) for c, g, _ in store[:3]] + store[3:]
+    bad = [[float("nan")] * 8, [float("inf")] + [1.0] * 7, [1.0] * 7 + [float("-inf")]]
+    odd = [(c, g, v) for (c, g, _), v in zip(store[:3], bad, strict=True)] + store[3:]
+    q, chunks = tables(spark, queries, odd)
+    assert result(knn.knn_topk(q, chunks, 10)) == brute(queries, plain, 10)
+
+
 @pytest.mark.parametrize("k", [0, 51])
 def test_refuses_k(spark, k):
     with pytest.raises(ValueError):

@@ -205,3 +205,35 @@ def test_stream_equals_one_load(spark, tmp_path, store):
     assert len(articles(one_articles)) == 9
     assert articles(paths[0]) == articles(one_articles)
     assert chunks(paths[2]) == chunks(one_chunks)
+
+
+def test_damaged_lines_are_kept_apart_and_cut_files_fail(spark, tmp_path):
+    land(tmp_path / "in", "1.json", answer(1, {"title": "T", "source_name": "s"}))
+    (tmp_path / "in" / "2.json").write_text('{"fetch_id": 2, "status": "succ\n')
+    landed = payloads.read_payloads(spark, str(tmp_path / "in"))
+    assert payloads.parse_payloads(landed).count() == 1
+    rejected = payloads.rejected_answers(landed).collect()
+    assert [(r.reason, r.record) for r in rejected] == [("damaged", '{"fetch_id": 2, "status": "succ')]
+    import gzip
+
+    whole = gzip.compress(("\n".join('{"fetch_id": %d, "status": "success"}' % i for i in range(50_000))).encode())
+    (tmp_path / "in" / "3.json.gz").write_bytes(whole[:len(whole) // 2])
+    with pytest.raises(Exception):  # noqa: B017  the reader's own error
+        payloads.read_payloads(spark, str(tmp_path / "in")).select("status", "fetch_id").collect()
+
+
+def test_another_load_indexes_what_a_crashed_one_stored(spark, store, tmp_path):
+    path, chunks = store
+    land(tmp_path / "in", "1.json", answer(1, {"title": "T" * 200, "source_name": "s"}))
+    landed = payloads.read_payloads(spark, str(tmp_path / "in"))
+    tables.insert_new(payloads.parse_payloads(landed), path, payloads.LANDED, "load-1")
+    ingest.load_batch(landed, path, "load-2", chunks)
+    assert tables.read_chunks(spark, chunks).count() == 1
+
+
+def test_an_article_given_twice_has_its_chunks_once(spark, store):
+    _, path = store
+    rows = batch(spark, article(1, "x" * 2000), article(1, "x" * 2000))
+    indexing.index_articles(rows, path, ingest.hashed_vectors)
+    stored = tables.read_chunks(spark, path)
+    assert stored.count() == stored.select("chunk_id").distinct().count() > 1
