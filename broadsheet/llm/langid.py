@@ -25,7 +25,7 @@ LONGEST = 5
 SAMPLE = 40_000  # labelled documents that a model is fitted on, about; more are thinned by hash
 WORDS = 150_000  # most frequent (language, word) pairs kept
 GRAMS = 150_000  # most frequent (language, n-gram) pairs kept
-KNOWN_WORDS = 300_000  # words whose scores a task remembers at most
+KNOWN_WORDS = 300_000  # tokens whose scores a task remembers from one slice of texts to the next
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,41 +55,52 @@ def _counted(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found: dict[str, Counter] = {}
+            tokens: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
-            rows = [(lang, w, n) for lang, words in found.items() for w, n in words.items()]
-            if rows:
-                lang, word, n = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang), pa.array(word), pa.array(n, pa.int64())],
-                    names=["lang", "word", "n"],
-                )
+                tokens.setdefault(lang, Counter()).update(text.lower().split())
+            found: Counter = Counter()
+            for lang, counts in tokens.items():
+                for token, n in counts.items():
+                    for word in (token,) if _is_word(token) else _WORD.findall(token):
+                        found[lang, word] += n
+            yield from _pairs(found)
 
     counted = rows.mapInArrow(count, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _grams(word: str) -> Iterator[str]:
+def _is_word(token: str) -> bool:
+    """A shortcut for the expression: most tokens are words whole."""
+    return token.isalpha()
+
+
+def _pairs(found: Counter) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in found]), pa.array([k[1] for k in found]),
+             pa.array(list(found.values()), pa.int64())],
+            names=["lang", "word", "n"],
+        )
+
+
+def _grams(word: str) -> list[str]:
     marked = f"_{word}_"
-    for i in range(len(marked)):
-        for n in range(1, min(LONGEST, len(marked) - i) + 1):
-            yield marked[i:i + n]
+    size = len(marked)
+    return [marked[i:i + n] for n in range(1, min(LONGEST, size) + 1) for i in range(size - n + 1)]
 
 
 def _gram_counts(words: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
+            found: dict[str, Counter] = {}
             for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for gram in _grams(word):
-                    found[lang, gram] += n
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in found]), pa.array([k[1] for k in found]),
-                     pa.array(list(found.values()), pa.int64())],
-                    names=["lang", "word", "n"],
-                )
+                grams = found.setdefault(lang, Counter())
+                if n == 1:  # most words; a list is counted faster than a loop adds
+                    grams.update(_grams(word))
+                else:
+                    for gram in _grams(word):
+                        grams[gram] += n
+            yield from _pairs(Counter({(k, g): n for k, grams in found.items() for g, n in grams.items()}))
 
     counted = words.mapInArrow(count, "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -133,38 +144,89 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 class Scores(dict):
-    """Row numbers of words in a matrix of scores per language, filled as words come."""
+    """Row numbers of tokens, which stand between white space, in a matrix of their scores.
+
+    A row has the scores per language, summed over the token's words, then how many words these
+    are and whether they have a letter. Rows are filled for all new tokens of a slice at once.
+    """
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-        self.matrix = np.zeros((KNOWN_WORDS, max(1, len(model.languages))))
-
-    def __missing__(self, word: str) -> int:
-        row = len(self)
-        known = self.model.words.get(word)
-        if known is not None:
-            self.matrix[row] = known
-        else:
-            marked, at, score = f"_{word}_", 0, np.zeros(self.matrix.shape[1])
-            while at < len(marked):
-                for n in range(min(LONGEST, len(marked) - at), 0, -1):
-                    gram = self.model.grams.get(marked[at:at + n])
-                    if gram is not None:
-                        score += gram
-                        break
-                at += n
-            self.matrix[row] = score
-        self[word] = row
+        self.languages = max(1, len(model.languages))
+        self.rows = np.array(
+            [*model.words.values(), *model.grams.values(), (0.0,) * self.languages]
+        ).reshape(-1, self.languages)
+        self.words = {w: i for i, w in enumerate(model.words)}
+        self.grams = {g: i for i, g in enumerate(model.grams, len(model.words))}
+        self.matrix = np.zeros((0, self.languages + 2))
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        self[token] = row = len(self)
+        self.new.append(token)
         return row
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(words) > KNOWN_WORDS:  # a very long text, part by part
-            return sum(self.of(words[i:i + KNOWN_WORDS]) for i in range(0, len(words), KNOWN_WORDS))
-        if len(self) + len(words) > KNOWN_WORDS and len(self) + len(set(words)) > KNOWN_WORDS:
+    def _parts(self, word: str, parts: list[int]) -> None:
+        """Adds the rows of the model that make up a word's score."""
+        known = self.words.get(word)
+        if known is not None:
+            parts.append(known)
+            return
+        marked, at, find = f"_{word}_", 0, self.grams.get
+        size = len(marked)
+        while at < size:
+            to = min(at + LONGEST, size)
+            while to > at and (gram := find(marked[at:to])) is None:
+                to -= 1
+            if to > at:
+                parts.append(gram)
+                at = to
+            else:
+                at += 1
+
+    def _learn(self) -> None:
+        parts, ends, words, letters = [], [], [], []
+        nothing = len(self.rows) - 1  # zeros, so that no token is without a row
+        for token in self.new:
+            parts.append(nothing)
+            if _is_word(token):
+                self._parts(token, parts)
+                words.append(1)
+                letters.append(True)
+            else:
+                found = _WORD.findall(token)
+                for word in found:
+                    self._parts(word, parts)
+                words.append(len(found))
+                letters.append(_has_letter(found))
+            ends.append(len(parts))
+        starts = np.array([0, *ends[:-1]])
+        learnt = np.empty((len(ends), self.languages + 2))
+        parts = np.array(parts)
+        for column in range(self.languages):
+            learnt[:, column] = np.add.reduceat(self.rows[:, column][parts], starts)
+        learnt[:, -2], learnt[:, -1] = words, letters
+        self.matrix = np.concatenate([self.matrix, learnt])
+        self.new = []
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """Per text the sums of its tokens' rows."""
+        if len(self) > KNOWN_WORDS:
             self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.matrix[rows].sum(axis=0)
+            self.matrix = self.matrix[:0]
+        tokens = [t.lower().split() for t in texts]
+        count = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        flat = (t for ts in tokens for t in ts)
+        rows = np.fromiter(map(self.__getitem__, flat), np.int64, int(count.sum()))
+        if self.new:
+            self._learn()
+        out = np.zeros((len(texts), self.matrix.shape[1]))
+        some = np.flatnonzero(count)
+        if len(some):
+            starts = (np.cumsum(count) - count)[some]
+            for column in range(out.shape[1]):
+                out[some, column] = np.add.reduceat(self.matrix[:, column][rows], starts)
+        return out
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -180,15 +242,14 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         scores = Scores(model)
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", 4 << 20):
             found, sure = [], []
-            for text in pc.fill_null(batch.column("_text"), "").to_pylist():
-                words = _WORD.findall(text.lower())
-                if not model.languages or not _has_letter(words):
+            for sums in scores.of(pc.fill_null(batch.column("_text"), "").to_pylist()):
+                if not model.languages or not sums[-1]:
                     found.append(UNDETERMINED)
                     sure.append(0.0)
                     continue
-                total = scores.of(words) / np.sqrt(len(words))
+                total = sums[:-2] / np.sqrt(sums[-2])
                 share = np.exp(total - total.max())
                 best = int(np.argmax(share))
                 found.append(model.languages[best])
