@@ -209,7 +209,14 @@ class Scores(dict):
         self.matrix = np.concatenate([self.matrix, learnt])
         self.new = []
 
-    def of(self, texts: list[str]) -> np.ndarray:
+    def of(self, words: list[str]) -> np.ndarray:
+        """Summed scores per language of words, each taken whole."""
+        parts: list[int] = []
+        for word in words:
+            self._parts(word, parts)
+        return self.rows[parts].sum(axis=0)
+
+    def of_texts(self, texts: list[str]) -> np.ndarray:
         """Per text the sums of its tokens' rows."""
         if len(self) > KNOWN_WORDS:
             self.clear()
@@ -244,7 +251,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         scores = Scores(model)
         for batch in slices(batches, "_text", 4 << 20):
             found, sure = [], []
-            for sums in scores.of(pc.fill_null(batch.column("_text"), "").to_pylist()):
+            for sums in scores.of_texts(pc.fill_null(batch.column("_text"), "").to_pylist()):
                 if not model.languages or not sums[-1]:
                     found.append(UNDETERMINED)
                     sure.append(0.0)
