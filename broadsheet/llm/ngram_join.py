@@ -16,7 +16,8 @@ A similar pair is found through the shorter of its two lengthenings, so the smal
 two holds. Equal sets are one from the start. Candidates are verified in two passes. The first
 takes, per token, only the pairs with one of its documents, which ties groups of copies together
 in linear time; the second takes all pairs of documents that are not connected by then. So no link
-that would connect two documents is lost, and no group is expanded into all its pairs.
+that would connect two documents is lost, and no group is expanded into all its pairs. In that
+pass dense documents meet only if their parity sketches leave it possible that they link.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ VERIFY = 0.25  # cost of verifying a candidate per token of its set, in entries
 STEPS = (0, 1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300)  # values of m that are tried
 DENSE = 99  # stands for the demand of a dense document; its partner's is smaller
 KNOWN_WORDS = 300_000
+SKETCH_BITS = 1024  # a power of two
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,6 +186,38 @@ def _can_link(n_a, alone_a, n_b, alone_b, threshold: int):
     return F.least(n_a - alone_a, n_b - alone_b) * (100 + threshold) >= (n_a + n_b) * threshold
 
 
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(sid, sketch): bit i is the parity of the tokens whose hash starts with i.
+
+    A token that one of two sets lacks changes one bit, so sketches differ in no more bits than
+    the sets differ in tokens.
+    """
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = []
+            for tokens in batch.column("tokens"):
+                bits = tokens.values.to_numpy().view(np.uint64) >> np.uint64(65 - SKETCH_BITS.bit_length())
+                odd = np.bincount(bits.astype(np.int64), minlength=SKETCH_BITS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            lengths = np.full(len(marks), SKETCH_BITS // 64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid"), list_array(pa.array(np.concatenate(marks)), lengths)],
+                names=["sid", "sketch"],
+            )
+
+    return sets.select("sid", "tokens").mapInArrow(mark, "sid long, sketch array<long>")
+
+
+def _near_enough(n_a, sketch_a, n_b, sketch_b, threshold: int):
+    """By their sketches two sets may differ in few enough tokens; true where one has no sketch."""
+    bits = sum(
+        (F.bit_count(sketch_a[i].bitwiseXOR(sketch_b[i])) for i in range(SKETCH_BITS // 64)), F.lit(0)
+    )
+    return F.coalesce(bits * (100 + threshold) <= (n_a + n_b) * (100 - threshold), F.lit(True))
+
+
 class _Join:
     """One run over `docs`; the tables it writes are its steps."""
 
@@ -227,11 +261,16 @@ class _Join:
             _postings(rows.join(shared, "token"), self.threshold, self.frequent), "prefixes"
         )
         found = chosen.select(
-            F.explode("tokens").alias("token"), "sid", "n", "need", F.lit(0).alias("alone")
+            F.explode("tokens").alias("token"), "sid", "n", "need", F.lit(0).alias("alone"),
+            F.lit(None).cast("array<long>").alias("sketch"),
         )
 
         dense = chosen.filter(F.col("need") == DENSE)
-        every = self.tokens_of(dense).select("sid", "n", F.explode("tokens").alias("token"))
+        whole = self.tokens_of(dense)
+        every = whole.select("sid", "n", F.explode("tokens").alias("token"))
+        # Sets that may differ in more tokens than about half the bits gain nothing by a sketch.
+        small = 4 * F.col("n") * (100 - self.threshold) < SKETCH_BITS * (100 + self.threshold)
+        sketches = _sketches(whole.filter(small))
         among = every.groupBy("token").agg(F.count("*").alias("df"))
         n = F.col("n")
         p = n - F.floor((n * self.threshold + 99) / 100) + 1
@@ -239,11 +278,12 @@ class _Join:
             F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"),
             F.count_if(F.col("df") == 1).cast("int").alias("alone"),
         )
-        prefix = ordered.select(
-            "sid", "n", "alone", F.explode(F.slice("held", F.lit(1), p.cast("int"))).alias("t")
+        prefix = ordered.join(sketches, "sid", "left").select(
+            "sid", "n", "alone", "sketch",
+            F.explode(F.slice("held", F.lit(1), p.cast("int"))).alias("t"),
         )
         rare_first = prefix.filter("t.df > 1").select(
-            "t.token", "sid", "n", F.lit(1).cast("int").alias("need"), "alone"
+            "t.token", "sid", "n", F.lit(1).cast("int").alias("need"), "alone", "sketch"
         )
         return stored(found.unionByName(rare_first), "postings")
 
@@ -297,10 +337,11 @@ class _Join:
             F.max(F.struct("k", "root")).alias("top"), F.count("*").alias("roots")
         ).filter("roots > 1").select("token", F.col("top.root").alias("top"))
         open_ = stored(labelled.join(largest, "token").withColumn("in_top", F.col("root") == F.col("top")).drop("top"), "open")
-        x = open_.filter("not in_top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "need", "alone", "root")))
+        x = open_.filter("not in_top").select("token", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "need", "alone", "sketch", "root")))
         meets = (F.col("x_root") != F.col("root")) & (F.col("in_top") | (F.col("x_sid") < F.col("sid")))
         pairs = x.join(open_, "token").filter(
             meets & _can_link(F.col("n"), F.col("alone"), F.col("x_n"), F.col("x_alone"), threshold)
+            & _near_enough(F.col("n"), F.col("sketch"), F.col("x_n"), F.col("x_sketch"), threshold)
         ).groupBy(
             F.least("sid", "x_sid").alias("a"), F.greatest("sid", "x_sid").alias("b")
         ).agg(F.count("*").alias("shared"), F.min(F.least("need", "x_need")).alias("need"))
