@@ -22,20 +22,22 @@ import itertools
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, slices, stored, text_bytes
+from broadsheet.llm.common import documents, slices, stored
 
 CAPACITY = 4096
 # (groups, share of the capacity up to which a length is small); in the last, all are.
 SCHEMES = ((8, 0.2), (16, 0.2), (32, 0.2), (32, 0.3), (0, 1.0))
 END_ID = 1
 SALTS = 64  # parts in which the pieces of one length are ranked
-KNOWN_WORDS = 1_000_000  # words whose ids a task remembers at most
+KNOWN_WORDS = 500_000  # words whose ids a worker process remembers, about, at most
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -50,15 +52,14 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
 
-    def _unknown(self, words: list[str]) -> list[str]:
-        return [w for w in set(words) if w not in self]
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        new = self._unknown(words)
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; words new to all of them are encoded in one call."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        words = set().union(*split)
+        new = words.difference(self)
         if len(self) + len(new) > KNOWN_WORDS:
             self.clear()
-            new = self._unknown(words)
+            new = words
         ended = [w for w in new if _stem(w) is not w]
         new = list({_stem(w) for w in new if _stem(w) not in self} | {c for c in ",." if c not in self})
         for word, found in zip(
@@ -67,7 +68,13 @@ class WordIds(dict):
             self[word] = np.array(found.ids, "<u4").tobytes()
         for word in ended:
             self[word] = self[word[:-1]] + self[word[-1]]
-        return b"".join(map(self.__getitem__, words))
+        return [b"".join(map(self.__getitem__, words)) for words in split]
+
+
+@lru_cache(1)
+def _word_ids(path: str) -> WordIds:
+    """One per worker process, so that its tasks load the vocabulary and learn a word once."""
+    return WordIds(path)
 
 
 def _stem(word: str) -> str:
@@ -82,13 +89,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordIds(tokenizer), np.array([END_ID], "<u4").tobytes()
-        for batch in slices(batches):
+        words, end = _word_ids(tokenizer), np.array([END_ID], "<u4").tobytes()
+        for batch in slices(batches, most=2 << 20):
             rows = []
-            for doc, text in zip(
-                batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True
-            ):
-                ids = words.ids(text.decode()) + end
+            texts = pc.fill_null(batch.column("text"), "").to_pylist()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.of_texts(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))
