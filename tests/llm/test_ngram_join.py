@@ -80,6 +80,30 @@ def test_lengthened_prefixes(make, seed, frequent, limit):
     assert ours(make(*rows), frequent=limit) == brute(rows)
 
 
+def test_dense_group_with_and_without_links(make):
+    """Near copies of one text whose pairs lie on both sides of the threshold."""
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(240)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(240), rng.choice([1, 3, 5, 7, 9, 11, 14])):
+            words[k] = f"x{rng.randrange(10**9)}" if rng.random() < .7 else rng.choice(base)
+        rows.append((i, " ".join(words)))
+    assert ours(make(*rows), frequent=8) == brute(rows)
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    rng = np.random.default_rng(5)
+    one = rng.integers(-2**63, 2**63 - 1, 300)
+    other = np.concatenate([one[:260], rng.integers(-2**63, 2**63 - 1, 50)])
+    rows = [(1, np.sort(one).tolist()), (2, np.sort(other).tolist())]
+    marked = nj._sketches(spark.createDataFrame(rows, "sid long, tokens array<long>")).collect()
+    a, b = (r.sketch for r in sorted(marked))
+    assert 0 < sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count()
+                   for x, y in zip(a, b, strict=True)) <= 90
+
+
 def test_choice_keeps_every_similar_pair():
     """For random pairs at the threshold, the chosen prefixes share what both demand at least."""
     rng = np.random.default_rng(0)
