@@ -3,7 +3,8 @@
 Every line that occurs in several documents points from each of them to the first that has it. Two
 documents so connected are aligned if they share a rare line (one of few documents), or enough
 text in frequent ones: copies in thousands have no rare line, and one boilerplate line is no
-overlap. As a document meets only the first holders of its lines, groups of copies cost linear
+overlap. The query and the pipeline set `whole`: there, text enough for a block is enough for a
+pair, so that the size of a table does not decide what goes from it. As a document meets only the first holders of its lines, groups of copies cost linear
 work, and each of its shared lines is met where it first occurs.
 
 Pairs are aligned by patience diff over hashes of their lines: equal starts and ends are matched,
@@ -128,9 +129,14 @@ def _pairs(lines: DataFrame, rare: int, shared_chars: int) -> DataFrame:
 
 
 def decisions(
-    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS,
+    whole: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, deletions): row, doc_id, text_key of all rows; row and its lines to delete, in order."""
+    """(rows, deletions): row, doc_id, text_key of all rows; row and its lines to delete, in order.
+
+    With `whole`, what makes a block also makes a pair, in however many documents it is.
+    """
+    shared_chars = min(shared_chars, block_chars) if whole else shared_chars
     lines = stored(_lines(docs), "lines")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +160,8 @@ def decisions(
 
 
 def dedup(
-    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS,
+    whole: bool = False,
 ) -> DataFrame:
     """All rows and columns, text without the deleted lines, and _gone, their numbers from 0.
 
@@ -163,7 +170,7 @@ def dedup(
     has nothing to delete, nor has an empty one; blank lines match each other but point nowhere.
     An empty table gives no rows. Other columns are carried along.
     """
-    rows, gone = decisions(docs, rare, shared_chars, block_chars)
+    rows, gone = decisions(docs, rare, shared_chars, block_chars, whole)
     named = rows.join(gone, "row", "left")
     # Several rows equal in doc_id and text cannot be told apart by key: they are numbered.
     nth = Window.partitionBy("doc_id", "text_key").orderBy(F.size(F.coalesce("gone", F.array())), "row")
@@ -195,10 +202,10 @@ def dedup(
     )
 
 
-def summary(docs: DataFrame) -> DataFrame:
+def summary(docs: DataFrame, whole: bool = False) -> DataFrame:
     """Per document: how many lines went, their numbers from 0, and a digest of what is left."""
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    return dedup(docs).select(
+    return dedup(docs, whole=whole).select(
         "doc_id", F.size(gone).cast("long").alias("n_removed"),
         F.array_join(F.transform(gone, lambda x: x.cast("string")), ",").alias("removed"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
@@ -206,8 +213,8 @@ def summary(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The rows with something left, with their columns; rows that had nothing to delete stay."""
-    found = dedup(docs)
+    found = dedup(docs, whole=whole)
     left = F.col("_gone").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")
     return found.filter(left).select(*docs.columns)

@@ -77,7 +77,7 @@ def op10_suffix_dedup(spark, sf):
 
 @query
 def op1_line_dedup(spark, sf):
-    return line_dedup.summary(_table(spark, sf, "documents"))
+    return line_dedup.summary(_table(spark, sf, "documents"), whole=True)
 
 
 @query

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from broadsheet.llm import line_dedup as ld
+from broadsheet.llm.queries import QUERIES
 
 
 def patience(a, b):
@@ -120,3 +121,22 @@ def test_agrees_with_a_line_diff_on_simple_edits():
     a = [f"l{i}" for i in range(300)]
     b = [x for x in a if rng.random() > 0.1]
     assert len(ld.align(a, b)) == sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks())
+
+
+def queried(docs, folder):
+    """What the registered query gives for a table of these documents."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    found = QUERIES["op1_line_dedup"](docs.sparkSession, str(folder)).collect()
+    return sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in found)
+
+
+def test_frequent_blocks_go_at_every_frequency(make, tmp_path):
+    notice = "This notice stands in very many documents, word for word."
+    short = ["Ends with three lines", "none of them as long", "as a block has to be"]
+    rows = [(i, "\n".join([notice, f"Text {i} which nobody else has in this table", *short])) for i in range(60)]
+    rows += [(100 + i, "\n".join([f"Other text {i} of one document only", short[0]])) for i in range(40)]
+    got = queried(make(*rows), tmp_path)
+    assert got == brute(rows, shared_chars=ld.BLOCK_CHARS)
+    by = {r[0]: r[1] for r in got}
+    assert by["0"] == 0 and {by[str(i)] for i in range(1, 60)} == {4}
+    assert {by[str(100 + i)] for i in range(40)} == {0}
