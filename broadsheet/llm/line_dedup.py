@@ -4,7 +4,8 @@ Every line that occurs in several documents points from each of them to the firs
 documents so connected are aligned if they share a rare line (one of few documents), or enough
 text in frequent ones: copies in thousands have no rare line, and one boilerplate line is no
 overlap. The query and the pipeline set `whole`: there, text enough for a block is enough for a
-pair, so that the size of a table does not decide what goes from it. As a document meets only the first holders of its lines, groups of copies cost linear
+pair, so that the size of a table does not decide what goes from it, and runs of short lines point
+to their first holders as single lines do, which may be others. As a document meets only the first holders of its lines, groups of copies cost linear
 work, and each of its shared lines is met where it first occurs.
 
 Pairs are aligned by patience diff over hashes of their lines: equal starts and ends are matched,
@@ -19,11 +20,12 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import if_few, stored
+from broadsheet.llm.common import if_few, list_array, mix, stored
 
 RARE = 32  # documents that share a line which alone makes a pair
 SHARED_CHARS = 200  # in frequent lines, which make a pair otherwise
@@ -113,11 +115,63 @@ def _lines(docs: DataFrame) -> DataFrame:
     ).withColumn("row", F.monotonically_increasing_id())
 
 
-def _pairs(lines: DataFrame, rare: int, shared_chars: int) -> DataFrame:
-    """(later, earlier) rows that are to be aligned."""
+def runs(lines: pa.ListArray, chars: pa.ListArray, least: int) -> pa.ListArray:
+    """Per document hashes of the shortest runs of `least` characters from and up to shorter lines.
+
+    Lines follow each other, with as many blank ones between; the spaces of these do not count. Two
+    documents with a block of so much text in common have all of the runs that lie in it, and each
+    of its lines lies in one: in the first from the block's start, or else in the one that it ends.
+    """
+    counts = lines.value_lengths().to_numpy(zero_copy_only=False)
+    line = lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = chars.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    places = np.flatnonzero(line)
+    line, size, doc = line[places].view(np.uint64), size[places], np.repeat(np.arange(len(counts)), counts)[places]
+    owner, found = [places[:0]], [line[:0]]
+    for way in (1, -1):
+        start = last = np.flatnonzero(size < least)
+        key, length = mix(mix(line[start]) + np.uint64(way == 1)), size[start]
+        while len(start):  # a line has a character at least, so `least` rounds at most
+            after = np.clip(last + way, 0, len(line) - 1)
+            go = (after != last) & (doc[after] == doc[start])
+            step = np.abs(places[after] - places[last])[go].astype(np.uint64)
+            start, last, key, length = start[go], after[go], key[go], length[go]
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + mix(mix(line[last]) + step))
+            length = length + size[last]
+            done = length >= least
+            owner.append(doc[start[done]])
+            found.append(key[done])
+            start, last, key, length = start[~done], last[~done], key[~done], length[~done]
+    owner, found = np.concatenate(owner), np.concatenate(found)
+    order = np.argsort(owner, kind="stable")
+    return list_array(pa.array(found[order].view(np.int64)), np.bincount(owner, minlength=len(counts)))
+
+
+def _runs(lines: DataFrame, least: int) -> DataFrame:
+    """(row, doc_id, text_key, line, chars): the runs of documents, as if they were lines."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = runs(batch.column("lines"), batch.column("chars"), least)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("row", "doc_id", "text_key")), found],
+                names=["row", "doc_id", "text_key", "runs"],
+            )
+
+    found = lines.select("row", "doc_id", "text_key", "lines", "chars").mapInArrow(
+        find, "row long, doc_id long, text_key long, runs array<long>"
+    )
+    return found.select(
+        "row", "doc_id", "text_key", F.explode("runs").alias("line"), F.lit(least).alias("chars")
+    )
+
+
+def _pairs(lines: DataFrame, rare: int, shared_chars: int, run_chars: int | None = None) -> DataFrame:
+    """(later, earlier) rows that are to be aligned; by runs of `run_chars`, too, if given."""
     held = lines.select(
         "row", "doc_id", "text_key", F.explode(F.arrays_zip("lines", "chars")).alias("x")
     ).select("row", "doc_id", "text_key", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
+    if run_chars is not None:
+        held = held.unionByName(_runs(lines, run_chars))
     held = held.filter("line != 0").groupBy("line", "row", "doc_id", "text_key").agg(F.max("chars").alias("chars"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "row")
     shared = held.groupBy("line").agg(F.count("*").alias("documents"), F.min(order).alias("first"))
@@ -134,7 +188,8 @@ def decisions(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, deletions): row, doc_id, text_key of all rows; row and its lines to delete, in order.
 
-    With `whole`, what makes a block also makes a pair, in however many documents it is.
+    With `whole`, what makes a block also makes a pair, in however many documents it is and
+    wherever its single lines first occur.
     """
     shared_chars = min(shared_chars, block_chars) if whole else shared_chars
     lines = stored(_lines(docs), "lines")
@@ -147,7 +202,7 @@ def decisions(
                 [batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"]
             )
 
-    pairs = stored(_pairs(lines, rare, shared_chars), "line-pairs")
+    pairs = stored(_pairs(lines, rare, shared_chars, block_chars if whole else None), "line-pairs")
     later = lines.select("row", "lines", "chars").join(pairs.withColumnRenamed("later", "row"), "row")
     earlier = lines.select(F.col("row").alias("earlier"), F.col("lines").alias("earlier_lines"))
     aligned = later.join(earlier, "earlier").select("row", "earlier_lines", "lines", "chars").mapInArrow(

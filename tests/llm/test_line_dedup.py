@@ -1,7 +1,9 @@
 import difflib
 import hashlib
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from broadsheet.llm import line_dedup as ld
@@ -140,3 +142,45 @@ def test_frequent_blocks_go_at_every_frequency(make, tmp_path):
     by = {r[0]: r[1] for r in got}
     assert by["0"] == 0 and {by[str(i)] for i in range(1, 60)} == {4}
     assert {by[str(100 + i)] for i in range(40)} == {0}
+
+
+def test_runs_of_short_lines_point_to_their_own_holder(make, tmp_path):
+    first, second = "The first of these two lines is short", "and the second one, too"
+    rows = [(i, "\n".join([first, f"a{i}"])) for i in range(40)]
+    rows += [(100 + i, "\n".join([f"b{i}", second])) for i in range(40)]
+    rows += [(200, f"c\n{first}\n{second}"), (201, f"{first}\n{second}\nd"), (202, f"e\n\n{first}\n{second}"),
+             (203, f"{first}\n\n{second}\nf"), (204, f"g\n{first}\n\n{second}")]
+    rows += [(300, "\n".join(["again"] * 9)), (301, "\n".join(["x", *["again"] * 9]))]
+    by = {r[0]: r[1] for r in queried(make(*rows), tmp_path)}
+    assert [by[str(i)] for i in range(200, 205)] == [0, 2, 2, 0, 3]
+    assert by["300"] == 0 and by["301"] == 9
+    assert not any(by[str(i)] or by[str(100 + i)] for i in range(40))
+
+
+def test_runs_equal_plain_loops():
+    rng, size = random.Random(2), {0: 0, 5: 3, -7: 10, 9: 25, 11: 45}
+    for _ in range(100):
+        lines = [[rng.choice([0, *size]) for _ in range(rng.randint(0, 12))] for _ in range(rng.randint(0, 6))]
+        expected = []
+        for own in lines:
+            expected.append([])
+            for way, x in ((1, own), (-1, own[::-1])):
+                for i in range(len(x)):
+                    to = next((j for j in range(i + 1, len(x) + 1) if sum(size[y] for y in x[i:j]) >= 40), None)
+                    if x[i] and to and to > i + 1:
+                        expected[-1].append((way, *x[i:to]))
+        chars = [[size[x] for x in own] for own in lines]
+        got = ld.runs(pa.array(lines, pa.list_(pa.int64())), pa.array(chars, pa.list_(pa.int32())), 40).to_pylist()
+        assert [len(x) for x in got] == [len(x) for x in expected]
+        assert sorted(Counter(h for x in got for h in x).values()) == sorted(
+            Counter(r for x in expected for r in x).values()
+        )
+
+
+def test_a_short_line_behind_a_long_one(make, tmp_path):
+    long, short = "A line of its own length, which other documents have as well", "A short line behind it"
+    rows = [(i, f"{long}\na{i}") for i in range(40)] + [(100 + i, f"b{i}\n{short}") for i in range(40)]
+    rows += [(200, f"c\n{long}\n{short}"), (201, f"{long}\n{short}\nd")]
+    by = {r[0]: r[1] for r in queried(make(*rows), tmp_path)}
+    assert by["0"] == 0 and by["1"] == 1 and by["100"] == by["139"] == 0
+    assert by["200"] == 1 and by["201"] == 2
