@@ -280,7 +280,12 @@ def predict_all(docs: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The rows, with their columns, whose language can be told with a score of `least`."""
+    """The rows, with their columns, whose language can be told with a score of `least`.
+
+    Where the model has learnt nothing no language can be told, and the rows with a letter stay.
+    """
+    if not model.words:
+        return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     found = identify(docs, model, tuple(docs.columns))
     sure = (F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least)
     return found.filter(sure).select(*docs.columns)

@@ -1,5 +1,7 @@
 import zlib
 
+from pyspark.sql import functions as F
+
 from broadsheet.llm import langid
 
 
@@ -41,3 +43,15 @@ def test_rejects_what_cannot_be_told(make):
     docs = make((1, None), (2, "!!!"), (3, "the and of"), (6, "the of"))
     kept = langid.reject(docs, langid.fit(docs))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 6]
+
+
+def test_keeps_what_has_a_letter_where_nothing_was_learnt(make):
+    docs = make((1, None), (2, "12 ²½ _!"), (3, "the and of"), (6, "é"), (None, "1 x"), (7, ""))
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    nothing_read = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.lit("12")).otherwise(F.lit(None)))
+    for rows in (unlabelled, docs.filter(langid.held_out())):
+        assert langid.fit(rows).words == {}
+        kept = langid.reject(rows, langid.fit(rows))
+        assert kept.columns == docs.columns
+        assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows.collect()} & {3, 6, None}
+    assert {r.doc_id for r in langid.reject(docs, langid.fit(nothing_read)).collect()} == {3, 6, None}
