@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import (
     ann,
+    fim,
     fingerprints,
     langid,
     line_dedup,
@@ -122,3 +123,39 @@ FROM d
 @query
 def op9_sentencepiece(spark, sf):
     return transducer.round_trip(_table(spark, sf, "documents"), PIECE_BPE)
+
+
+@query
+def op11_fim(spark, sf):
+    return fim.round_trip(_table(spark, sf, "documents"))
+
+
+ORACLES["op11_fim"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+c AS (
+  SELECT *, len(units) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS x,
+    CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+        OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+),
+p AS (
+  SELECT *, array_to_string(units[1:least(x, y)], '') AS prefix,
+    array_to_string(units[least(x, y) + 1:greatest(x, y)], '') AS middle,
+    array_to_string(units[greatest(x, y) + 1:n], '') AS suffix
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
