@@ -14,6 +14,7 @@ from broadsheet.llm import (
     fingerprints,
     langid,
     line_dedup,
+    manifest,
     merkle,
     ngram_join,
     packing,
@@ -159,3 +160,76 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+
+@query
+def op12_manifest(spark, sf):
+    return manifest.verified_documents(_table(spark, sf, "documents"))
+
+
+def _manifest_sql(levels: int = 7, top_levels: int = 3) -> str:
+    """SQL of the manifest for up to 8 ** levels documents per language and 8 ** top_levels languages.
+
+    Of a level that a tree does not have, the one node is left as it is.
+    """
+    def digest(text: str) -> str:
+        values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+        return "sha256(" + " || ".join(
+            f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = f"translate(text, '{capitals}', '{capitals.lower()}')"
+    # The checksum of the id's digits: each is put into the register, which is then shifted 8 times.
+    steps = """flatten(list_transform(range(1, length(id) + 1),
+      lambda i: [CAST(ascii(substr(id, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"""
+    register = f"""list_reduce(list_concat([4294967295], {steps}),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)"""
+    ctes = [f"""l AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS grp, {digest("text")} AS leaf,
+    CASE WHEN xor({register}, 4294967295) % 3 = 0 THEN {digest(lowered)} ELSE {digest("text")} END AS presented,
+    CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS BIGINT) AS place
+  FROM (SELECT *, CAST(doc_id AS VARCHAR) AS id FROM documents)
+)""", "a0 AS (SELECT grp, place, leaf AS d FROM l)"]
+
+    def tree(name: str, height: int) -> None:
+        """Per level the runs, as the text of their digests, and the nodes above them."""
+        for k in range(height):
+            ctes.append(
+                f"{name}r{k} AS (SELECT grp, place // 8 AS run, string_agg(d, '' ORDER BY place) AS t,"
+                f" sum(count(*)) OVER (PARTITION BY grp) AS n FROM {name}{k} GROUP BY grp, place // 8)")
+            ctes.append(
+                f"{name}{k + 1} AS (SELECT grp, run AS place, CASE WHEN n > 1 THEN sha256(t) ELSE t END AS d"
+                f" FROM {name}r{k})")
+
+    def climb(name: str, height: int, before: str) -> str:
+        """Proofs and folded nodes of all leaves, level by level up a tree."""
+        for k in range(height):
+            side = f"""substr(t, 1, 64 * (q.pos % 8))"""
+            other = f"""substr(t, 64 * (q.pos % 8) + 65)"""
+            ctes.append(f"""{name}q{k} AS (
+  SELECT q.* EXCLUDE (proof, fold, pos), q.pos // 8 AS pos,
+    CASE WHEN n > 1 THEN proof || {side} || {other} ELSE proof END AS proof,
+    CASE WHEN n > 1 THEN sha256({side} || fold || {other}) ELSE fold END AS fold
+  FROM {before} q JOIN {name}r{k} r ON r.grp = q.grp AND r.run = q.pos // 8
+)""")
+            before = f"{name}q{k}"
+        return before
+
+    tree("a", levels)
+    ctes.append(f"s AS (SELECT grp, d, CAST(row_number() OVER (ORDER BY grp) - 1 AS BIGINT) AS place FROM a{levels})")
+    ctes.append("b0 AS (SELECT '' AS grp, place, d FROM s)")
+    tree("b", top_levels)
+    ctes.append("q AS (SELECT doc_id, leaf, presented, grp, place AS pos, '' AS proof, presented AS fold FROM l)")
+    inner = climb("a", levels, "q")
+    ctes.append(f"""u AS (
+  SELECT doc_id, leaf, s.d AS subroot, '' AS grp, s.place AS pos, proof, fold FROM {inner} q JOIN s ON s.grp = q.grp
+)""")
+    outer = climb("b", top_levels, "u")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, leaf, subroot, b{top_levels}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+  fold = b{top_levels}.d AS verified
+FROM {outer} CROSS JOIN b{top_levels}
+"""
+
+
+ORACLES["op12_manifest"] = _manifest_sql()
