@@ -36,6 +36,15 @@ def same_version(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
 
 
+def free_names(rows: DataFrame, *names: str) -> list[str]:
+    """Column names made from `names` that `rows` does not have, in whatever case."""
+    taken = {c.lower() for c in rows.columns}
+    mark = "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [f"{mark}{name}" for name in names]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: it cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)

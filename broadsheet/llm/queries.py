@@ -16,6 +16,7 @@ from broadsheet.llm import (
     line_dedup,
     manifest,
     merkle,
+    mixture,
     ngram_join,
     packing,
     secrets,
@@ -233,3 +234,8 @@ FROM {outer} CROSS JOIN b{top_levels}
 
 
 ORACLES["op12_manifest"] = _manifest_sql()
+
+
+@query
+def op13_mixture(spark, sf):
+    return mixture.mix(_table(spark, sf, "documents"))

@@ -52,10 +52,14 @@ def numbered(rows: DataFrame, by: str, into: str = "place") -> DataFrame:
 
 
 def repeated(rows: DataFrame, times: str, into: str = "copy") -> DataFrame:
-    """Every row `times` times, numbered from 0; many copies of one row are made by several tasks."""
-    first = F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(AT_ONCE).cast("long")))
-    blocks = rows.filter(F.col(times) > 0).withColumn("_first", first)
-    last = F.least(F.col("_first") + AT_ONCE, F.col(times)) - 1
-    return (
-        blocks.hint("rebalance").withColumn(into, F.explode_outer(F.sequence("_first", last))).drop("_first")
-    )
+    """Every row `times` times, numbered from 0; many copies of one row are made by several tasks.
+
+    `rows` are read twice, and have no column of the names `into` and `into`_first.
+    """
+    first, few = f"{into}_first", F.col(times).between(1, AT_ONCE)
+    upto = F.sequence(F.lit(0).cast("long"), F.col(times) - 1)
+    starts = F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(AT_ONCE).cast("long"))
+    last = F.least(F.col(first) + AT_ONCE, F.col(times)) - 1
+    blocks = rows.filter(F.col(times) > AT_ONCE).withColumn(first, F.explode_outer(starts)).hint("rebalance")
+    many = blocks.withColumn(into, F.explode_outer(F.sequence(F.col(first), last))).drop(first)
+    return rows.filter(few).withColumn(into, F.explode_outer(upto)).unionByName(many)
