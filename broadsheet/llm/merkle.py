@@ -1,7 +1,7 @@
 """Fixity audit of web archives by Merkle trees over ordered offset ranges.
 
 A page is a WARC record. Records lie in shards, one after the other by page_id, so each has an
-offset. A record's leaf hashes its bytes; a node hashes the offsets and digests of up to FANOUT
+offset. A record's leaf hashes its place and its bytes; a node hashes the offsets and digests of up to FANOUT
 nodes that follow each other, up to one root per shard, and shards' roots are treated alike up to
 one root of all. Two replicas are compared from the root: of each level only the children of
 nodes that differ are looked at, so what is joined is FANOUT times the damage, not the archive.
@@ -32,32 +32,54 @@ def record(url: Column, payload: Column) -> Column:
     return F.encode(F.concat(head, payload, F.lit(_END * 2)), "utf-8")
 
 
-def archive(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
-    """(page_id, shard, seq, start, stop, record): the records of pages, placed in shards.
-
-    Shards are dealt by a hash of the address, so no host fills one. Pages without an id come last
-    in their shard; repeated rows are records of their own, in any order among themselves.
-    """
+def records(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """(page_id, shard, record): the records of pages, dealt to shards by a hash of the address, so
+    that no host fills one."""
     n = pages.count()
     shards = max(1, -(-n // shard_records))
     url = F.coalesce(F.col("url"), F.lit(""))
     spread = F.concat_ws(":", url, F.coalesce(F.col("page_id"), F.lit(-1)).cast("string"))
     shard = F.conv(F.substring(F.md5(spread), 1, 8), 16, 10).cast("long") % shards
-    rows = pages.select(
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"), shard.alias("shard"),
         record(F.col("url"), F.col("html")).alias("record"),
     )
-    order = Window.partitionBy("shard").orderBy(F.asc_nulls_last("page_id"), F.sha2("record", 256))
-    stop = F.sum(F.octet_length("record").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("long")).withColumn("stop", stop)
-    return placed.withColumn("start", F.col("stop") - F.octet_length("record"))
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """(shard, at, start, stop, digest) of records, which need not be all of their shards'."""
-    return records.select(
-        "shard", F.col("seq").alias("at"), "start", "stop", F.sha2("record", 256).alias("digest")
-    )
+def placed(rows: DataFrame) -> DataFrame:
+    """`rows` with seq, start and stop: they follow each other by page_id within a shard.
+
+    They have page_id, shard, length and sha256. Pages without an id come last; repeated rows are
+    records of their own, in any order among themselves.
+    """
+    order = Window.partitionBy("shard").orderBy(F.asc_nulls_last("page_id"), "sha256")
+    stop = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    seq = (F.row_number().over(order) - 1).cast("long")
+    numbered = rows.withColumn("seq", seq).withColumn("stop", stop)
+    return numbered.withColumn("start", F.col("stop") - F.col("length"))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """`rows` with length and sha256 in the place of the record, so that no bytes are shuffled."""
+    length = F.octet_length("record").cast("long")
+    kept = [c for c in rows.columns if c != "record"]
+    return rows.select(*kept, length.alias("length"), F.sha2("record", 256).alias("sha256"))
+
+
+def archive(pages: DataFrame, shard_records: int = SHARD_RECORDS) -> DataFrame:
+    """(page_id, shard, record, length, sha256, seq, stop, start): records at their places."""
+    rows = records(pages, shard_records)
+    length = F.octet_length("record").cast("long")
+    return placed(rows.withColumn("length", length).withColumn("sha256", F.sha2("record", 256)))
+
+
+def leaves(index: DataFrame) -> DataFrame:
+    """(shard, at, start, stop, digest) of an index, which need not have all records of its shards.
+
+    A leaf hashes a record's place with its bytes, so records that have moved differ.
+    """
+    digest = F.sha2(F.concat_ws(":", F.col("start").cast("string"), F.col("stop").cast("string"), "sha256"), 256)
+    return index.select("shard", F.col("seq").alias("at"), "start", "stop", digest.alias("digest"))
 
 
 def _parents(nodes: DataFrame, by: str) -> DataFrame:
@@ -76,11 +98,15 @@ def _parents(nodes: DataFrame, by: str) -> DataFrame:
 
 
 def tree(bottom: DataFrame, records_in_shard: int, shards: int) -> list[tuple[str, DataFrame]]:
-    """Levels from the leaves to the root, each with what numbers its nodes: at, then shard."""
+    """Levels from the leaves to the root, each with what numbers its nodes: at, then shard.
+
+    The first level above the leaves is written, as all others follow from it.
+    """
     levels, size = [("at", bottom)], records_in_shard
     while size > 1:
         size = -(-size // FANOUT)
-        levels.append(("at", _parents(levels[-1][1], "at")))
+        parents = _parents(levels[-1][1], "at")
+        levels.append(("at", stored(parents, "merkle-level") if len(levels) == 1 else parents))
     while shards > 1:
         shards = -(-shards // FANOUT)
         levels.append(("shard", _parents(levels[-1][1], "shard")))
@@ -111,44 +137,58 @@ def differing(first: list[tuple[str, DataFrame]], second: list[tuple[str, DataFr
 
 
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
-    """Every record of `original` (page_id, shard, seq, start, stop, record) with its state.
+    """Every record of two indexes (page_id, shard, seq, start, stop, sha256) with its state.
 
-    Returns page_id, shard, seq, start, length, sha256, replica_sha256 and state: `ok`, `altered`,
-    or `missing` from the replica. An empty original gives no rows.
+    Returns page_id, shard, seq, start, length, sha256, replica_sha256 and state: `ok`, `altered`
+    (other bytes), `moved` (the same bytes elsewhere in the shard), `missing` from the replica or
+    `extra`, which only the replica has; of the last, place and page_id are the replica's. Records
+    are one if shard and seq are. Two empty indexes give no rows.
     """
-    mine = stored(original.select(
-        "page_id", "shard", "seq", "start", "stop", F.sha2("record", 256).alias("digest")
-    ), "original-leaves")
-    other = stored(leaves(replica), "replica-leaves")
-    bottom = mine.select("shard", F.col("seq").alias("at"), "start", "stop", "digest")
-    most = mine.agg(F.max("seq"), F.max("shard")).first()
+    columns = ("page_id", "shard", "seq", "start", "stop", "sha256")
+    mine = stored(original.select(*columns), "original-index")
+    other = stored(replica.select(*columns), "replica-index")
+    most = mine.unionByName(other).agg(F.max("seq"), F.max("shard")).first()
     size, shards = ((most[0] or 0) + 1, (most[1] or 0) + 1)
-    bad = differing(tree(bottom, size, shards), tree(other, size, shards))
-    found = bad.filter(F.col("digest").isNotNull()).select(
-        "shard", F.col("at").alias("seq"), "other_digest", F.lit(True).alias("bad")
+    bad = differing(tree(leaves(mine), size, shards), tree(leaves(other), size, shards))
+    places = bad.select("shard", F.col("at").alias("seq"))
+    theirs = other.join(places, ["shard", "seq"], "left_semi").select(
+        "shard", "seq", *(F.col(c).alias(f"other_{c}") for c in ("page_id", "start", "stop", "sha256"))
+    )
+    found = places.withColumn("bad", F.lit(True)).join(theirs, ["shard", "seq"], "left")
+    state = (
+        F.when(F.col("bad").isNull(), "ok").when(F.col("sha256").isNull(), "extra")
+        .when(F.col("other_sha256").isNull(), "missing")
+        .when(F.col("sha256") == F.col("other_sha256"), "moved").otherwise("altered")
     )
-    state = F.when(F.col("bad").isNull(), "ok").when(F.col("other_digest").isNull(), "missing").otherwise("altered")
-    return mine.join(found, ["shard", "seq"], "left").select(
-        "page_id", "shard", "seq", "start", (F.col("stop") - F.col("start")).alias("length"),
-        F.col("digest").alias("sha256"),
-        F.when(F.col("bad").isNull(), F.col("digest")).otherwise(F.col("other_digest")).alias("replica_sha256"),
+    start = F.coalesce("start", "other_start")
+    return mine.join(found, ["shard", "seq"], "full_outer").select(
+        F.when(F.col("sha256").isNull(), F.col("other_page_id")).otherwise(F.col("page_id")).alias("page_id"),
+        "shard", "seq", start.alias("start"), (F.coalesce("stop", "other_stop") - start).alias("length"),
+        "sha256", F.when(F.col("bad").isNull(), F.col("sha256")).otherwise(F.col("other_sha256"))
+        .alias("replica_sha256"),
         state.alias("state"),
     )
 
 
-def damaged(records: DataFrame) -> DataFrame:
-    """A copy of records in which some are lost and some have one byte changed, by page_id."""
-    middle = F.floor(F.octet_length("record") / 2).cast("int")
+def damaged(column: Column, page_id: Column) -> Column:
+    """A record of a copy in which some are lost (missing) and some have one byte changed, by page_id."""
+    middle = F.floor(F.octet_length(column) / 2).cast("int")
     changed = F.concat(
-        F.substring("record", F.lit(1), middle), F.lit(b"\x00"),
-        F.substring("record", middle + 2, F.octet_length("record")),
+        F.substring(column, F.lit(1), middle), F.lit(b"\x00"),
+        F.substring(column, middle + 2, F.octet_length(column)),
     )
-    altered = F.coalesce(F.col("page_id") % 101 == 7, F.lit(False))
-    lost = F.coalesce(F.col("page_id") % 211 == 5, F.lit(False))
-    return records.filter(~lost).withColumn("record", F.when(altered, changed).otherwise(F.col("record")))
+    altered = F.coalesce(page_id % 101 == 7, F.lit(False))
+    lost = F.coalesce(page_id % 211 == 5, F.lit(False))
+    return F.when(~lost, F.when(altered, changed).otherwise(column))
 
 
 def audit_copy(pages: DataFrame) -> DataFrame:
-    """The audit of the archive of `pages` against a damaged copy that was written and read again."""
-    original = archive(pages)
-    return audit(original, stored(damaged(original), "replica"))
+    """The audit of the archive of `pages` against a damaged copy with the same places.
+
+    Records and their copies are hashed where they are read; what is shuffled are their digests.
+    """
+    rows = records(pages)
+    copy = F.sha2(damaged(F.col("record"), F.col("page_id")), 256)
+    index = stored(placed(measured(rows.withColumn("copy", copy))), "index")
+    replica = index.filter(F.col("copy").isNotNull()).withColumn("sha256", F.col("copy"))
+    return audit(index, replica)

@@ -1,6 +1,7 @@
 import hashlib
 
 from checks.compare import connect, rows_of
+from pyspark.sql import functions as F
 
 from broadsheet.llm import merkle
 from broadsheet.llm.queries import ORACLES, QUERIES
@@ -38,11 +39,17 @@ def test_offsets_and_records(spark):
             at = r.stop
 
 
+def damaged(archive):
+    record = merkle.damaged(F.col("record"), F.col("page_id"))
+    copy = archive.withColumn("record", record).filter("record IS NOT NULL")
+    return copy.withColumn("sha256", F.sha2("record", 256))
+
+
 def test_descends_to_the_damage(spark):
     records = merkle.archive(pages(spark, 300), shard_records=40).cache()
     same = merkle.audit(records, records).collect()
     assert len(same) == 303 and {r.state for r in same} == {"ok"}
-    got = {(r.shard, r.seq): r for r in merkle.audit(records, merkle.damaged(records)).collect()}
+    got = {(r.shard, r.seq): r for r in merkle.audit(records, damaged(records)).collect()}
     for r in records.collect():
         found = got[r.shard, r.seq]
         expected = "missing" if r.page_id in (5, 216) else "altered" if r.page_id in (7, 108, 209) else "ok"
@@ -53,5 +60,32 @@ def test_descends_to_the_damage(spark):
     assert {r.shard for r in lost if r.state == "missing"} == {1}
 
 
+def test_records_that_only_the_replica_has(spark):
+    records = merkle.archive(pages(spark, 60), shard_records=20).cache()
+    last = records.filter("shard = 0").orderBy(F.desc("seq")).limit(1)
+    more = last.selectExpr(
+        "77777L AS page_id", "shard", "record", "length", "sha256", "seq + 1 AS seq", "stop + length AS stop",
+        "stop AS start")
+    beyond = more.withColumn("shard", F.lit(40).cast("long"))  # a shard of its own
+    got = merkle.audit(records, records.unionByName(more).unionByName(beyond)).collect()
+    extra = [r for r in got if r.state == "extra"]
+    assert len(got) == 65 and {r.shard for r in extra} == {0, 40} and {r.page_id for r in extra} == {77777}
+    assert {r.state for r in got if r not in extra} == {"ok"} and all(r.sha256 is None for r in extra)
+
+
+def test_records_that_moved(spark):
+    records = merkle.archive(pages(spark, 60), shard_records=20).cache()
+    moved = records.withColumn("start", F.col("start") + 100).withColumn("stop", F.col("stop") + 100)
+    got = merkle.audit(records, moved.filter("shard = 1").unionByName(records.filter("shard != 1"))).collect()
+    assert len(got) == 63 and {(r.state, r.shard == 1) for r in got} == {("moved", True), ("ok", False)}
+    assert all(r.sha256 == r.replica_sha256 for r in got)
+
+
+def test_a_very_long_page(spark):
+    docs = spark.createDataFrame([(1, "http://a", "é" * 3_000_000, None, "x"), (2, None, "b", None, "x")], PAGES)
+    got = {r.page_id: r for r in merkle.audit_copy(docs).collect()}
+    assert got[1].length > 6_000_000 and got[2].start == got[1].length and got[1].state == "ok"
+
+
 def test_empty_table(spark):
     assert merkle.audit_copy(pages(spark, 0)).count() == 0

@@ -77,7 +77,7 @@ def test_packed_whole(steps, spark, sf_dir):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_empty_documents(spark, documents, sf_dir):
