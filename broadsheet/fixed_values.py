@@ -46,6 +46,7 @@ DEFAULT_LANGUAGE = "en"
 FETCHED_CATEGORIES = (
     "top", "technology", "science", "business", "health", "politics", "sports",
 )
+TIMER_CATEGORIES = ("top", "technology", "science", "business", "health")
 
 # --- fixed values: limits -------------------------------------------------------------------
 MAX_PAGE = 100

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +12,8 @@ from pyspark.sql import types as T
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import text, vectors
 from broadsheet.functions.chunking import chunk_id, with_chunks
+from broadsheet.operators import text_model
+from broadsheet.session import settle
 
 
 def chunk_articles(
@@ -60,39 +60,23 @@ def attach_vectors_or_zero(chunks: DataFrame, embeddings: DataFrame, dim: int) -
     )
 
 
-def _terms(dim: int) -> list:
-    return [
-        RegexTokenizer(inputCol="document", outputCol="_words", pattern=r"[^\p{L}\p{N}]+"),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-    ]
-
-
-def _as_arrays(rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.withColumn("embedding", vector_to_array("_unit", "float32")).select(
-        *columns, "embedding"
-    )
-
-
 def vectorise(chunks: DataFrame, dim: int = 256) -> DataFrame:
     """Chunks with a unit vector of their words, weighted by how rare a word is in `chunks`.
 
-    Stands in for a remote embedding model: fitted and applied by Spark over the whole table.
+    Stands in for a remote embedding model: fitted and applied by Spark over the whole table, which
+    is computed once. The weights are those of this table alone; for an index that grows, and for
+    queries in its space, see `text_model`.
     """
-    stages = [
-        *_terms(dim),
-        IDF(inputCol="_tf", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_unit"),
-    ]
-    fitted = Pipeline(stages=stages).fit(chunks)
-    return _as_arrays(fitted.transform(chunks), chunks.columns)
+    rows = settle(chunks)
+    return text_model.fit(rows, dim).vectors(rows)
 
 
 def hashed_vectors(chunks: DataFrame, dim: int = 256) -> DataFrame:
     """As `vectorise` but without weights, so nothing is fitted: for loads that come one by one."""
-    tokenizer, counter = _terms(dim)
+    tokenizer, counter = text_model.terms(dim)
     counted = counter.transform(tokenizer.transform(chunks))
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counted)
-    return _as_arrays(unit, chunks.columns)
+    return text_model.as_arrays(unit, chunks.columns)
 
 
 def model_vectors(

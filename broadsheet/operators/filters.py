@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
@@ -38,27 +41,53 @@ def list_articles(
     limit: int = fixed.DEFAULT_PAGE,
     offset: int = 0,
     category: str | None = None,
+    after: PageToken | None = None,
 ) -> DataFrame:
     """One page of articles, newest first; articles without a time come last.
 
     The time of the page's last row is found on that column alone; the wide rows are then filtered
-    by it, which lets the scan skip the files and row groups of older articles.
+    by it, which lets the scan skip the files and row groups of older articles. A page that is
+    named by the one before it, with `after`, costs what the first one does; with an offset all
+    rows before it are sorted.
     """
     if not 1 <= limit <= fixed.MAX_PAGE or offset < 0:
         raise ValueError(f"limit must be 1 to {fixed.MAX_PAGE} and offset not negative")
     rows = of_category(articles, category)
+    if after is not None:
+        rows = rows.filter(after.beyond())
     newest = rows.select("created_at").orderBy(F.desc_nulls_last("created_at"))
     oldest = newest.limit(offset + limit).agg(F.min("created_at")).scalar()
-    dated = rows.filter(F.col("created_at") >= oldest)
-    undated = rows.filter(F.col("created_at").isNull())
     return (
-        dated.unionByName(undated)
+        rows.filter((F.col("created_at") >= oldest) | F.col("created_at").isNull())
         .orderBy(F.desc_nulls_last("created_at"), "article_id")
         .offset(offset)
         .limit(limit)
     )
 
 
+@dataclass(frozen=True)
+class PageToken:
+    """The last row of a page, after which the next one begins."""
+
+    created_at: datetime | None
+    article_id: str
+
+    @staticmethod
+    def of(page: DataFrame) -> PageToken | None:
+        """The token of a page, of which the last row is collected; none for an empty one."""
+        last = page.orderBy(F.asc_nulls_first("created_at"), F.desc("article_id"))
+        row = last.select("created_at", "article_id").first()
+        return row and PageToken(row.created_at, row.article_id)
+
+    def beyond(self) -> Column:
+        """Whether a row comes later in the order of pages; the bounds reach the scan."""
+        later, at = F.col("article_id") > self.article_id, F.col("created_at")
+        if self.created_at is None:
+            return at.isNull() & later
+        here = F.lit(self.created_at)
+        return (at < here) | ((at == here) & later) | at.isNull()
+
+
 def to_public(articles: DataFrame) -> DataFrame:
     """All columns as handed out: the load time as text, no list of keywords as the empty list."""
     changed = {

@@ -6,15 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text
-from broadsheet.session import broadcast_if_few
+from broadsheet.operators.lookup import article_of, of_articles
+
+# Columns of an article that its chunks do not have; missing in hits whose article is not stored.
+ARTICLE_ONLY = (
+    "description", "content", "source_url", "country", "language", "image_url", "sentiment", "keywords",
+)
 
 
 def with_chunk_columns(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits with the stored columns of their chunk.
 
-    The search itself reads vectors only; the texts are fetched here, for the hits alone.
+    The search itself reads vectors only; the texts are fetched here, for the hits alone. From a
+    table with buckets these are looked up by their articles; `hits` is then read twice, so settle
+    it before.
     """
-    return hits.join(chunks.drop("embedding"), "chunk_id")
+    texts = chunks.drop("embedding")
+    if "bucket" in chunks.columns:
+        ids = hits.select(article_of("chunk_id").alias("article_id"))
+        texts = of_articles(texts, ids).drop("bucket", "load_id")
+    return hits.join(texts, "chunk_id")
 
 
 def first_hit(hits: DataFrame) -> DataFrame:
@@ -38,11 +49,10 @@ def numbered(hits: DataFrame, into: str = "source_no") -> DataFrame:
 def enrich_hits(hits: DataFrame, articles: DataFrame) -> DataFrame:
     """Hits with the columns of their article; the chunk's own columns where it is not stored.
 
-    The articles are first cut down to those of the hits, whose ids are few and broadcast: an
-    outer join alone would shuffle the whole table. `hits` is read twice, so settle it before.
+    The articles are first cut down to those of the hits: an outer join alone would shuffle the
+    whole table. `hits` is read twice, so settle it before.
     """
-    ids = broadcast_if_few(hits.select("article_id"))
-    a = articles.join(ids, "article_id", "left_semi").alias("a")
+    a = of_articles(articles, hits).alias("a")
     h = hits.alias("h")
     joined = h.join(a, F.col("h.article_id") == F.col("a.article_id"), "left")
     stored = F.col("a.article_id").isNotNull()
@@ -60,8 +70,7 @@ def enrich_hits(hits: DataFrame, articles: DataFrame) -> DataFrame:
         either("category", "category").alias("category"),
         either("published_at", "published_at").alias("published_at"),
         either("url", "url").alias("url"),
-        F.col("a.description").alias("description"),
-        F.col("a.sentiment").alias("sentiment"),
+        *[F.col(f"a.{c}").alias(c) if c in articles.columns else F.lit(None).alias(c) for c in ARTICLE_ONLY],
         F.col("a.created_at").cast("string").alias("created_at"),
         stored.alias("is_stored"),
         F.col("h.relevance").alias("relevance_score"),

@@ -1,9 +1,10 @@
 """Exact top-k search of a batch of query vectors over a chunk table.
 
 Every task scores its part of the table against the query vectors as a matrix product and keeps k
-rows per query, so the pairs of queries and chunks never become rows. A small batch of queries is
-broadcast after its size was checked; a larger one is split into blocks that meet the parts of the
-table in a grid of cells, each of bounded size.
+rows per query, so the pairs of queries and chunks never become rows. A batch of queries whose
+rows and bytes were checked is broadcast in blocks, all of which are scored in one scan of the
+table; a larger one is split into blocks that meet the parts of the table in a grid of cells, each
+of bounded size.
 """
 
 from __future__ import annotations
@@ -18,23 +19,25 @@ from pyspark.sql import types as T
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import vectors
 
-# A batch up to this size is broadcast to the tasks; 8 bytes per vector component.
-BROADCAST_BYTES = 32 * 1024 * 1024
-BROADCAST_ROWS = 4096
+# A batch up to this size is broadcast to the tasks; 8 bytes per vector component. What a task keeps
+# are k rows per query.
+BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 16_384
+BLOCK_QUERIES = 256  # queries that are scored at once
 # Rows per block of queries and per part of the table, in the grid for larger batches.
 GRID_QUERIES = 2048
 GRID_CHUNKS = 20_000
 # Per query the rows kept by the tasks are merged in this many groups first.
 MERGE_GROUPS = 32
 
-_HIT = T.StructType([
+HIT = T.StructType([
     T.StructField("query_id", T.LongType()),
     T.StructField("chunk_id", T.StringType()),
     T.StructField("cosine", T.DoubleType()),
 ])
 
 
-def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
+def scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
     """The work of one task: top k of its chunks for every query, by (cosine, chunk id).
 
     Tables with a column `buckets` score only pairs that share a bucket at any position. Defined as
@@ -95,6 +98,18 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         least[full] = hits.column("cosine").to_numpy()[last[full]]
         return least
 
+    def within(queries, part):
+        """Per query and chunk, whether the chunk was published in the query's time; None for all."""
+        import numpy as np
+
+        if "published" not in part.column_names or "from" not in queries.column_names:
+            return None
+        at = part.column("published").to_numpy()[None, :]
+        first, last = (queries.column(c).to_numpy()[:, None] for c in ("from", "to"))
+        asked = ~(np.isnan(first) & np.isnan(last))
+        inside = (np.isnan(first) | (at >= first)) & (np.isnan(last) | (at <= last))
+        return ~asked | inside
+
     def score(queries, tables):
         import numpy as np
         import pyarrow as pa
@@ -105,12 +120,14 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
         wanted = code(queries, categories)
         vectors = unit_length(matrix(queries, "embedding"))
         query_buckets = matrix(queries, "buckets") if "buckets" in queries.column_names else None
-        kept = pa.table({
+        nothing = pa.table({
             "query": pa.array([], pa.int64()),
             "chunk_id": pa.array([], pa.string()),
             "cosine": pa.array([], pa.float64()),
         })
-        least = kth_best(kept, len(ids))
+        blocks = range(0, len(ids), BLOCK_QUERIES)
+        kept = {block: nothing for block in blocks}  # bounded: k rows per query
+        least = np.full(len(ids), -np.inf)
         parts = (t.slice(start, 2048) for t in tables for start in range(0, len(t), 2048))
         for part in parts:
             chunk_ids = part.column("chunk_id").combine_chunks()
@@ -118,14 +135,16 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
             unit = unit_length(matrix(part, "embedding"))
             if query_buckets is not None:
                 chunk_buckets = matrix(part, "buckets")
-            found = [kept]
-            for block in range(0, len(ids), 256):
-                rows = slice(block, block + 256)
+            for block in blocks:
+                rows = slice(block, block + BLOCK_QUERIES)
                 asked = wanted[rows, None]
                 allowed = (asked < 0) | (asked == category[None, :])
                 if query_buckets is not None:
                     same = query_buckets[rows, None, :] == chunk_buckets[None, :, :]
                     allowed &= same.any(axis=2)
+                timely = within(queries.slice(block, BLOCK_QUERIES), part)
+                if timely is not None:
+                    allowed &= timely
                 if vectors.shape[1] and unit.shape[1]:
                     cosine = np.round(vectors[rows] @ unit.T, 12) + 0.0
                 else:  # one side has no vector at all
@@ -137,19 +156,22 @@ def _scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
                     reached = np.maximum(reached, np.partition(cosine, -k, axis=1)[:, [-k]])
                 q, c = np.nonzero((cosine >= reached) & (cosine > -np.inf))
                 if len(q):
-                    found.append(best(pa.table({
-                        "query": pa.array(q + block, pa.int64()),
+                    found = pa.table({
+                        "query": pa.array(q, pa.int64()),
                         "chunk_id": chunk_ids.take(pa.array(c)),
                         "cosine": pa.array(cosine[q, c], pa.float64()),
-                    })))
-            if len(found) > 1:
-                kept = best(pa.concat_tables(found))
-                least = kth_best(kept, len(ids))
-        return pa.table({
-            "query_id": ids.take(kept.column("query").combine_chunks()),
-            "chunk_id": kept.column("chunk_id"),
-            "cosine": kept.column("cosine"),
-        })
+                    })
+                    kept[block] = best(pa.concat_tables([kept[block], found]))
+                    least[rows] = kth_best(kept[block], len(asked))
+        hits = [
+            pa.table({
+                "query_id": ids.slice(block, BLOCK_QUERIES).take(found.column("query").combine_chunks()),
+                "chunk_id": found.column("chunk_id"),
+                "cosine": found.column("cosine"),
+            })
+            for block, found in kept.items()
+        ]
+        return pa.concat_tables(hits) if hits else nothing.rename_columns(["query_id", "chunk_id", "cosine"])
 
     return score
 
@@ -164,7 +186,7 @@ def small_batch(queries: DataFrame) -> pa.Table | None:
 def broadcast_topk(batch: pa.Table, store: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, cosine) of the k best chunks per query in each task's part."""
     shared = store.sparkSession.sparkContext.broadcast(batch)
-    score = _scorer(k)
+    score = scorer(k)
 
     def task(batches):
         import pyarrow as pa
@@ -172,14 +194,14 @@ def broadcast_topk(batch: pa.Table, store: DataFrame, k: int) -> DataFrame:
         tables = (pa.Table.from_batches([b]) for b in batches)
         yield from score(shared.value, tables).to_batches()
 
-    return store.mapInArrow(task, _HIT)
+    return store.mapInArrow(task, HIT)
 
 
 def _grid_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     """Queries in blocks times chunks in parts; a cell holds one block and one part."""
     blocks = max(1, -(-queries.count() // GRID_QUERIES))
     parts = max(1, -(-store.count() // GRID_CHUNKS))
-    score = _scorer(k)
+    score = scorer(k)
 
     def cell(block_of_queries, part_of_chunks):
         return score(block_of_queries, [part_of_chunks])
@@ -195,7 +217,7 @@ def _grid_topk(queries: DataFrame, store: DataFrame, k: int) -> DataFrame:
     )
     return (
         left.groupBy("block", "part").cogroup(right.groupBy("block", "part"))
-        .applyInArrow(cell, _HIT)
+        .applyInArrow(cell, HIT)
     )
 
 
@@ -207,7 +229,8 @@ def knn_topk(
 ) -> DataFrame:
     """(query_id, chunk_id, rank, cosine, relevance) of the k nearest chunks per query.
 
-    `queries` has query_id and embedding, and may have a `category` that its hits must have and a
+    `queries` has query_id and embedding, and may have a `category` that its hits must have, a
+    `date_from` and a `date_to` between which, both included, they must have been published, and a
     `top_k` of its own. `category` restricts the whole batch and prunes the table's folders. The
     hits of a small batch are bounded by its checked size times k and are marked for broadcast, so
     joining them to a table does not shuffle the table.
@@ -215,12 +238,19 @@ def knn_topk(
     if not 1 <= k <= fixed.MAX_TOP_K:
         raise ValueError(f"k must be 1 to {fixed.MAX_TOP_K}")
     store = chunks if category is None else chunks.filter(F.col("category") == category)
-    store = store.select("chunk_id", "category", "embedding")
     own = queries.columns
+    dated = "date_from" in own or "date_to" in own
+    published = [_seconds(F.col("published_at")).alias("published")] if dated else []
+    store = store.select("chunk_id", "category", "embedding", *published)
+    bounds = [
+        _seconds(_bound(c) if c in own else F.lit(None)).alias(name)
+        for c, name in (("date_from", "from"), ("date_to", "to")) if dated
+    ]
     asked = queries.select(
         F.col("query_id").cast("long").alias("query_id"),
         (F.col("category") if "category" in own else F.lit(None)).cast("string").alias("category"),
         F.col("embedding").cast("array<double>").alias("embedding"),
+        *bounds,
     )
     kept = fixed.MAX_TOP_K if "top_k" in own else k
     batch = small_batch(asked)
@@ -239,6 +269,18 @@ def knn_topk(
     return hits
 
 
+def _seconds(time: Column) -> Column:
+    """A time written as text, in seconds; NaN where there is none, or no such time."""
+    return F.coalesce(F.unix_micros(F.try_to_timestamp(time.cast("string"))) / 1e6, F.lit(float("nan")))
+
+
+def _bound(column: str) -> Column:
+    """A query's bound; one that is no time fails instead of being left out."""
+    text = F.nullif(F.col(column).cast("string"), F.lit(""))
+    wrong = F.raise_error(F.format_string(f"{column} is no time: %s", text)).cast("string")
+    return F.when(text.isNull() | F.try_to_timestamp(text).isNotNull(), text).otherwise(wrong)
+
+
 def _checked(top_k: str, default: int) -> Column:
     """A query's own k, or the default; fails outside the bounds."""
     own = F.coalesce(F.col(top_k), F.lit(default))

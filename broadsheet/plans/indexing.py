@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.operators.chunks import chunk_articles, chunk_metadata, vectorise
-from broadsheet.sources.tables import insert_new_chunks, read_chunks
+from broadsheet.operators.chunks import chunk_articles, chunk_metadata, hashed_vectors
+from broadsheet.sources import tables
 
 Vectoriser = Callable[[DataFrame], DataFrame]
 
 
-def chunks_of(articles: DataFrame, vectoriser: Vectoriser = vectorise) -> DataFrame:
+def chunks_of(articles: DataFrame, vectoriser: Vectoriser = hashed_vectors) -> DataFrame:
     """Chunk rows of the articles with metadata and vectors."""
     return vectoriser(chunk_metadata(chunk_articles(articles)))
 
@@ -21,12 +22,19 @@ def chunks_of(articles: DataFrame, vectoriser: Vectoriser = vectorise) -> DataFr
 def index_articles(
     articles: DataFrame,
     chunk_table: str,
-    vectoriser: Vectoriser = vectorise,
+    vectoriser: Vectoriser = hashed_vectors,
     load_id: str | None = None,
 ) -> DataFrame:
-    """Store the chunks of the articles that are not stored yet; returns what the load added."""
-    load_id = insert_new_chunks(chunks_of(articles, vectoriser), chunk_table, articles, load_id)
-    return read_chunks(articles.sparkSession, chunk_table, load_id)
+    """Store the chunks of the articles that are not stored yet; returns what the load added.
+
+    Stored chunks are left out before the vectoriser, so a model is called for new ones only. The
+    default needs no fitting, and `text_model` has fitted ones that are kept: vectors of several
+    loads can be compared with either.
+    """
+    load_id = load_id or uuid.uuid4().hex
+    new = tables.new_chunks(chunk_metadata(chunk_articles(articles)), chunk_table, articles)
+    tables.append_chunks(vectoriser(new), chunk_table, load_id)
+    return tables.read_chunks(articles.sparkSession, chunk_table, load_id)
 
 
 def indexed_articles(added: DataFrame) -> DataFrame:

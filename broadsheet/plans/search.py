@@ -10,7 +10,8 @@ from broadsheet.functions import text
 from broadsheet.operators import hits as H
 from broadsheet.operators.filters import published_between
 from broadsheet.operators.knn import knn_topk
-from broadsheet.session import settle
+from broadsheet.operators.text_model import TextModel
+from broadsheet.session import broadcast_if_few, settle
 
 
 def search(
@@ -24,10 +25,13 @@ def search(
 ) -> DataFrame:
     """Articles found per query with score and snippet; at most one row per article.
 
-    The k best chunks are taken first, so fewer than k articles may come back.
+    The k best chunks are taken first, so fewer than k articles may come back. The dates hold for
+    the whole batch; queries can have their own, see `knn_topk`. Chunks and articles that come with
+    their buckets are looked up by the hits' ids, others are read whole.
     """
     store = published_between(chunks, date_from, date_to)
-    found = H.first_hit(H.with_chunk_columns(knn_topk(queries, store, k, category), store))
+    hits = broadcast_if_few(settle(knn_topk(queries, store, k, category)))
+    found = H.first_hit(H.with_chunk_columns(hits, store))
     return H.enrich_hits(settle(found), articles).withColumn(
         "total", F.count(F.lit(1)).over(Window.partitionBy("query_id"))
     )
@@ -40,8 +44,18 @@ def retrieve_context(
     category: str | None = None,
 ) -> DataFrame:
     """The most relevant chunk of every article among the k best chunks, numbered per query."""
-    found = H.with_chunk_columns(knn_topk(queries, chunks, k, category), chunks)
-    return H.numbered(H.best_chunk(found))
+    hits = broadcast_if_few(settle(knn_topk(queries, chunks, k, category)))
+    return H.numbered(H.best_chunk(H.with_chunk_columns(hits, chunks)))
+
+
+def search_text(
+    queries: DataFrame, model: TextModel, chunks: DataFrame, articles: DataFrame, **options
+) -> DataFrame:
+    """As `search`, for the texts in `query`: they get vectors of the model that made the chunks'.
+
+    Chunks of another model make it fail.
+    """
+    return search(model.queries(queries), model.own(chunks), articles, **options)
 
 
 def _known(column: str) -> Column:
@@ -92,8 +106,14 @@ def chat(
     chunks: DataFrame,
     k: int = fixed.CONTEXT_TOP_K,
     category: str | None = None,
+    model: TextModel | None = None,
 ) -> DataFrame:
-    """Per query its prompt and the list of sources cited in it; the table is searched once."""
+    """Per query its prompt and the list of sources cited in it; the table is searched once.
+
+    With a `model` the queries are texts, else they have vectors.
+    """
+    if model is not None:
+        queries, chunks = model.queries(queries), model.own(chunks)
     context = settle(retrieve_context(queries, chunks, k, category))
     asked = queries.select("query_id", "query")
     return prompts(format_context(asked, context)).join(citation_lists(context), "query_id", "left")

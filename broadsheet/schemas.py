@@ -20,10 +20,12 @@ ARTICLE = T.StructType([
     T.StructField("created_at", T.TimestampType()),
 ])
 
-# Stored tables carry the load that wrote a row, as a partition column: what a load has added, in
-# all its tries, is read back from its own folders without touching the rest of the table.
+# Stored tables carry, as partition columns, a bucket of the article's id, so that a lookup of ids
+# reads their buckets only, and the load that wrote a row: what a load has added, in all its tries,
+# is read back from its own folders without touching the rest of the table.
+BUCKET = T.StructField("bucket", T.StringType())
 LOAD = T.StructField("load_id", T.StringType())
-STORED_ARTICLE = T.StructType([*ARTICLE.fields, LOAD])
+STORED_ARTICLE = T.StructType([*ARTICLE.fields, BUCKET, LOAD])
 
 PAYLOAD_ITEM = T.StructType([
     T.StructField("title", T.StringType()),
@@ -44,6 +46,8 @@ PAYLOAD_ITEM = T.StructType([
 PAYLOAD = T.StructType([
     T.StructField("fetch_id", T.LongType()),
     T.StructField("requested_category", T.StringType()),
+    T.StructField("requested_country", T.StringType()),
+    T.StructField("requested_language", T.StringType()),
     T.StructField("status", T.StringType()),
     T.StructField("results", T.ArrayType(PAYLOAD_ITEM)),
 ])
@@ -58,10 +62,34 @@ CHUNK = T.StructType([
     T.StructField("published_at", T.StringType()),
     T.StructField("url", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("model_id", T.StringType()),  # of the stored model that made the vector, if any
     T.StructField("category", T.StringType()),
 ])
 
-STORED_CHUNK = T.StructType([*CHUNK.fields, LOAD])
+STORED_CHUNK = T.StructType([*CHUNK.fields, BUCKET, LOAD])
+
+# One row per load that has ended: `write_id` names its folders in the tables of a store, and
+# `replaced` those that it stands for from now on. The counters add up to what had landed.
+COMMIT = T.StructType([
+    T.StructField("load_id", T.StringType()),
+    T.StructField("write_id", T.StringType()),
+    T.StructField("replaced", T.ArrayType(T.StringType())),
+    T.StructField("answers", T.LongType()),
+    T.StructField("rejected", T.LongType()),
+    T.StructField("fetched", T.LongType()),
+    T.StructField("new_inserted", T.LongType()),
+    T.StructField("indexed", T.LongType()),
+    T.StructField("new_chunks", T.LongType()),
+    T.StructField("without_vector", T.LongType()),
+    T.StructField("committed_at", T.TimestampType()),
+])
+
+REJECT = T.StructType([
+    T.StructField("fetch_id", T.LongType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("record", T.StringType()),
+    LOAD,
+])
 
 QUERY = T.StructType([
     T.StructField("query_id", T.LongType()),

@@ -40,11 +40,15 @@ def read_payloads(
     return landed.filter(F.col("requested_category").isin(*categories))
 
 
+def is_rejected() -> Column:
+    """Whether an answer gives no articles: a damaged line, or an error."""
+    return F.col(DAMAGED).isNotNull() | F.coalesce(F.col("status") != "success", F.lit(True))
+
+
 def rejected_answers(payloads: DataFrame) -> DataFrame:
     """(fetch_id, reason, record) of what gives no articles: damaged lines and error answers."""
     damaged = F.col(DAMAGED).isNotNull()
-    failed = F.coalesce(F.col("status") != "success", F.lit(True))
-    return payloads.filter(damaged | failed).select(
+    return payloads.filter(is_rejected()).select(
         "fetch_id",
         F.when(damaged, "damaged").otherwise(F.coalesce("status", F.lit("no status"))).alias("reason"),
         F.col(DAMAGED).alias("record"),
@@ -60,13 +64,18 @@ def parse_payloads(
     """Articles of the successful answers, with their landing order in `landed`.
 
     `category` stands in where an article has none; by default it is the one that was asked for.
+    Country and language are those of the request; `country` and `language` stand in where it
+    names none.
     """
     requested = F.col("requested_category") if category is None else category
     if isinstance(requested, str):
         requested = F.lit(requested)
     item = F.col("item")
     delivered = payloads.filter(F.col("status") == "success").select(
-        "fetch_id", requested.alias("requested"), F.posexplode("results").alias("position", "item")
+        "fetch_id", requested.alias("requested"),
+        F.coalesce("requested_country", F.lit(country)).alias("country"),
+        F.coalesce("requested_language", F.lit(language)).alias("language"),
+        F.posexplode("results").alias("position", "item"),
     )
     described = (
         delivered.filter(text.nonempty(item.title))
@@ -84,8 +93,8 @@ def parse_payloads(
         "source_name",
         item.source_url.alias("source_url"),
         text.first_category(item.category, F.col("requested")).alias("category"),
-        F.lit(country).alias("country"),
-        F.lit(language).alias("language"),
+        "country",
+        "language",
         item.pubDate.alias("published_at"),
         item.link.alias("url"),
         item.image_url.alias("image_url"),

@@ -1,12 +1,15 @@
 """Stored tables that only ever gain rows that are not there yet.
 
 A load writes its new rows straight from the plan that found them, and whoever needs to know what
-it added reads the load's folders. One writer per table is assumed.
+it added reads the load's folders. Rows lie in buckets by the hash of their article's id, sorted
+and with Bloom filters on it: to find out what of a load is stored already, its buckets are read,
+and in them only the parts of files that can hold its ids. One writer per table is assumed.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,13 @@ from pyspark.sql import types as T
 
 from broadsheet import schemas
 from broadsheet.operators.dedupe import dedupe_first
+from broadsheet.operators.lookup import bucket_of, of_articles
 from broadsheet.session import broadcast_if_few, settle
 
+ARTICLE_PARTITIONS = ("bucket", "load_id")
+CHUNK_PARTITIONS = ("category", "bucket", "load_id")
+BLOOM = {"parquet.bloom.filter.enabled#article_id": "true"}
+
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> None:
     """An empty table at `path`, unless there is one."""
@@ -24,83 +32,107 @@ def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitio
 
 
 def create_articles(spark: SparkSession, path: str) -> None:
-    create_table(spark, path, schemas.STORED_ARTICLE, "load_id")
+    create_table(spark, path, schemas.STORED_ARTICLE, *ARTICLE_PARTITIONS)
 
 
 def create_chunks(spark: SparkSession, path: str) -> None:
-    create_table(spark, path, schemas.STORED_CHUNK, "category", "load_id")
+    create_table(spark, path, schemas.STORED_CHUNK, *CHUNK_PARTITIONS)
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table by its schema, so partition values that look like numbers stay text."""
-    return spark.read.schema(schema).parquet(path)
+def stored(
+    spark: SparkSession, path: str, schema: T.StructType, loads: Sequence[str] | None = None
+) -> DataFrame:
+    """A table with its partition columns; of `loads` only if they are named.
 
+    It is read by its schema, so partition values that look like numbers stay text. Searches that
+    are given such a table look texts up by the buckets of their hits.
+    """
+    rows = spark.read.schema(schema).parquet(path)
+    return rows if loads is None else rows.filter(F.col("load_id").isin(*loads))
 
-def _of_load(stored: DataFrame, load_id: str | None) -> DataFrame:
-    rows = stored if load_id is None else stored.filter(F.col("load_id") == load_id)
-    return rows.drop("load_id")
 
+def _of_load(rows: DataFrame, load_id: str | None) -> DataFrame:
+    return (rows if load_id is None else rows.filter(F.col("load_id") == load_id)).drop("bucket", "load_id")
 
-def read_articles(spark: SparkSession, path: str, load_id: str | None = None) -> DataFrame:
-    """The stored articles, or those that one load has added."""
-    return _of_load(_stored(spark, path, schemas.STORED_ARTICLE), load_id)
 
+def read_articles(
+    spark: SparkSession, path: str, load_id: str | None = None, loads: Sequence[str] | None = None
+) -> DataFrame:
+    """The stored articles, or those that one load, or some loads, have added."""
+    return _of_load(stored(spark, path, schemas.STORED_ARTICLE, loads), load_id)
 
-def read_chunks(spark: SparkSession, path: str, load_id: str | None = None) -> DataFrame:
-    """The stored chunks, or those that one load has added."""
-    return _of_load(_stored(spark, path, schemas.STORED_CHUNK), load_id)
 
+def read_chunks(
+    spark: SparkSession, path: str, load_id: str | None = None, loads: Sequence[str] | None = None
+) -> DataFrame:
+    """The stored chunks, or those that one load, or some loads, have added."""
+    return _of_load(stored(spark, path, schemas.STORED_CHUNK, loads), load_id)
 
-def stored_keys(stored: DataFrame, load: DataFrame, key: str, by: str) -> DataFrame:
-    """Stored values of `key` in the rows whose `by` occurs in the load.
 
-    A load is small next to the table, and an anti join cannot broadcast its left side. So the
-    stored keys are first cut down to those of the load, by a semi join that can. The table is
-    scanned for two narrow columns and not shuffled, unless the load is large itself.
-    """
-    ids = broadcast_if_few(settle(load.select(by)))
-    return stored.join(ids, by, "left_semi").select(key)
+def find_articles(
+    spark: SparkSession, path: str, ids: DataFrame, loads: Sequence[str] | None = None
+) -> DataFrame:
+    """The stored articles with the ids in `ids`, by their buckets."""
+    rows = of_articles(stored(spark, path, schemas.STORED_ARTICLE, loads), ids)
+    return rows.drop("bucket", "load_id")
+
+
+def append(rows: DataFrame, path: str, schema: T.StructType, partitions: Sequence[str], load_id: str) -> None:
+    """Write rows as those of a load, spread evenly over the files of each folder: one that holds
+    most of them is written by several tasks."""
+    folders = [p for p in partitions if p != "load_id"]
+    stamped = rows.withColumn("bucket", bucket_of("article_id")).withColumn("load_id", F.lit(load_id))
+    (
+        stamped.select(*schema.fieldNames()).hint("rebalance", *folders)
+        .sortWithinPartitions(*partitions, "article_id")  # lookups by id skip row groups
+        .write.mode("append").options(**BLOOM).partitionBy(*partitions).parquet(path)
+    )
 
 
-def insert_new(articles: DataFrame, path: str, order: str, load_id: str | None = None) -> str:
+def insert_new(
+    articles: DataFrame, path: str, order: str, load_id: str | None = None,
+    loads: Sequence[str] | None = None,
+) -> str:
     """Add the articles whose id is not stored, the first of each id; returns the load id.
 
-    A load that is tried again under its `load_id` adds what an earlier try did not.
+    A load that is tried again under its `load_id` adds what an earlier try did not. Stored is what
+    `loads` have written, if they are named.
     """
     load_id = load_id or uuid.uuid4().hex
-    stored = _stored(articles.sparkSession, path, schemas.STORED_ARTICLE)
-    known = stored_keys(stored, articles, key="article_id", by="article_id")
-    stamped = (
-        dedupe_first(articles, "article_id", order)
-        .withColumn("created_at", F.current_timestamp())
-        .withColumn("load_id", F.lit(load_id))
-    )
+    table = stored(articles.sparkSession, path, schemas.STORED_ARTICLE, loads)
+    known = of_articles(table, articles).select("article_id")
+    stamped = dedupe_first(articles, "article_id", order).withColumn("created_at", F.current_timestamp())
     fresh = stamped.join(known, "article_id", "left_anti")
-    (
-        fresh.select(*schemas.STORED_ARTICLE.fieldNames())
-        .sortWithinPartitions("load_id", "article_id")  # lookups by id skip row groups
-        .write.mode("append").partitionBy("load_id").parquet(path)
-    )
+    append(fresh, path, schemas.STORED_ARTICLE, ARTICLE_PARTITIONS, load_id)
     return load_id
 
 
+def new_chunks(
+    chunks: DataFrame, path: str, articles: DataFrame, loads: Sequence[str] | None = None
+) -> DataFrame:
+    """The chunks of `articles` whose id is not stored, each once.
+
+    Few chunks of a load are stored already as a rule; their ids are broadcast.
+    """
+    table = stored(chunks.sparkSession, path, schemas.STORED_CHUNK, loads)
+    known = broadcast_if_few(settle(of_articles(table, articles).select("chunk_id")))
+    return chunks.join(known, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+
+
+def append_chunks(chunks: DataFrame, path: str, load_id: str) -> None:
+    """Write chunks with vectors as those of a load."""
+    if "model_id" not in chunks.columns:
+        chunks = chunks.withColumn("model_id", F.lit(None).cast("string"))
+    append(chunks, path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id)
+
+
 def insert_new_chunks(
     chunks: DataFrame, path: str, articles: DataFrame, load_id: str | None = None
 ) -> str:
-    """Add the chunks of `articles` whose id is not stored; returns the load id.
+    """Add the chunks of `articles`, with vectors, whose id is not stored; returns the load id.
 
-    Few chunks of a load are stored already as a rule; their ids are broadcast. The new chunks
-    with their vectors are shuffled twice: by id, as an article given twice gives its chunks twice
-    and each is stored once, and to spread them evenly over the files of each category: one that
-    holds most of them is written by several tasks.
+    Where vectors are still to be made, `indexing.index_articles` makes those of new chunks only.
     """
     load_id = load_id or uuid.uuid4().hex
-    stored = _stored(chunks.sparkSession, path, schemas.STORED_CHUNK)
-    known = broadcast_if_few(settle(stored_keys(stored, articles, key="chunk_id", by="article_id")))
-    new = chunks.join(known, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
-    fresh = new.withColumn("load_id", F.lit(load_id))
-    (
-        fresh.select(*schemas.STORED_CHUNK.fieldNames()).hint("rebalance", "category")
-        .write.mode("append").partitionBy("category", "load_id").parquet(path)
-    )
+    append_chunks(new_chunks(chunks, path, articles), path, load_id)
     return load_id

@@ -3,101 +3,123 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet import fixed_values as fixed
-from broadsheet.operators.chunks import hashed_vectors
-from broadsheet.operators.counts import total
-from broadsheet.plans.indexing import Vectoriser, index_articles, indexed_articles
-from broadsheet.session import broadcast_if_few, settle
-from broadsheet.sources import payloads
-from broadsheet.sources.tables import (
-    create_articles,
-    create_chunks,
-    insert_new,
-    read_articles,
-    read_chunks,
-)
+from broadsheet import schemas
+from broadsheet.operators.chunks import chunk_articles, chunk_metadata, hashed_vectors
+from broadsheet.plans.indexing import Vectoriser
+from broadsheet.sources import payloads, tables
+from broadsheet.sources import store as stores
+from broadsheet.sources.store import Store
+
+COUNTERS = ("answers", "rejected", "fetched", "new_inserted", "indexed", "new_chunks", "without_vector")
 
 
 def load_batch(
     landed: DataFrame,
-    article_table: str,
+    store: Store,
     load_id: str | None = None,
-    chunk_table: str | None = None,
-    vectoriser: Vectoriser = hashed_vectors,
+    vectoriser: Vectoriser | None = hashed_vectors,
 ) -> str:
-    """Store the new articles of some landed answers and, if asked to, their chunks.
+    """Store the new articles of some landed answers with their chunks, and what was rejected.
 
-    Indexed are the stored articles whose ids occur in the batch, not only those it added: a try
-    that stored articles and then failed is made good by any later load that holds them again.
+    All of it becomes visible at once, when the load is committed. A load that has ended is not
+    done again; one that failed leaves nothing that is read, and its next try starts anew. As
+    articles never are without their chunks, only new articles are cut and given vectors. Without a
+    vectoriser articles alone are stored.
     """
-    articles = payloads.parse_payloads(landed).persist()  # for its keys and for its rows
+    load_id = load_id or uuid.uuid4().hex
+    spark = landed.sparkSession
+    if not stores.commit_of(spark, store, load_id).isEmpty():
+        return load_id
+    write_id = f"{load_id}.{uuid.uuid4().hex[:8]}"  # a try of its own
+    landed = landed.persist()  # read for its articles, for their ids, and for what is rejected
     try:
-        load_id = insert_new(articles, article_table, payloads.LANDED, load_id)
-        if chunk_table is not None:
-            ids = broadcast_if_few(settle(articles.select("article_id").distinct()))
-            held = read_articles(landed.sparkSession, article_table).join(ids, "article_id", "left_semi")
-            index_articles(held, chunk_table, vectoriser, load_id)
+        articles = payloads.parse_payloads(landed)
+        tables.insert_new(articles, store.articles, payloads.LANDED, write_id, stores.visible(spark, store))
+        added = tables.read_articles(spark, store.articles, write_id)
+        if vectoriser is not None:
+            chunks = chunk_metadata(chunk_articles(added))
+            tables.append_chunks(vectoriser(chunks), store.chunks, write_id)
+        rejected = payloads.rejected_answers(landed).withColumn("load_id", F.lit(write_id))
+        rejected.select(*schemas.REJECT.fieldNames()).write.mode("append").partitionBy("load_id").parquet(store.rejects)
+        counters = _counters(spark, store, landed, write_id)
     finally:
-        articles.unpersist()
+        landed.unpersist()
+    stores.commit(spark, store, load_id, write_id, **counters)
     return load_id
 
 
-def ingest_counts(
-    landed: DataFrame, article_table: str, chunk_table: str, load_id: str
-) -> DataFrame:
-    """Counters of a load: (counter, n) for articles fetched, inserted and indexed, and chunks."""
-    spark = landed.sparkSession
-    indexed = indexed_articles(read_chunks(spark, chunk_table, load_id))
-    counters = {
-        "fetched": total(payloads.parse_payloads(landed), "n"),
-        "new_inserted": total(read_articles(spark, article_table, load_id), "n"),
-        "indexed": indexed.select(F.col("indexed").alias("n")),
-        "new_chunks": indexed.select(F.col("new_chunks").alias("n")),
+def _counters(spark: SparkSession, store: Store, landed: DataFrame, write_id: str) -> dict[str, int]:
+    """What a load has done; all but the first two counters are read from what it has written."""
+    answers = landed.agg(
+        F.count(F.lit(1)).alias("answers"), F.count_if(payloads.is_rejected()).alias("rejected")
+    ).first()
+    chunks = tables.read_chunks(spark, store.chunks, write_id)
+    nothing = F.forall("embedding", lambda x: x == 0)
+    by_article = chunks.groupBy("article_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(nothing).alias("empty")
+    )
+    indexed = by_article.agg(
+        F.count(F.lit(1)).alias("indexed"), F.sum("n").alias("new_chunks"), F.sum("empty").alias("without_vector")
+    ).first()
+    return {
+        **answers.asDict(), **{k: v or 0 for k, v in indexed.asDict().items()},
+        "fetched": payloads.parse_payloads(landed).count(),
+        "new_inserted": tables.read_articles(spark, store.articles, write_id).count(),
     }
-    return payloads.union_batches(*[
-        c.select(F.lit(name).alias("counter"), "n") for name, c in counters.items()
-    ])
+
+
+def ingest_counts(spark: SparkSession, store: Store, load_id: str) -> DataFrame:
+    """Counters of a load: (counter, n).
+
+    Answers landed and rejected, articles fetched, inserted and indexed, chunks, and chunks whose
+    vector is zero, as the model failed or found no word.
+    """
+    counters = F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in COUNTERS])
+    return stores.commit_of(spark, store, load_id).select(F.inline(counters))
 
 
 def ingest_stream(
     spark: SparkSession,
     landing: str,
-    article_table: str,
+    root: str,
     checkpoint: str,
-    chunk_table: str | None = None,
-    vectoriser: Vectoriser = hashed_vectors,
+    vectoriser: Vectoriser | None = hashed_vectors,
     once: bool = False,
     files_per_batch: int | None = None,
+    categories: Sequence[str] | None = None,
 ) -> StreamingQuery:
-    """Keep the tables up to date with a landing folder.
+    """Keep the store at `root` up to date with a landing folder.
 
-    Runs every 15 minutes, or with `once` until all that has landed is stored. One writer per
-    table; loads are named by checkpoint and batch, and a repeated batch adds nothing twice.
+    Runs every 15 minutes, or with `once` until all that has landed is stored. Loads are named by
+    checkpoint and batch, and a repeated batch adds nothing twice. `categories` keeps the answers
+    to requests for those, e.g. `fixed.TIMER_CATEGORIES`.
     """
-    create_articles(spark, article_table)
-    if chunk_table is not None:
-        create_chunks(spark, chunk_table)
-
+    store = stores.create(spark, root)
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:8]
 
-    def store(landed: DataFrame, batch: int) -> None:
-        load_batch(landed, article_table, f"{stream}-{batch:012d}", chunk_table, vectoriser)
+    def load(landed: DataFrame, batch: int) -> None:
+        load_batch(landed, store, f"{stream}-{batch:012d}", vectoriser)
 
     reader = spark.readStream.schema(payloads.LANDED_SCHEMA).options(**payloads.READ_OPTIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    answers = reader.json(landing)
+    if categories is not None:
+        answers = answers.filter(F.col("requested_category").isin(*categories))
     trigger = (
         {"availableNow": True} if once
         else {"processingTime": f"{fixed.FETCH_INTERVAL_MINUTES} minutes"}
     )
     return (
-        reader.json(landing)
-        .writeStream.foreachBatch(store)
+        answers.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

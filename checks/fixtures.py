@@ -7,9 +7,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet import schemas
 from broadsheet.functions import text
+from broadsheet.operators import text_model
+from broadsheet.operators.chunks import chunk_articles
 from broadsheet.operators.dedupe import dedupe_first
-from broadsheet.session import fresh_path
+from broadsheet.plans.indexing import index_articles
+from broadsheet.session import fresh_path, settle
+from broadsheet.sources import tables
 
 # Slots that categories are dealt out to; the last two become NULL and the empty string.
 CATEGORY_SLOTS = (
@@ -138,29 +143,51 @@ def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector store with the text of document `vec_id` and the columns of the article."""
-    about = by_document(articles(spark, sf_dir, times=True, urls=True)).select(
-        "article_id", "title", F.col("source_name").alias("source"), "published_at", "url"
-    )
-    texts = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("vec_id"), F.col("text").alias("document")
+def with_given_vectors(chunks: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with a vector of the table: number 5 * document + position, counted on from the
+    start where the table ends, with its components turned by one place more in each round."""
+    v = table(spark, sf_dir, "embeddings")
+    n = v.count()
+    number = F.col("article_id").cast("long") * 5 + F.col("chunk_index")
+    numbered = chunks.withColumn("_vec", number % n).withColumn("_turn", (number / n).cast("int"))
+    given = v.select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("_given"), "label")
+    turn = F.col("_turn") % F.size("_given")
+    turned = F.concat(
+        F.slice("_given", turn + 1, F.size("_given")), F.slice("_given", F.lit(1), turn)
     )
-    joined = vector_store(spark, sf_dir).join(about, "article_id").join(texts, "vec_id", "left")
-    return joined.select(
-        "chunk_id",
-        "article_id",
-        "chunk_index",
-        F.coalesce("document", F.lit("")).alias("document"),
-        "title",
-        "source",
-        text.or_default("published_at", "").alias("published_at"),
-        text.or_default("url", "").alias("url"),
-        "embedding",
-        "category",
+    joined = numbered.join(given, "_vec").withColumn("embedding", turned)
+    return joined.withColumn("category", F.col("label").cast("string")).select(
+        *chunks.columns, "embedding"
     )
 
 
+def text_store(spark: SparkSession, sf_dir: str, dim: int = 256) -> DataFrame:
+    """The chunks of all documents with vectors of a model that is fitted on them."""
+    rows = chunk_articles(by_document(articles(spark, sf_dir, heavy=True)))
+    rows = settle(rows.select("chunk_id", "article_id", "chunk_index", "document"))
+    return text_model.fit(rows, dim)(rows).withColumn("category", F.lit(None).cast("string"))
+
+
+_stores: dict[tuple[str, str], str] = {}  # the stored chunks of a session and a folder
+
+
+def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as the library cuts, indexes and stores them, with the given vectors.
+
+    Written once per session, as those who search do not index each time.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _stores:
+        path = fresh_path(spark, "chunk-store")
+        tables.create_chunks(spark, path)
+        index_articles(
+            by_document(articles(spark, sf_dir, times=True, urls=True, heavy=True)), path,
+            lambda rows: with_given_vectors(rows, spark, sf_dir),
+        )
+        _stores[key] = path
+    return tables.stored(spark, _stores[key], schemas.STORED_CHUNK)
+
+
 def topics(spark: SparkSession, sf_dir: str, own_category: bool = False) -> DataFrame:
     """One query per label: the mean of the label's vectors, over the whole table."""
     v = table(spark, sf_dir, "embeddings")

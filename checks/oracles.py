@@ -124,7 +124,7 @@ topics AS (
          list(m ORDER BY i) AS embedding
   FROM components GROUP BY label)"""
 
-STORE = """store AS (
+GIVEN = """store AS (
   SELECT concat(a.doc_id, '_chunk_', v.vec_id % 5) AS chunk_id, CAST(a.doc_id AS VARCHAR) AS article_id,
          coalesce(d.text, '') AS document, a.title, a.source_name AS source, a.published_at,
          coalesce(a.url, '') AS url, CAST(v.label AS VARCHAR) AS category,
@@ -133,6 +133,19 @@ STORE = """store AS (
   LEFT JOIN documents d ON d.doc_id = v.vec_id)"""
 
 
+# All chunks of all documents, with the given vectors, turned by a place in every round through them.
+STORE = """numbered AS (
+  SELECT *, CAST(key AS BIGINT) * 5 + chunk_index AS number, (SELECT count(*) FROM embeddings) AS n FROM chunks),
+store AS (
+  SELECT concat(c.key, '_chunk_', c.chunk_index) AS chunk_id, c.key AS article_id, c.document, a.title,
+         coalesce(nullif(a.source_name, ''), 'unknown') AS source, coalesce(a.published_at, '') AS published_at,
+         coalesce(a.url, '') AS url, CAST(v.label AS VARCHAR) AS category,
+         list_concat(CAST(v.embedding AS DOUBLE[])[(number // n) % len(v.embedding) + 1:len(v.embedding)],
+                     CAST(v.embedding AS DOUBLE[])[1:(number // n) % len(v.embedding)]) AS embedding
+  FROM numbered c JOIN embeddings v ON v.vec_id = c.number % c.n
+  JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key)"""
+
+
 def _hits(k: int, condition: str = "TRUE") -> str:
     return f"""hits AS (
   SELECT *, round(greatest(0, cosine), 4) AS relevance FROM (
@@ -143,12 +156,13 @@ def _hits(k: int, condition: str = "TRUE") -> str:
   WHERE rank <= {k})"""
 
 
-SEARCH = _with(ARTICLES, TOPICS, STORE, _hits(10)) + """, found AS (
+_STORED = (ARTICLES, TEXTS, _chunks("texts"), TOPICS, STORE)
+SEARCH = _with(*_STORED, _hits(10), recursive=True) + """, found AS (
   SELECT h.*, count(*) OVER (PARTITION BY query_id) AS total FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY rank) AS nth FROM hits) h
   WHERE nth = 1)
 """
-CONTEXT = _with(ARTICLES, TOPICS, STORE, _hits(5)) + f""", context AS (
+CONTEXT = _with(*_STORED, _hits(5), recursive=True) + f""", context AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank) AS source_no FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, article_id ORDER BY relevance DESC, rank) AS nth
     FROM hits) WHERE nth = 1),
@@ -318,7 +332,10 @@ ORACLES["ingest_counts"] = _with(
     f"texts AS (SELECT article_id AS key, {_INDEX} AS t FROM load_2)", _chunks("texts"),
     recursive=True,
 ) + """
-SELECT 'fetched' AS counter, count(*) AS n FROM parsed
+SELECT 'answers' AS counter, count(*) AS n FROM documents
+UNION ALL SELECT 'rejected', count(*) FROM labels WHERE toxic = 1
+UNION ALL SELECT 'without_vector', count(*) FROM chunks WHERE NOT regexp_matches(document, '[\\p{L}\\p{N}]')
+UNION ALL SELECT 'fetched', count(*) FROM parsed
 UNION ALL SELECT 'new_inserted', count(*) FROM load_2
 UNION ALL SELECT 'indexed', count(DISTINCT key) FROM chunks
 UNION ALL SELECT 'new_chunks', count(*) FROM chunks"""
@@ -348,6 +365,9 @@ SELECT *, 100 - pos_pct - neg_pct AS neu_pct FROM (
 ORACLES["list_articles"] = _with(ARTICLES) + """
 SELECT article_id, title, category, published_at FROM articles
 ORDER BY created_at DESC NULLS LAST, article_id LIMIT 20 OFFSET 40"""
+ORACLES["list_articles_after"] = _with(ARTICLES) + """
+SELECT article_id, title, category, published_at FROM articles
+ORDER BY created_at DESC NULLS LAST, article_id LIMIT 20 OFFSET 40"""
 ORACLES["list_articles_category"] = _with(ARTICLES) + """
 SELECT article_id, title, published_at FROM articles WHERE category = 'health'
 ORDER BY created_at DESC NULLS LAST, article_id LIMIT 20"""
@@ -398,6 +418,8 @@ FROM documents d LEFT JOIN embeddings v ON v.vec_id = d.doc_id LEFT JOIN topics
 
 # --- chunks ---------------------------------------------------------------------------------
 
+# A sum that tells vectors and the order of their components apart.
+_DIGEST = "round(list_inner_product(CAST({0} AS DOUBLE[]), CAST(range(1, len({0}) + 1) AS DOUBLE[])), 4)"
 _CHUNK_ID = "concat(key, '_chunk_', chunk_index) AS chunk_id"
 ORACLES["chunk_articles"] = CHUNKED + f"""
 SELECT {_CHUNK_ID}, key AS article_id, chunk_index, document FROM chunks"""
@@ -405,7 +427,7 @@ ORACLES["chunk_metadata"] = CHUNKED + f"""
 SELECT {_CHUNK_ID}, key AS article_id, chunk_index, document, title, {_META_ALL}
 FROM chunks c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key"""
 ORACLES["attach_vectors"] = CHUNKED + f"""
-SELECT {_CHUNK_ID}, document, len(embedding) AS dim
+SELECT {_CHUNK_ID}, document, {_DIGEST.format("embedding")} AS vector
 FROM chunks JOIN embeddings v ON key = CAST(vec_id // 5 AS VARCHAR) AND chunk_index = vec_id % 5"""
 # The weights are fitted, but every text with a word has a vector of length 1.
 ORACLES["vectorise_chunks"] = CHUNKED + f"""
@@ -413,17 +435,35 @@ SELECT {_CHUNK_ID}, 256 AS dim,
        CASE WHEN regexp_matches(document, '[\\p{{L}}\\p{{N}}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
 FROM chunks"""
 ORACLES["index_articles"] = CHUNKED + f"""
-SELECT {_CHUNK_ID}, document, {_META_ALL}, v.vec_id IS NOT NULL AS has_vector
+SELECT {_CHUNK_ID}, document, {_META_ALL}, coalesce({_DIGEST.format("v.embedding")}, 0.0::DOUBLE) AS vector
 FROM chunks c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key
 LEFT JOIN embeddings v ON key = CAST(vec_id // 5 AS VARCHAR) AND chunk_index = vec_id % 5"""
 
 # --- search ---------------------------------------------------------------------------------
 
-ORACLES["knn_topk"] = _with(ARTICLES, TOPICS, STORE, _hits(10)) + """
+ORACLES["knn_topk"] = _with(ARTICLES, TOPICS, GIVEN, _hits(10)) + """
 SELECT query_id, chunk_id, rank, relevance FROM hits"""
 ORACLES["knn_topk_category"] = _with(
-    ARTICLES, TOPICS, STORE, _hits(10, "c.category = CAST(q.query_id AS VARCHAR)")
+    ARTICLES, TOPICS, GIVEN, _hits(10, "c.category = CAST(q.query_id AS VARCHAR)")
 ) + "SELECT query_id, chunk_id, rank, relevance FROM hits"
+ORACLES["knn_topk_dates"] = _with(*_STORED, _hits(10, """
+  try_cast(c.published_at AS TIMESTAMP) >= TIMESTAMP '2024-01-01' + to_days(CAST(q.query_id AS INTEGER))
+  AND (q.query_id = 3 OR try_cast(c.published_at AS TIMESTAMP)
+    <= TIMESTAMP '2024-01-08' + to_days(CAST(q.query_id AS INTEGER)))"""), recursive=True) + """
+SELECT query_id, chunk_id, rank, relevance FROM hits"""
+ORACLES["knn_topk_batch"] = """WITH store AS (
+  SELECT vec_id, concat(vec_id // 5, '_chunk_', vec_id % 5) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT query_id, chunk_id, rank, round(greatest(0, cosine), 4) AS relevance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, chunk_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, c.chunk_id, round(list_cosine_similarity(q.e, c.e), 12) AS cosine
+    FROM store q, store c)) WHERE rank <= 3"""
+ORACLES["search_text"] = CHUNKED + f""", longer AS (
+  SELECT c.*, row_number() OVER (PARTITION BY coalesce(nullif(a.source_name, ''), 'unknown')
+    ORDER BY CAST(c.key AS BIGINT), c.chunk_index) AS nth
+  FROM chunks c JOIN articles a ON CAST(a.doc_id AS VARCHAR) = c.key WHERE length(c.document) >= 400)
+SELECT CAST(key AS BIGINT) AS query_id, 1.0::DOUBLE AS relevance_score,
+  md5(trim(array_to_string(list_sort(regexp_split_to_array(lower(document), '[^\\p{{L}}\\p{{N}}]+')), ' '))) AS words
+FROM longer WHERE nth = 1"""
 ORACLES["search_articles"] = SEARCH + """
 SELECT query_id, article_id, chunk_id, relevance AS relevance_score,
        substr(document, 1, 300) AS matched_snippet, total FROM found"""
@@ -433,7 +473,8 @@ SELECT f.query_id, f.article_id, coalesce(a.title, f.title) AS title,
        CASE WHEN a.doc_id IS NULL THEN f.category ELSE a.category END AS category,
        coalesce(a.published_at, f.published_at) AS published_at,
        CASE WHEN a.doc_id IS NULL THEN f.url ELSE a.url END AS url,
-       a.sentiment, a.doc_id IS NOT NULL AS is_stored
+       a.sentiment, a.doc_id IS NOT NULL AS is_stored, a.description, a.content, a.country, a.language,
+       array_to_string(a.keywords, '|') AS keywords
 FROM found f LEFT JOIN articles a ON a.is_reviewed AND CAST(a.doc_id AS VARCHAR) = f.article_id"""
 ORACLES["search_percent"] = SEARCH + """
 SELECT query_id, article_id, CAST(floor(relevance * 100 + 0.5) AS BIGINT) AS match_pct FROM found"""
@@ -445,7 +486,9 @@ SELECT query_id, source_no, title, source, url, relevance,
        CASE WHEN length(document) > 200 THEN concat(substr(document, 1, 200), '...') ELSE document END AS snippet
 FROM context"""
 ORACLES["citation_lists"] = CONTEXT + """
-SELECT query_id, string_agg(title, ' | ' ORDER BY source_no) AS titles, count(*) AS n
+SELECT query_id, count(*) AS n,
+  string_agg(concat_ws('|', source_no, title, source, url, relevance, CASE WHEN length(document) > 200
+    THEN concat(substr(document, 1, 200), '...') ELSE document END), ' || ' ORDER BY source_no) AS cited
 FROM context GROUP BY query_id"""
 _PROMPT = fixed.PROMPT.replace("'", "''").replace("%s", "{context}", 1).replace("%s", "{question}", 1)
 _PROMPT_OF = f"replace(replace('{_PROMPT}', '{{question}}', c.query), '{{context}}', c.context) AS prompt"
@@ -513,10 +556,16 @@ ORACLES["stream_index"] = _with(
     f"texts AS (SELECT article_id AS key, {_INDEX} AS t FROM stored)", _chunks("texts"),
     recursive=True,
 ) + f"""
-SELECT {_CHUNK_ID}, key AS article_id, document, title, {_META.format(a="a")}
+SELECT {_CHUNK_ID}, key AS article_id, document, title, {_META.format(a="a")},
+  CASE WHEN regexp_matches(document, '[\\p{{L}}\\p{{N}}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm
 FROM chunks c JOIN stored a ON a.article_id = c.key"""
 
 ORACLES["ingest_rejects"] = """
 SELECT d.doc_id AS fetch_id, 'error' AS reason
 FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1
 """
+
+# The reviewed documents land twice, their rejected answers once more with the rest.
+ORACLES["stream_rejects"] = """
+SELECT doc_id AS fetch_id, 'error' AS reason, CAST(2 AS BIGINT) AS landings FROM labels WHERE toxic = 1
+"""

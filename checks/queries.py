@@ -10,13 +10,25 @@ from pyspark.sql import functions as F
 from broadsheet import fixed_values as fixed
 from broadsheet import schemas
 from broadsheet.functions import text, vectors
-from broadsheet.operators import ann, chunks, counts, dedupe, filters, knn, scales, sentiment
+from broadsheet.operators import (
+    ann,
+    chunks,
+    counts,
+    dedupe,
+    filters,
+    ivf,
+    knn,
+    scales,
+    sentiment,
+    text_model,
+)
 from broadsheet.operators.normalised import with_normalised
 from broadsheet.plans import indexing, reports, search
-from broadsheet.session import fresh_path
+from broadsheet.session import fresh_path, settle
 from broadsheet.sources import articles as article_files
 from broadsheet.sources import payloads as landed
 from broadsheet.sources import reports as report_files
+from broadsheet.sources import store as stores
 from broadsheet.sources import tables
 from broadsheet.streaming import ingest
 from checks import fixtures as fx
@@ -24,6 +36,8 @@ from checks import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+IVF_CELLS, IVF_PROBES = 16, 6
+
 _SHORT = ("article_id", "title", "content", "source_name", "category", "sentiment")
 
 
@@ -32,6 +46,12 @@ def query(f: Query) -> Query:
     return f
 
 
+def _digest(vector: str):
+    """A sum that tells vectors and the order of their components apart."""
+    weighted = F.transform(vector, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x), 4)
+
+
 def _dated(daily: DataFrame) -> DataFrame:
     return daily.withColumn("date", F.col("date").cast("string"))
 
@@ -296,14 +316,11 @@ def category_sentiment_pivot(spark, sf):
 @query
 def ingest_counts(spark, sf):
     """Counters of a load that meets an earlier one: articles fetched, inserted, indexed."""
-    articles_path, chunks_path = fresh_path(spark, "articles"), fresh_path(spark, "chunks")
-    tables.create_articles(spark, articles_path)
-    tables.create_chunks(spark, chunks_path)
+    store = stores.create(spark, fresh_path(spark, "store"))
     for load, only_reviewed in (("1-reviewed", True), ("2-all", False)):
         folder = fx.land(fx.payloads(spark, sf, only_reviewed))
-        answers = landed.read_payloads(spark, folder)
-        ingest.load_batch(answers, articles_path, load, chunks_path)
-    return ingest.ingest_counts(answers, articles_path, chunks_path, "2-all")
+        ingest.load_batch(landed.read_payloads(spark, folder), store, load)
+    return ingest.ingest_counts(spark, store, "2-all")
 
 
 @query
@@ -340,6 +357,16 @@ def list_articles(spark, sf):
     return page.select("article_id", "title", "category", "published_at")
 
 
+@query
+def list_articles_after(spark, sf):
+    """The third page, by the last row of the second, which is named by that of the first."""
+    rows, token = fx.articles(spark, sf, times=True), None
+    for _ in range(2):
+        token = filters.PageToken.of(filters.list_articles(rows, 20, after=token))
+    page = filters.list_articles(rows, 20, after=token)
+    return page.select("article_id", "title", "category", "published_at")
+
+
 @query
 def list_articles_category(spark, sf):
     rows = fx.articles(spark, sf, times=True)
@@ -468,7 +495,7 @@ def chunk_metadata(spark, sf):
 def attach_vectors(spark, sf):
     rows = chunks.chunk_articles(fx.by_document(fx.articles(spark, sf, heavy=True)))
     joined = chunks.attach_vectors(rows, fx.given_vectors(spark, sf))
-    return joined.select("chunk_id", "document", F.size("embedding").cast("long").alias("dim"))
+    return joined.select("chunk_id", "document", _digest("embedding").alias("vector"))
 
 
 @query
@@ -488,9 +515,8 @@ def index_articles(spark, sf):
         fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True)), path,
         lambda rows: chunks.attach_vectors_or_zero(rows, given, 64),
     )
-    has_vector = vectors.norm(F.col("embedding")) > 0
     return added.select("chunk_id", "document", "category", "source", "published_at", "url",
-                        has_vector.alias("has_vector"))
+                        _digest("embedding").alias("vector"))
 
 
 # --- search ---------------------------------------------------------------------------------
@@ -510,6 +536,37 @@ def knn_topk_category(spark, sf):
     return _hit_columns(knn.knn_topk(queries, fx.vector_store(spark, sf), 10))
 
 
+@query
+def knn_topk_dates(spark, sf):
+    """Every query with dates of its own, over the chunks of all documents."""
+    day = F.col("query_id").cast("int")
+    queries = fx.topics(spark, sf).select(
+        "*", F.date_add(F.lit("2024-01-01"), day).cast("string").alias("date_from"),
+        F.when(day != 3, F.date_add(F.lit("2024-01-08"), day).cast("string")).alias("date_to"),
+    )
+    return _hit_columns(knn.knn_topk(queries, fx.chunk_store(spark, sf), 10))
+
+
+@query
+def knn_topk_batch(spark, sf):
+    """Every given vector as a query, in one scan of the store."""
+    store = fx.vector_store(spark, sf)
+    return _hit_columns(knn.knn_topk(store.select(F.col("vec_id").alias("query_id"), "embedding"), store, 3))
+
+
+@query
+def ivf_topk(spark, sf):
+    """The chunks of all documents by the cells of their texts' vectors; queries are the first
+    chunks of the documents whose id is divisible by 50."""
+    store, path = settle(fx.text_store(spark, sf)), fresh_path(spark, "cells")
+    cells = ivf.fit(store, IVF_CELLS)
+    ivf.write(store.select("chunk_id", "embedding"), cells, path)
+    queries = store.filter("chunk_index = 0 AND article_id % 50 = 0").select(
+        F.col("article_id").cast("long").alias("query_id"), "embedding"
+    )
+    return _hit_columns(ivf.ivf_topk(queries, ivf.read(spark, path), cells, 10, IVF_PROBES))
+
+
 @query
 def ann_topk(spark, sf):
     return _hit_columns(ann.ann_topk(fx.topics(spark, sf), fx.vector_store(spark, sf), 10))
@@ -527,11 +584,42 @@ def search_articles(spark, sf):
     )
 
 
+def _bag(document: str):
+    """The words of a text in order of the alphabet: what its vector is made of."""
+    found = F.filter(F.split(F.lower(document), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.md5(F.array_join(F.array_sort(found), " "))
+
+
+@query
+def search_text(spark, sf):
+    """Texts as queries, in the space of an index over all documents: of every source the first
+    longer chunk, which has to find itself, or its like, first."""
+    path = fresh_path(spark, "chunks")
+    tables.create_chunks(spark, path)
+    rows = fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True))
+    fitted = text_model.fit(settle(chunks.chunk_articles(rows).select("document")))
+    kept = fresh_path(spark, "model")
+    text_model.save(fitted, kept)
+    model = text_model.load(kept)
+    indexing.index_articles(rows, path, model)
+    store = tables.stored(spark, path, schemas.STORED_CHUNK)
+    first = F.struct(F.col("article_id").cast("long").alias("doc_id"), "chunk_index", "document")
+    queries = store.filter(F.length("document") >= 400).groupBy("source").agg(F.min(first).alias("q")).select(
+        F.col("q.doc_id").alias("query_id"), F.col("q.document").alias("query")
+    )
+    found = search.search_text(settle(queries), model, store, rows).filter("rank = 1")
+    texts = store.select("chunk_id", "document")
+    return found.join(texts, "chunk_id").select(
+        "query_id", "relevance_score", _bag("document").alias("words")
+    )
+
+
 @query
 def search_enriched(spark, sf):
     return _searched(spark, sf).select(
         "query_id", "article_id", "title", "source_name", "category", "published_at", "url",
-        "sentiment", "is_stored",
+        "sentiment", "is_stored", "description", "content", "country", "language",
+        F.array_join("keywords", "|").alias("keywords"),
     )
 
 
@@ -567,7 +655,9 @@ def citations(spark, sf):
 @query
 def citation_lists(spark, sf):
     lists = search.citation_lists(_context(spark, sf))
-    return lists.select("query_id", F.array_join("sources.title", " | ").alias("titles"),
+    cited = F.transform("sources", lambda s: F.concat_ws(
+        "|", s.source_no, s.title, s.source, s.url, s.relevance, s.snippet))
+    return lists.select("query_id", F.array_join(cited, " || ").alias("cited"),
                         F.size("sources").cast("long").alias("n"))
 
 
@@ -611,28 +701,35 @@ def preprocessing_report(spark, sf):
 
 # --- streaming ------------------------------------------------------------------------------
 
-def _streamed(spark, sf, with_chunks):
+def _streamed(spark, sf, vectoriser=None):
     """Two landings that overlap, each picked up by a run of the same stream."""
     landing, checkpoint = fresh_path(spark, "landing"), fresh_path(spark, "stream")
-    article_table = fresh_path(spark, "articles")
-    chunk_table = fresh_path(spark, "chunks") if with_chunks else None
+    store = stores.create(spark, fresh_path(spark, "store"))
     for only_reviewed in (True, False):
         fx.land(fx.payloads(spark, sf, only_reviewed), landing)
         ingest.ingest_stream(
-            spark, landing, article_table, checkpoint, chunk_table, once=True
+            spark, landing, store.root, checkpoint, vectoriser, once=True
         ).awaitTermination()
-    return article_table, chunk_table
+    return store
 
 
 @query
 def stream_ingest(spark, sf):
-    path, _ = _streamed(spark, sf, with_chunks=False)
-    return tables.read_articles(spark, path).select(*_SHORT, "published_at", "url")
+    rows = stores.read_articles(spark, _streamed(spark, sf))
+    return rows.select(*_SHORT, "published_at", "url")
 
 
 @query
 def stream_index(spark, sf):
-    _, path = _streamed(spark, sf, with_chunks=True)
-    return tables.read_chunks(spark, path).select(
-        "chunk_id", "article_id", "document", "category", "source", "title"
+    rows = stores.read_chunks(spark, _streamed(spark, sf, chunks.hashed_vectors))
+    return rows.select(
+        "chunk_id", "article_id", "document", "category", "source", "title",
+        F.round(vectors.norm(F.col("embedding")), 4).alias("norm"),
     )
+
+
+@query
+def stream_rejects(spark, sf):
+    """What the stream's loads kept of answers that gave no articles, per answer."""
+    rejected = stores.read_rejects(spark, _streamed(spark, sf))
+    return rejected.groupBy("fetch_id", "reason").agg(F.count(F.lit(1)).alias("landings"))
