@@ -5,14 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.session import broadcast_if_few, settle
+
 
 def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of every key by an order column; exactly one, whatever is delivered twice.
 
-    An aggregate instead of a window: every task first reduces its rows to one per key, so a key
-    that holds most of the rows is not collected in one task. Rows of equal order are told apart
-    by their other columns.
+    What is aggregated are keys and places in the order alone, which every task first reduces to
+    one per key, so a key that holds most of the rows is not collected in one task. The rows that
+    these name are then fetched: by a broadcast if they are few, so that whole rows are not moved
+    at all. Only where several rows of a key stand at its first place are they told apart by their
+    other columns.
     """
+    places = rows.groupBy(F.col(key).alias("_key"), F.col(order).alias("_order")).agg(F.count(F.lit(1)).alias("_n"))
+    first = places.groupBy("_key").agg(F.min(F.struct("_order", "_n")).alias("_first"))
+    first = settle(first.select("_key", "_first._order", "_first._n"))
+    named = F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order"))
+
+    def fetched(which: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_few(which.drop("_n")), named).select(*rows.columns)
+
+    several = first.filter("_n > 1")
+    if several.isEmpty():
+        return fetched(first)
     others = [c for c in rows.columns if c not in (key, order)]
-    first = rows.groupBy(key).agg(F.min(F.struct(order, *others)).alias("_first"))
-    return first.select(*[c if c == key else F.col("_first")[c].alias(c) for c in rows.columns])
+    least = fetched(several).groupBy(key).agg(F.min(F.struct(order, *others)).alias("_first"))
+    told = least.select(*[c if c == key else F.col("_first")[c].alias(c) for c in rows.columns])
+    return fetched(first.filter("_n = 1")).unionByName(told)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,9 +32,10 @@ def of_articles(table: DataFrame, ids: DataFrame) -> DataFrame:
     ids = settle(ids.select("article_id").filter(F.col("article_id").isNotNull()).distinct())
     if "bucket" not in table.columns:
         return table.join(broadcast_if_few(ids), "article_id", "left_semi")
-    buckets = sorted(r[0] for r in ids.select(bucket_of("article_id")).distinct().collect())
-    rows = table.filter(F.col("bucket").isin(*buckets))
     few = [r[0] for r in ids.limit(FEW_IDS + 1).collect()]
     if len(few) <= FEW_IDS:
-        return rows.filter(F.col("article_id").isin(*few))
+        buckets = sorted({hashlib.md5(i.encode()).hexdigest()[:BUCKET_DIGITS] for i in few})
+        return table.filter(F.col("bucket").isin(*buckets) & F.col("article_id").isin(*few))
+    buckets = [r[0] for r in ids.select(bucket_of("article_id")).distinct().collect()]
+    rows = table.filter(F.col("bucket").isin(*sorted(buckets)))
     return rows.join(broadcast_if_few(ids), "article_id", "left_semi")

@@ -229,6 +229,9 @@ SELECT article_id, title, category, content FROM (
   WHERE coalesce(nullif(a.category, ''), 'top') IN ({_FETCHED})) WHERE nth = 1"""
 ORACLES["insert_new_articles"] = _with(ARTICLES, _loads("articles", "doc_id")) + f"""
 SELECT {_SHORT}, load_id FROM stored"""
+ORACLES["find_articles"] = _with(ARTICLES, _loads("articles", "doc_id")) + f"""
+SELECT {_SHORT} FROM stored WHERE article_id IN (
+  SELECT a.article_id FROM articles a JOIN labels l ON l.doc_id = a.doc_id WHERE l.toxic = 1)"""
 ORACLES["insert_new_chunks"] = _with(
     ARTICLES,
     """firsts AS (

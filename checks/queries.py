@@ -129,6 +129,19 @@ def insert_new_articles(spark, sf):
     return spark.read.schema(schemas.STORED_ARTICLE).parquet(path).select(*_SHORT, "load_id")
 
 
+@query
+def find_articles(spark, sf):
+    """Articles of toxic documents by their ids, from a store whose loads were merged."""
+    store = stores.create(spark, fresh_path(spark, "store"))
+    for load, rows in (("1", fx.reviewed(spark, sf)), ("2", fx.full_articles(spark, sf, heavy=True))):
+        tables.insert_new(rows, store.articles, "doc_id", load, stores.visible(spark, store))
+        stores.commit(spark, store, load, load)
+    stores.compact(spark, store)
+    toxic = fx.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    ids = fx.articles(spark, sf).join(toxic, "doc_id", "left_semi")
+    return stores.find_articles(spark, store, ids).select(*_SHORT)
+
+
 def _zero_vectors(rows):
     return rows.withColumn("embedding", vectors.vector_or_zero(F.lit(None).cast("array<float>"), 8))
 

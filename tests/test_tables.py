@@ -67,10 +67,24 @@ def test_dedupe_with_a_hot_key(spark):
         (F.lit(5000) - F.col("id")).alias("at"), F.col("id").alias("v"),
     )
     got = dedupe_first(rows, "k", "at")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Exchange hashpartitioning" not in plan  # whole rows stay where they are
     assert got.count() == 2001
     assert got.filter("k = 'hot'").first().v == 2997
 
 
+def test_first_rows_among_equal_places_and_missing_keys(spark):
+    rows = [("a", 1, "y"), ("a", 1, "x"), ("a", 0, "z"), ("b", 2, "q"), ("b", 2, "p"), ("b", 2, "p"), (None, 5, "n"),
+            (None, 4, "m"), ("c", None, "late"), ("c", 3, "c"), ("d", None, "only")]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    got = {(r.k, r["at"], r.v) for r in dedupe_first(df, "k", "at").collect()}
+    plain = {}
+    for k, at, v in rows:  # a missing place comes first, as in any ascending order
+        plain[k] = min(plain.get(k, (at, v)), (at, v), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    assert got == {(k, *x) for k, x in plain.items()} and dedupe_first(df, "k", "at").count() == len(plain)
+    assert dedupe_first(df.limit(0), "k", "at").count() == 0
+
+
 @pytest.fixture
 def store(spark):
     made = stores.create(spark, fresh_path(spark, "store"))
