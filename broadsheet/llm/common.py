@@ -76,6 +76,31 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
+class Remembered(dict):
+    """A dict of about `most` entries: when it is full, only those used since the last time stay.
+
+    `get_kept` finds an entry of either generation and keeps it.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = max(1, most // 2), {}
+
+    def get_kept(self, key):
+        """The value, or None."""
+        found = self.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self[key] = found
+        return found
+
+    def make_room(self, more: int = 1) -> None:
+        if len(self) + more > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit integers (an invertible finaliser)."""
     x = x ^ (x >> np.uint64(30))

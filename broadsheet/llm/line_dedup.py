@@ -1,12 +1,11 @@
 """Line dedup: documents that overlap are aligned, and common blocks go from the later one.
 
-Every line that occurs in several documents points from each of them to the first that has it. Two
-documents so connected are aligned if they share a rare line (one of few documents), or enough
-text in frequent ones: copies in thousands have no rare line, and one boilerplate line is no
-overlap. The query and the pipeline set `whole`: there, text enough for a block is enough for a
-pair, so that the size of a table does not decide what goes from it, and runs of short lines point
-to their first holders as single lines do, which may be others. As a document meets only the first holders of its lines, groups of copies cost linear
-work, and each of its shared lines is met where it first occurs.
+Every line that occurs in several documents points from each of them to the first that has it, and
+so does every run of short lines, whose first holder may be another. Two documents so connected are
+aligned if they share a rare line (one of few documents), or text enough for a block in frequent
+ones: copies in thousands have no rare line, and the size of a table must not decide what goes from
+it. As a document meets only the first holders of its lines, groups of copies cost linear work, and
+each of its shared lines is met where it first occurs.
 
 Pairs are aligned by patience diff over hashes of their lines: equal starts and ends are matched,
 then the lines that are unique in both, as far as they keep one order (a longest increasing
@@ -25,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import if_few, list_array, mix, stored
+from broadsheet.llm.common import documents, free_names, if_few, list_array, mix, stored
 
 RARE = 32  # documents that share a line which alone makes a pair
-SHARED_CHARS = 200  # in frequent lines, which make a pair otherwise
-BLOCK_CHARS = 40  # of a block that is deleted, at least
+BLOCK_CHARS = 40  # of a block that is deleted, at least, and in frequent lines that make a pair
 
 
 # --- patience diff ----------------------------------------------------------------------------
@@ -165,13 +163,12 @@ def _runs(lines: DataFrame, least: int) -> DataFrame:
     )
 
 
-def _pairs(lines: DataFrame, rare: int, shared_chars: int, run_chars: int | None = None) -> DataFrame:
-    """(later, earlier) rows that are to be aligned; by runs of `run_chars`, too, if given."""
+def _pairs(lines: DataFrame, rare: int, block_chars: int) -> DataFrame:
+    """(later, earlier) rows that are to be aligned, by their lines and by runs of `block_chars`."""
     held = lines.select(
         "row", "doc_id", "text_key", F.explode(F.arrays_zip("lines", "chars")).alias("x")
     ).select("row", "doc_id", "text_key", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars"))
-    if run_chars is not None:
-        held = held.unionByName(_runs(lines, run_chars))
+    held = held.unionByName(_runs(lines, block_chars))
     held = held.filter("line != 0").groupBy("line", "row", "doc_id", "text_key").agg(F.max("chars").alias("chars"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "row")
     shared = held.groupBy("line").agg(F.count("*").alias("documents"), F.min(order).alias("first"))
@@ -179,19 +176,13 @@ def _pairs(lines: DataFrame, rare: int, shared_chars: int, run_chars: int | None
     met = held.join(shared, "line").filter("row != earlier").groupBy(
         F.col("row").alias("later"), "earlier"
     ).agg(F.min("documents").alias("rarest"), F.sum("chars").alias("chars"))
-    return met.filter((F.col("rarest") <= rare) | (F.col("chars") >= shared_chars)).select("later", "earlier")
+    return met.filter((F.col("rarest") <= rare) | (F.col("chars") >= block_chars)).select("later", "earlier")
 
 
 def decisions(
-    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS,
-    whole: bool = False,
+    docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, deletions): row, doc_id, text_key of all rows; row and its lines to delete, in order.
-
-    With `whole`, what makes a block also makes a pair, in however many documents it is and
-    wherever its single lines first occur.
-    """
-    shared_chars = min(shared_chars, block_chars) if whole else shared_chars
+    """(rows, deletions): row, doc_id, text_key of all rows; row and its lines to delete, in order."""
     lines = stored(_lines(docs), "lines")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +193,7 @@ def decisions(
                 [batch.column("row"), pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"]
             )
 
-    pairs = stored(_pairs(lines, rare, shared_chars, block_chars if whole else None), "line-pairs")
+    pairs = stored(_pairs(lines, rare, block_chars), "line-pairs")
     later = lines.select("row", "lines", "chars").join(pairs.withColumnRenamed("later", "row"), "row")
     earlier = lines.select(F.col("row").alias("earlier"), F.col("lines").alias("earlier_lines"))
     aligned = later.join(earlier, "earlier").select("row", "earlier_lines", "lines", "chars").mapInArrow(
@@ -215,52 +206,59 @@ def decisions(
 
 
 def dedup(
-    docs: DataFrame, rare: int = RARE, shared_chars: int = SHARED_CHARS, block_chars: int = BLOCK_CHARS,
-    whole: bool = False,
+    docs: DataFrame, rare: int = RARE, block_chars: int = BLOCK_CHARS, into: str = "_gone"
 ) -> DataFrame:
-    """All rows and columns, text without the deleted lines, and _gone, their numbers from 0.
+    """All rows and columns, text without the deleted lines, and `into`, their numbers from 0.
 
     Documents are ordered by doc_id, those without one last, then by the hash of their texts;
     repeated rows follow each other, and one of them stays whole. A missing text stays missing and
     has nothing to delete, nor has an empty one; blank lines match each other but point nowhere.
-    An empty table gives no rows. Other columns are carried along.
+    An empty table gives no rows. Other columns are carried along, whatever their names, but for
+    one named as `into`.
     """
-    rows, gone = decisions(docs, rare, shared_chars, block_chars, whole)
+    if into.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"there is a column {into}; name another for the deleted lines")
+    id_, key, nth, of, its = free_names(docs, "id", "key", "nth", "of", "its")
+    rows, gone = decisions(docs, rare, block_chars)
     named = rows.join(gone, "row", "left")
     # Several rows equal in doc_id and text cannot be told apart by key: they are numbered.
-    nth = Window.partitionBy("doc_id", "text_key").orderBy(F.size(F.coalesce("gone", F.array())), "row")
-    keys = stored(named.withColumn("nth", F.row_number().over(nth)).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("gone").alias("_gone"), "nth"
+    order = Window.partitionBy("doc_id", "text_key").orderBy(F.size(F.coalesce("gone", F.array())), "row")
+    keys = stored(named.withColumn(nth, F.row_number().over(order)).select(
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.col("gone").alias(into), nth
     ), "line-keys")
     text = F.col("text").cast("string")
     text_key = F.xxhash64(text)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
-    many = keys.filter("nth = 2").select("_id", "_key")
-    single = keys.filter(F.col("_gone").isNotNull()).join(
-        many.select(F.col("_id").alias("i"), F.col("_key").alias("k")),
-        F.col("_id").eqNullSafe(F.col("i")) & (F.col("_key") == F.col("k")), "left_anti",
-    ).drop("nth")
-    found = docs.join(single, same, "left").drop("_id", "_key")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key == F.col(key))
+    many = keys.filter(F.col(nth) == 2).select(id_, key)
+    single = keys.filter(F.col(into).isNotNull()).join(
+        many.select(F.col(id_).alias("i"), F.col(key).alias("k")),
+        F.col(id_).eqNullSafe(F.col("i")) & (F.col(key) == F.col("k")), "left_anti",
+    ).drop(nth)
+    found = docs.join(single, same, "left").drop(id_, key)
     if not many.isEmpty():
-        found = docs.join(if_few(many), same, "left_anti").join(single, same, "left").drop("_id", "_key")
-        numbered = docs.join(if_few(many), same, "left_semi").withColumn("_text_key", text_key).withColumn(
-            "_nth", F.row_number().over(Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(1)))
+        found = docs.join(if_few(many), same, "left_anti").join(single, same, "left").drop(id_, key)
+        numbered = docs.join(if_few(many), same, "left_semi").withColumn(its, text_key).withColumn(
+            of, F.row_number().over(Window.partitionBy("doc_id", its).orderBy(F.lit(1)))
         )
         repeated = numbered.join(
-            keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-            & (F.col("_text_key") == F.col("_key")) & (F.col("_nth") == F.col("nth")),
-        ).drop("_id", "_key", "nth", "_nth", "_text_key")
+            keys, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+            & (F.col(its) == F.col(key)) & (F.col(of) == F.col(nth)),
+        ).drop(id_, key, nth, of, its)
         found = found.unionByName(repeated)
-    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains("_gone", i))
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(into, i))
     return found.withColumn(
-        "text", F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+        "text", F.when(F.col(into).isNull(), text).otherwise(F.array_join(kept, "\n"))
     )
 
 
-def summary(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """Per document: how many lines went, their numbers from 0, and a digest of what is left."""
+def summary(docs: DataFrame) -> DataFrame:
+    """Per document: how many lines went, their numbers from 0, and a digest of what is left.
+
+    A missing or empty text has nothing to lose and the digest of an empty one. Repeated rows have
+    a row each, one of them with all of its lines. An empty table gives no rows.
+    """
     gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    return dedup(docs, whole=whole).select(
+    return dedup(documents(docs)).select(
         "doc_id", F.size(gone).cast("long").alias("n_removed"),
         F.array_join(F.transform(gone, lambda x: x.cast("string")), ",").alias("removed"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars_kept"),
@@ -268,8 +266,9 @@ def summary(docs: DataFrame, whole: bool = False) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, whole: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows with something left, with their columns; rows that had nothing to delete stay."""
-    found = dedup(docs, whole=whole)
-    left = F.col("_gone").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")
-    return found.filter(left).select(*docs.columns)
+    (gone,) = free_names(docs, "gone")
+    found = dedup(docs, into=gone)
+    left = F.col(gone).isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")
+    return found.filter(left).select(*(F.col(f"`{c}`") for c in docs.columns))

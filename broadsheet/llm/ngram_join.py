@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import if_few, keyed, list_array, mix, slices, stored, text_bytes
+from broadsheet.llm.common import free_names, if_few, keyed, list_array, mix, slices, stored, text_bytes
 from broadsheet.llm.components import components
 
 WORDS = 5
@@ -387,13 +387,14 @@ def keep_one(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD) ->
     gone = some.join(first, "component_id").filter(F.col("row") != F.col("first.row"))
     gone = gone.groupBy("doc_id", "text_key").agg(F.count("*").alias("gone"))
     rows = some.groupBy("doc_id", "text_key").agg(F.count("*").alias("rows"))
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rows")
-    both = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
-    fate = stored(gone.join(rows, both).select("_id", "_key", "gone", "rows"), "fate")
+    id_, key = free_names(docs, "id", "key")
+    rows = rows.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), "rows")
+    both = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col("text_key") == F.col(key))
+    fate = stored(gone.join(rows, both).select(id_, key, "gone", "rows"), "fate")
     text_key = F.xxhash64(F.col("text").cast("string"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key == F.col("_key"))
-    kept = docs.join(if_few(fate.filter("gone = rows").select("_id", "_key")), same, "left_anti")
-    repeated = fate.filter("gone < rows").select("_id", "_key")  # one of some equal rows stays
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (text_key == F.col(key))
+    kept = docs.join(if_few(fate.filter("gone = rows").select(id_, key)), same, "left_anti")
+    repeated = fate.filter("gone < rows").select(id_, key)  # one of some equal rows stays
     if not repeated.isEmpty():
         once = docs.join(if_few(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(if_few(repeated), same, "left_anti").unionByName(once)

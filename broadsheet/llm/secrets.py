@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, slices
+from broadsheet.llm.common import documents, free_names, slices
 
 MOST_STATES = 64
 MOST_LITERALS = 4  # characters of a class that are told apart
@@ -175,15 +175,19 @@ def _compiled(rule: Rule) -> re.Pattern:
     return re.compile(rule.pattern, rule.flags)
 
 
-def find(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+def find(
+    docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (), into: str = "_spans"
+) -> DataFrame:
     """(doc_id, _spans array<kind, start, end>), or the `keep` columns and text instead of doc_id.
 
+    The column of spans can be named by `into`.
+
     Spans are in code points, end exclusive, leftmost and without overlap within a kind, in order
     of start, then of the rules. A missing text has none, like an empty one; repeated rows are
     each scanned; an empty table gives none. Other columns do not matter.
     """
     names = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
-    rows = docs.select(*names) if keep else documents(docs)
+    rows = docs.select(*(F.col(f"`{c}`") for c in names)) if keep else documents(docs)
     span = "array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     kept = names if keep else ["doc_id"]
@@ -210,10 +214,10 @@ def find(docs: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = (
                 s.sort(key=lambda x: (x[1], order[x[0]]))
             as_rows = [[dict(zip(("kind", "start", "end"), x, strict=True)) for x in s] for s in spans]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(as_rows, kind)], names=[*kept, "_spans"]
+                [*(batch.column(c) for c in kept), pa.array(as_rows, kind)], names=[*kept, into]
             )
 
-    return rows.mapInArrow(scan, f"{schema}, _spans {span}")
+    return rows.mapInArrow(scan, f"{schema}, {into} {span}")
 
 
 def _joined(spans):
@@ -240,11 +244,12 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "<secret>
 
     A missing text stays missing, and texts without a span stay as they are.
     """
-    found = find(docs, rules, keep=docs.columns)
+    (spans,) = free_names(docs, "spans")
+    found = find(docs, rules, docs.columns, spans)
     # From the last span to the first; `at` is where the part already replaced begins.
     start = F.struct(F.lit("").alias("tail"), (F.length("text") + 1).cast("long").alias("at"))
     merged = F.aggregate(
-        "_spans", F.array().cast("array<struct<start:long,end:long>>"),
+        spans, F.array().cast("array<struct<start:long,end:long>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["end"] > s.start),
             F.concat(
@@ -271,5 +276,5 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "<secret>
             F.substring(F.col("text"), F.lit(1), (state["at"] - 1).cast("int")), state["tail"]
         ),
     )
-    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    text = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))

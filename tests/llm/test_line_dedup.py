@@ -49,24 +49,36 @@ def test_alignment_is_common_and_in_order():
     assert ld.align(long, long[500:] + long[:500]) == [(i, i - 500) for i in range(500, 2000)]
 
 
-def brute(rows, rare=ld.RARE, shared_chars=ld.SHARED_CHARS, block=ld.BLOCK_CHARS):
+def keys_of(own, block):
+    """A document's lines and shortest runs of `block` characters from and up to shorter lines."""
+    found = {("line", x): len(x) for x in own if x.strip(" ")}
+    for way, lines in ((1, own), (-1, own[::-1])):
+        lines = [x if x.strip(" ") else "" for x in lines]
+        for i, x in enumerate(lines):
+            to = next((j for j in range(i + 1, len(lines) + 1) if sum(map(len, lines[i:j])) >= block), None)
+            if x and to and to > i + 1:
+                found["run", way, *lines[i:to]] = block
+    return found
+
+
+def brute(rows, rare=ld.RARE, block=ld.BLOCK_CHARS):
     """Rows in order with the lines that go; pairs by plain loops over all documents."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     lines = [(t or "").split("\n") for _, t in order]
+    keys = [keys_of(own, block) for own in lines]
     holders = {}
-    for k, own in enumerate(lines):
-        for x in set(own):
-            if x.strip(" "):
-                holders.setdefault(x, []).append(k)
+    for k, own in enumerate(keys):
+        for x in own:
+            holders.setdefault(x, []).append(k)
     out = []
     for k, own in enumerate(lines):
         met = {}
-        for x in set(own):
-            if x.strip(" ") and holders[x][0] != k:
+        for x in keys[k]:
+            if holders[x][0] != k:
                 met.setdefault(holders[x][0], []).append(x)
         gone = set()
         for first, common in met.items():
-            if min(len(holders[x]) for x in common) > rare and sum(map(len, common)) < shared_chars:
+            if min(len(holders[x]) for x in common) > rare and sum(keys[k][x] for x in common) < block:
                 continue
             a, b = ([x if x.strip(" ") else "" for x in s] for s in (lines[first], own))
             run = []
@@ -91,6 +103,8 @@ def test_the_table(spark, sf):
     got = ours(docs)
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
     assert sum(r[1] for r in got) > 20
+    assert got == sorted((str(r.doc_id), r.n_removed, r.kept_sha256) for r in QUERIES["op1_line_dedup"](
+        spark, f"/root/testdata/sf{sf}").collect())
 
 
 def test_copies_boilerplate_and_edges(make):
@@ -104,13 +118,19 @@ def test_copies_boilerplate_and_edges(make):
     got = ours(make(*rows))
     assert got == brute(rows)
     by = {r[0]: r[1] for r in got}
-    assert by["5"] == 0 and by["100"] == 0 and by["101"] == 6 and by["230"] == 12 and by["None"] == 4
+    assert by["5"] == 1 and by["0"] == 0 and by["100"] == 0 and by["101"] == 6 and by["230"] == 12 and by["None"] == 4
     kept = ld.without_repeats(make(*rows))
     assert kept.columns == make().columns
     ids = [r.doc_id for r in kept.collect()]
     assert 230 not in ids and {5, 100, 101, 300, 301, 302} <= set(ids)
 
 
+def test_a_very_long_document(make):
+    lines = [f"line {i} of a very long document" for i in range(40_000)]
+    got = ours(make((1, "\n".join(lines)), (2, "\n".join(["own", *lines[5:20_000]])), (3, "x" * 2_000_000)))
+    assert [r[:2] for r in got] == [("1", 0), ("2", 19_995), ("3", 0)]
+
+
 def test_repeated_rows(make):
     page = "\n".join(f"A line that says something of its own, number {i}, at length" for i in range(5))
     got = ours(make((1, page), (1, page), (1, page), (0, "other")))
@@ -138,7 +158,7 @@ def test_frequent_blocks_go_at_every_frequency(make, tmp_path):
     rows = [(i, "\n".join([notice, f"Text {i} which nobody else has in this table", *short])) for i in range(60)]
     rows += [(100 + i, "\n".join([f"Other text {i} of one document only", short[0]])) for i in range(40)]
     got = queried(make(*rows), tmp_path)
-    assert got == brute(rows, shared_chars=ld.BLOCK_CHARS)
+    assert got == brute(rows)
     by = {r[0]: r[1] for r in got}
     assert by["0"] == 0 and {by[str(i)] for i in range(1, 60)} == {4}
     assert {by[str(100 + i)] for i in range(40)} == {0}
