@@ -7,7 +7,8 @@ found there in any table is ranked by the exact distance.
 
 The index is computed where the vectors lie: a task hashes its vectors and finds, per vector, the
 queries that probe one of its buckets as the union of bit sets. Queries come in blocks of bounded
-size; vectors are never moved, and each task returns k rows per query at most.
+size; vectors are never moved, and each task returns k rows per query at most. Queries that find too
+few in their buckets are compared with all vectors.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def _search_block(points: DataFrame, block: pa.Table, rotations: Rotations, prob
     dimension = len(block.column("vector")[0])
     ids = block.column("id").to_numpy()
     queries = _matrix(block.column("vector").combine_chunks(), dimension)
-    shared = points.sparkSession.sparkContext.broadcast((ids, queries))  # <= BLOCK rows
+    shared = points.sparkSession.sparkContext.broadcast((ids, queries))  # about `block` rows
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, queries = shared.value
@@ -142,7 +143,30 @@ def _search_block(points: DataFrame, block: pa.Table, rotations: Rotations, prob
                 pa.array(np.repeat(scored, count)),
             ], names=["query_id", "vec_id", "score", "task_scored"])
 
-    return points.mapInArrow(score, "query_id long, vec_id long, score double, task_scored long")
+    return points.mapInArrow(score, "query_id long, vec_id long, score double, task_scored long"), shared
+
+
+def _search_blocks(
+    points: DataFrame, asked: DataFrame, rotations: Rotations, probes: int, k: int, block: int
+) -> DataFrame | None:
+    """The k nearest that each query finds, block after block of queries; None without queries.
+
+    One block at a time is in the driver and in the tasks; its result is written before the next.
+    """
+    blocks = -(-asked.count() // block)
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, 2 * blocks - 1))))
+    if blocks > 1:
+        numbered = stored(numbered, "queries")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = []
+    for b in range(2 * blocks - 1):  # more, smaller blocks than need be: hashing deals unevenly
+        rows = numbered.filter(F.col("block") == b).select("id", "vector").toArrow()
+        if rows.num_rows:
+            hits, shared = _search_block(points, rows, rotations, probes, k)
+            best = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            found.append(stored(best.select("query_id", "rank", "vec_id", "score"), "nearest"))
+            shared.destroy()
+    return reduce(DataFrame.unionAll, found) if found else None
 
 
 def search(
@@ -151,6 +175,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of the candidates found.
 
+    A query whose buckets hold fewer than k other rows is searched once more, in all of the table.
     A query does not find rows with its own id. Ties go to the smaller id; repeated rows each
     count, repeated queries are one. Vectors that are missing, zero or hold a missing or
     non-finite component take no part, nor do rows without an id, nor vectors of another length
@@ -167,21 +192,14 @@ def search(
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     shortest, longest = points.agg(F.min(norm), F.max(norm)).first()
     asked = asked.filter(length == dimension).dropDuplicates(["id"])
-    blocks = -(-asked.count() // block)
-    if not blocks:
+    lifted = longest - shortest > 1e-4 * longest
+    found = _search_blocks(points, asked, Rotations(dimension, longest, lifted, tables), probes, k, block)
+    if found is None:
         return empty
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(2 * blocks - 1)))
-    if blocks > 1:
-        numbered = stored(numbered, "queries")
-    rotations = Rotations(dimension, longest, longest - shortest > 1e-4 * longest, tables)
-    found = []
-    for b in range(2 * blocks - 1):  # more, smaller blocks than need be: hashing deals unevenly
-        rows = numbered.filter(F.col("block") == b).select("id", "vector").toArrow()
-        if rows.num_rows:
-            found.append(_search_block(points, rows, rotations, probes, k))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        reduce(DataFrame.unionAll, found)
-        .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    full = found.groupBy(F.col("query_id").alias("id")).agg(F.max("rank").alias("n")).filter(F.col("n") == k)
+    short = stored(asked.join(full, "id", "left_anti"), "short-queries")
+    one = Rotations(dimension, longest, lifted, tables=1)  # its buckets, all probed, hold every row
+    more = _search_blocks(points, short, one, 2 * one.width, k, block)
+    if more is None:
+        return found
+    return found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(more)

@@ -46,12 +46,28 @@ def test_edge_rows(spark):
              (400, rows[5][1]), (401, rows[5][1]), (402, rows[5][1]), (402, rows[5][1]),
              (500, [1.0] * 7 + [None]), (600, [1.0, 2.0]), (700, [float("inf")] + [1.0] * 7)]
     same_length = [r for r in rows if r[1] is None or len(r[1]) == 8]
-    got, expected = run(spark, rows, probes=16), brute(same_length)
+    got, expected = run(spark, rows), brute(same_length)
     assert set(got) == set(expected) == {0, 400}
     assert got == expected
     assert run(spark, []) == {} and run(spark, [(100, None)]) == {}
 
 
+def test_queries_that_find_too_few_look_everywhere(spark):
+    rng = np.random.default_rng(7)
+    few = [(i, [float(np.float32(x)) for x in rng.normal(size=64)]) for i in range(8)]
+    assert run(spark, few) == brute(few) and len(run(spark, few)[0]) == 7
+    away = rng.normal(size=64)  # the queries lie opposite to all the rest
+    rows = [(i, [float(np.float32(x)) for x in (-1 if i % 100 == 0 else 1) * away + 0.01 * rng.normal(size=64)])
+            for i in range(300)]
+    got, expected = run(spark, rows, block=2), brute(rows)
+    assert {len(near) for near in got.values()} == {10} and set(got) == set(expected)
+    for n in (15, 20):
+        rows = [(i, [float(np.float32(x)) for x in rng.normal(size=64)]) for i in range(n)]
+        got, expected = run(spark, rows), brute(rows)
+        assert sum(len(set(got[q]) & set(expected[q])) for q in expected) >= 0.9 * sum(map(len, expected.values()))
+        assert all(len(near) == 10 for near in got.values())
+
+
 def test_lengths_that_differ_much(spark):
     rng = np.random.default_rng(6)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16) * rng.uniform(0.2, 5)]) for i in range(2000)]
