@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import xxhash
 
 from broadsheet.llm import fingerprints as fp
 
@@ -16,6 +17,45 @@ def brute(rows):
     return out
 
 
+def pieces(text):
+    """Pieces as tuples of words, each with how many equal ones came before it."""
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> shift)) * factor % (1 << 64)
+        return x
+
+    out, piece, seen = set(), [], {}
+    words = (text or "").replace("\n", " \n ").split(" ")
+    for i, word in enumerate(words):
+        piece.append(word)
+        number = 0 if word == "\n" else xxhash.xxh3_64_intdigest(word.encode()) or 1
+        if word == "\n" or mixed(number) & 7 == 0 or i == len(words) - 1:
+            if piece not in (["\n"], [""]):
+                nth = seen.get(tuple(piece), 0)
+                seen[tuple(piece)] = nth + 1
+                out.add((*piece, nth))
+            piece = []
+    return out
+
+
+def test_likeness_by_plain_code(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    expected, texts = brute(rows), dict(rows)
+    got = fp.fingerprint_edits(documents).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        own = pieces(texts[r.doc_id])
+        for other, near in zip(expected[r.doc_id], (r.near_edited, r.near_next), strict=True):
+            other = pieces(other)
+            assert abs(near - (len(own & other) / len(own | other) if own | other else 1)) < 1e-12
+
+
+def test_very_long_texts(make):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    got = {r.doc_id: r for r in fp.fingerprint_edits(make((2, long), (1, long + " more"))).collect()}
+    assert got[1].n_chars == got[2].n_chars + 5 and got[2].near_next > 0.99 and got[1].fingerprint != got[2].fingerprint
+
+
 def test_edits_of_the_table(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     expected = brute(rows)
