@@ -30,45 +30,74 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, slices, stored
+from broadsheet.llm.common import Remembered, documents, slices, stored
 
 CAPACITY = 4096
 # (groups, share of the capacity up to which a length is small); in the last, all are.
 SCHEMES = ((8, 0.2), (16, 0.2), (32, 0.2), (32, 0.3), (0, 1.0))
 END_ID = 1
-SALTS = 64  # parts in which the pieces of one length are ranked
-KNOWN_WORDS = 500_000  # words whose ids a worker process remembers, about, at most
+SALT_ROWS = 50_000  # pieces in a part in which those of one length are ranked, about
+KNOWN_WORDS = 1_000_000  # words whose ids a worker process remembers, about, at most
+TOGETHER = 1000  # words of letters that are encoded in one text
+WORD_END = "</w>"  # ends the last piece of each word of the vocabulary
+MARKS = "!#$%&()*+,-./:;=?@[]^{|}~"  # neither white space nor letters, nor part of a contraction
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-class WordIds(dict):
-    """Little-endian ids of words, remembered. The tokenizer never joins across white space."""
+class WordIds:
+    """Little-endian ids of words, remembered.
+
+    The tokenizer never joins across white space, nor letters with marks behind them. Words of
+    letters are encoded many in one text, as each of them ends with a piece that is an end.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        self.known = Remembered(KNOWN_WORDS)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, "<u4") for f in found]
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters only; a group in which one is not a single word goes word by word."""
+        for at in range(0, len(words), TOGETHER):
+            group = words[at:at + TOGETHER]
+            (ids,) = self._encoded([" ".join(group)])
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(ends) == len(group):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(group, ends.tolist(), strict=True):
+                    self.known[word] = raw[start:end]
+                    start = end
+            else:
+                for word, own in zip(group, self._encoded(group), strict=True):
+                    self.known[word] = own.tobytes()
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; words new to all of them are encoded in one call."""
+        """The ids of each text; words new to all of them are encoded together."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = set().union(*split)
-        new = words.difference(self)
-        if len(self) + len(new) > KNOWN_WORDS:
-            self.clear()
-            new = words
-        ended = [w for w in new if _stem(w) is not w]
-        new = list({_stem(w) for w in new if _stem(w) not in self} | {c for c in ",." if c not in self})
-        for word, found in zip(
-            new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
-        ):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        for word in ended:
-            self[word] = self[word[:-1]] + self[word[-1]]
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        known = self.known
+        known.make_room(len(words))
+        new = [w for w in words if known.get_kept(w) is None]
+        parts = {w: cut for w in new if (cut := _parts(w)) is not None}
+        wanted = {p for cut in parts.values() for p in cut} | {w for w in new if w not in parts}
+        unknown = [w for w in wanted if known.get_kept(w) is None]
+        self._learn_letters([w for w in unknown if w.isalpha()])
+        others = [w for w in unknown if not w.isalpha()]
+        for word, ids in zip(others, self._encoded(others), strict=True):
+            known[word] = ids.tobytes()
+        for word, (stem, marks) in parts.items():
+            known[word] = known[stem] + known[marks]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 @lru_cache(1)
@@ -77,9 +106,10 @@ def _word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def _stem(word: str) -> str:
-    """A word without a comma or full stop after a letter, which is a token of its own."""
-    return word[:-1] if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else word
+def _parts(word: str) -> tuple[str, str] | None:
+    """A word of letters and the marks behind it, which are tokens of their own; or None."""
+    stem = word.rstrip(MARKS)
+    return (stem, word[len(stem):]) if stem and len(stem) < len(word) and stem.isalpha() else None
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -283,7 +313,8 @@ def pack(
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # <= capacity rows
     places = _places(plan(counts, capacity, schemes))
 
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)))
+    salts = max(1, -(-max(counts.values(), default=0) // SALT_ROWS))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     parts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = parts.select("length", "salt", (
         F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
