@@ -45,6 +45,11 @@ def free_names(rows: DataFrame, *names: str) -> list[str]:
     return [f"{mark}{name}" for name in names]
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions and schemas."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: it cuts lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, free_names, if_few, list_array, mix, stored
+from broadsheet.llm.common import documents, free_names, if_few, list_array, mix, quoted, stored
 
 RARE = 32  # documents that share a line which alone makes a pair
 BLOCK_CHARS = 40  # of a block that is deleted, at least, and in frequent lines that make a pair
@@ -271,4 +271,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     (gone,) = free_names(docs, "gone")
     found = dedup(docs, into=gone)
     left = F.col(gone).isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")
-    return found.filter(left).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.filter(left).select(*map(quoted, docs.columns))

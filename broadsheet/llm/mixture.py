@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, free_names, if_few, stored
+from broadsheet.llm.common import documents, free_names, if_few, quoted, stored
 from broadsheet.llm.running import numbered, repeated, running
 
 WEIGHTS = (5, 2, 1)  # of sources in order, repeating
@@ -254,4 +254,4 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     met = met.filter(F.col(some).isNull()).withColumn(n, F.col(whole)).unionByName(
         met.filter(F.col(some).isNotNull()).withColumn(n, F.col(whole) + (number <= F.col(some)).cast("long"))
     )
-    return repeated(met, n, copy).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return repeated(met, n, copy).select(*map(quoted, docs.columns))

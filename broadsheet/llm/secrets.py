@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, free_names, slices
+from broadsheet.llm.common import documents, free_names, quoted, slices
 
 MOST_STATES = 64
 MOST_LITERALS = 4  # characters of a class that are told apart
@@ -187,11 +187,11 @@ def find(
     each scanned; an empty table gives none. Other columns do not matter.
     """
     names = ["doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")]]
-    rows = docs.select(*(F.col(f"`{c}`") for c in names)) if keep else documents(docs)
+    rows = docs.select(*map(quoted, names)) if keep else documents(docs)
     span = "array<struct<kind:string,start:long,end:long>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     kept = names if keep else ["doc_id"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    schema = ", ".join(f"{quoted(c)} {rows.schema[c].dataType.simpleString()}" for c in kept)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r.pattern, r.flags) for r in rules]
@@ -277,4 +277,4 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "<secret>
         ),
     )
     text = F.when(F.size(spans) > 0, clean).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return found.withColumn("text", text).select(*map(quoted, docs.columns))

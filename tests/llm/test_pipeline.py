@@ -2,9 +2,11 @@ from collections import Counter
 
 import corpus_pipeline as cp
 import pytest
+from pyspark.sql import functions as F
 
 from broadsheet.llm.common import stored
 from broadsheet.llm.queries import QUERIES
+from tests.llm.conftest import CLASHING
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_ngram_join import brute as brute_components
 from tests.llm.test_packing import check as check_packed
@@ -87,6 +89,38 @@ def test_empty_documents(spark, documents, sf_dir):
         assert docs.count() == 0
 
 
+def test_columns_of_any_name_are_carried_along(spark, documents, sf_dir):
+    docs = documents
+    for name in (*CLASHING, "an odd name", "__id", "lines", "chars", "spans2"):
+        docs = docs.withColumn(name, F.lit("x"))
+    names = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+        assert docs.columns == names
+    plain = documents
+    for name, stage in cp.STAGES[:-1]:
+        plain = stored(stage(spark, plain, sf_dir), name)
+    assert sorted(docs.select("doc_id", "text").collect()) == sorted(plain.select("doc_id", "text").collect())
+    assert stage_of("best_fit_packing")(spark, docs, sf_dir).count() > 0
+
+
+def stage_of(name):
+    return dict(cp.STAGES)[name]
+
+
+def test_very_long_texts(spark, documents, sf_dir):
+    words = " ".join(f"the word {i} of and" for i in range(60_000))
+    long = spark.createDataFrame(
+        [(10**6, words, "en", "s", len(words)), (10**6 + 1, words + " token=abcdefgh99", "en", "s", 0)], documents.schema)
+    docs = documents.limit(50).unionByName(long)
+    for name, stage in cp.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    kept = [r for r in docs.collect() if r.doc_id >= 10**6]
+    assert [r.doc_id for r in kept] == [10**6]  # near copies: one of them stays
+    packed = cp.packed(spark, docs, sf_dir).filter(f"doc_id = {10**6}").collect()
+    assert len(packed) > 50 and sum(r.length for r in packed) > 200_000
+
+
 def test_missing_values_and_repeated_rows(spark, documents, sf_dir):
     text = " ".join(f"the word{i}" for i in range(30))
     odd = spark.createDataFrame(
