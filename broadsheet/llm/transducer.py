@@ -11,8 +11,8 @@ than its merges do. Merges are local, though: a sequence of pieces is the one th
 only if every two neighbours are what they produce of these two alone. As an automaton over the
 last piece this leaves one path to each place, which the shortest path then finds.
 
-Texts are cut where no piece can reach across, before marks and around line ends, and the ids of a
-stretch are remembered.
+Texts are cut where no piece can reach across: before marks, around line ends, and between letters
+and others if the vocabulary has no piece of both. The ids of a stretch are remembered.
 """
 
 from __future__ import annotations
@@ -20,17 +20,19 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, slices, text_bytes
+from broadsheet.llm.common import Remembered, documents, slices, text_bytes
 
 MARK = "▁"
-KNOWN_STRETCHES = 300_000
-KNOWN_PAIRS = 500_000
+LETTER = re.compile(r"[^\W\d_]")
+KNOWN_STRETCHES = 600_000
+KNOWN_PAIRS = 1_000_000
 REMEMBERED = 64  # characters of a stretch that is remembered, at most
 
 
@@ -55,6 +57,10 @@ class Transducer:
         if any(not re.fullmatch(f"{MARK}*[^{MARK}\n]*", p) for p in self.ids):
             raise ValueError("a piece reaches over a mark or a line end")
         self.cut = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
+        kinds = [[LETTER.fullmatch(c) is not None for c in p.lstrip(MARK)] for p in self.ids]
+        if not any(a != b for k in kinds for a, b in zip(k, k[1:])):  # no piece joins letters with others
+            letter, other = LETTER.pattern, f"(?:(?![{MARK}\n])[\\W\\d_])"
+            self.cut = re.compile(f"{MARK}+(?:{letter}+|{other}+)?|\n|{letter}+|{other}+")
         self.longest = max(map(len, self.ids))
         # The trie: a node is a dict from characters; the output is under the empty string. It is
         # walked from the end of a piece, as arcs are looked up by where they end.
@@ -69,8 +75,8 @@ class Transducer:
             for i, p in enumerate(self.pieces)
         ]
         self.raw[self.unknown] = " ⁇ ".encode()
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.follows: dict[int, bool] = {}  # by both pieces' ids in one number
+        self.known = Remembered(KNOWN_STRETCHES)
 
     # --- encoding -----------------------------------------------------------------------------
 
@@ -89,19 +95,20 @@ class Transducer:
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
 
     def may_follow(self, first: int, second: int) -> bool:
-        """Whether the merges leave these two pieces as they are."""
-        pair = first, second
+        """Whether the merges leave these two pieces as they are; of -1 and a piece, whether they
+        make it of its own text."""
+        pair = (first + 1 << 32) + second
         found = self.follows.get(pair)
         if found is None:
             if len(self.follows) >= KNOWN_PAIRS:
                 self.follows.clear()
-            a, b = self.pieces[first], self.pieces[second]
-            found = self.follows[pair] = self._merged(a + b) == [a, b]
+            parts = [self.pieces[i] for i in (first, second) if i >= 0]
+            found = self.follows[pair] = self._merged("".join(parts)) == parts
         return found
 
     def _path(self, text: str) -> list[int]:
         """The shortest path through a stretch; -1 stands for a character without a piece."""
-        n = len(text)
+        n, known = len(text), self.follows if self.merges else {}
         weight = [0.0] + [float("inf")] * n
         last: list[int | None] = [None] * (n + 1)
         size = [0] * (n + 1)
@@ -124,13 +131,11 @@ class Transducer:
                     continue
                 before = last[at]
                 if self.merges:
-                    if before is None or before < 0:
-                        if self.may_stand(piece):
-                            weight[end], last[end], size[end] = cost, piece, end - at
-                    elif self.may_follow(before, piece):
-                        weight[end], last[end], size[end] = cost, piece, end - at
-                else:
-                    weight[end], last[end], size[end] = cost, piece, end - at
+                    before = -1 if before is None or before < 0 else before
+                    follows = known.get((before + 1 << 32) + piece)
+                    if not (self.may_follow(before, piece) if follows is None else follows):
+                        continue
+                weight[end], last[end], size[end] = cost, piece, end - at
             if not single and weight[end - 1] + 1e6 < weight[end]:
                 weight[end], last[end], size[end] = weight[end - 1] + 1e6, -1 - ord(text[end - 1]), 1
         out, at = [], n
@@ -139,17 +144,8 @@ class Transducer:
             at -= size[at]
         return out[::-1]
 
-    def may_stand(self, piece: int) -> bool:
-        """Whether the merges make this piece of its own text."""
-        pair = -1, piece
-        found = self.follows.get(pair)
-        if found is None:
-            text = self.pieces[piece]
-            found = self.follows[pair] = self._merged(text) == [text]
-        return found
-
     def _ids(self, stretch: str) -> bytes:
-        found = self.known.get(stretch)
+        found = self.known.get_kept(stretch)
         if found is None:
             out = []
             for piece in self._path(stretch):
@@ -161,8 +157,7 @@ class Transducer:
                     out.append(self.unknown)
             found = np.array(out, "<u4").tobytes()
             if len(stretch) <= REMEMBERED:
-                if len(self.known) >= KNOWN_STRETCHES:
-                    self.known.clear()
+                self.known.make_room()
                 self.known[stretch] = found
         return found
 
@@ -182,6 +177,12 @@ class Transducer:
         return text.decode("utf-8", "replace").removeprefix(MARK).replace(MARK, " ")
 
 
+@lru_cache(1)
+def _machine(path: str) -> Transducer:
+    """One per worker process, so that its tasks compile it and learn a stretch once."""
+    return Transducer(path)
+
+
 def encode(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
     """(doc_id, ids binary): ids as little-endian unsigned 32-bit numbers.
 
@@ -189,7 +190,7 @@ def encode(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
     gives none, other columns do not matter.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(model)
+        transducer = _machine(model)
         for batch in slices(batches):
             found = [transducer.encode(t.decode()) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
@@ -202,7 +203,7 @@ def encode(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
 def decode(encoded: DataFrame, model: str, column: str = "ids") -> DataFrame:
     """(doc_id, text) of encoded rows; missing ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(model)
+        transducer = _machine(model)
         for batch in slices(batches, column):
             found = [transducer.decode(i or b"") for i in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -217,7 +218,7 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        transducer = Transducer(model)
+        transducer = _machine(model)
         byte = np.zeros(len(transducer.pieces), bool)
         byte[list(transducer.byte_ids.values())] = True
         for batch in slices(batches):
