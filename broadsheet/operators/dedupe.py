@@ -8,18 +8,23 @@ from pyspark.sql import functions as F
 from broadsheet.session import broadcast_if_few, settle
 
 
-def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of every key by an order column; exactly one, whatever is delivered twice.
+def first_places(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(_key, _order, _n): the first place of every key in the order, and how many rows stand there.
 
-    What is aggregated are keys and places in the order alone, which every task first reduces to
-    one per key, so a key that holds most of the rows is not collected in one task. The rows that
-    these name are then fetched: by a broadcast if they are few, so that whole rows are not moved
-    at all. Only where several rows of a key stand at its first place are they told apart by their
-    other columns.
+    Every task first reduces its keys to one place each, so a key that holds most of the rows is
+    not collected in one task.
     """
     places = rows.groupBy(F.col(key).alias("_key"), F.col(order).alias("_order")).agg(F.count(F.lit(1)).alias("_n"))
     first = places.groupBy("_key").agg(F.min(F.struct("_order", "_n")).alias("_first"))
-    first = settle(first.select("_key", "_first._order", "_first._n"))
+    return settle(first.select("_key", "_first._order", "_first._n"))
+
+
+def rows_at(rows: DataFrame, first: DataFrame, key: str, order: str) -> DataFrame:
+    """One row for each of the places in `first`.
+
+    They are fetched by a broadcast if they are few, so that whole rows are not moved at all. Only
+    where several rows of a key stand at its place are they told apart by their other columns.
+    """
     named = F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order"))
 
     def fetched(which: DataFrame) -> DataFrame:
@@ -32,3 +37,8 @@ def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     least = fetched(several).groupBy(key).agg(F.min(F.struct(order, *others)).alias("_first"))
     told = least.select(*[c if c == key else F.col("_first")[c].alias(c) for c in rows.columns])
     return fetched(first.filter("_n = 1")).unionByName(told)
+
+
+def dedupe_first(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of every key by an order column; exactly one, whatever is delivered twice."""
+    return rows_at(rows, first_places(rows, key, order), key, order)

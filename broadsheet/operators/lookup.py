@@ -22,14 +22,16 @@ def article_of(chunk_id: str) -> Column:
     return F.regexp_replace(chunk_id, r"_chunk_\d+$", "")
 
 
-def of_articles(table: DataFrame, ids: DataFrame) -> DataFrame:
+def of_articles(table: DataFrame, ids: DataFrame, settled: bool = False) -> DataFrame:
     """Rows of a stored table whose article_id is among `ids`, read from these ids' buckets.
 
     Few ids become part of the scan's filter, which skips row groups by their bounds and Bloom
     filters; more are broadcast, and very many are met in a shuffle. What the driver gets are the
     buckets, of which there is a fixed number, and few ids. A table without buckets is only joined.
+    `settled` says that the ids are distinct and were computed before.
     """
-    ids = settle(ids.select("article_id").filter(F.col("article_id").isNotNull()).distinct())
+    ids = ids.select("article_id").filter(F.col("article_id").isNotNull())
+    ids = ids if settled else settle(ids.distinct())
     if "bucket" not in table.columns:
         return table.join(broadcast_if_few(ids), "article_id", "left_semi")
     few = [r[0] for r in ids.limit(FEW_IDS + 1).collect()]

@@ -80,7 +80,6 @@ COMMIT = T.StructType([
     T.StructField("new_inserted", T.LongType()),
     T.StructField("indexed", T.LongType()),
     T.StructField("new_chunks", T.LongType()),
-    T.StructField("without_vector", T.LongType()),
     T.StructField("committed_at", T.TimestampType()),
 ])
 

@@ -45,6 +45,12 @@ def is_rejected() -> Column:
     return F.col(DAMAGED).isNotNull() | F.coalesce(F.col("status") != "success", F.lit(True))
 
 
+def delivered() -> Column:
+    """How many articles an answer gives."""
+    titled = F.filter("results", lambda item: text.nonempty(item.title))
+    return F.when(is_rejected(), 0).otherwise(F.coalesce(F.size(titled), F.lit(0)))
+
+
 def rejected_answers(payloads: DataFrame) -> DataFrame:
     """(fetch_id, reason, record) of what gives no articles: damaged lines and error answers."""
     damaged = F.col(DAMAGED).isNotNull()

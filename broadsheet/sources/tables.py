@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet import schemas
-from broadsheet.operators.dedupe import dedupe_first
+from broadsheet.operators.dedupe import first_places, rows_at
 from broadsheet.operators.lookup import bucket_of, of_articles
 from broadsheet.session import broadcast_if_few, settle
 
@@ -96,14 +96,17 @@ def insert_new(
     """Add the articles whose id is not stored, the first of each id; returns the load id.
 
     A load that is tried again under its `load_id` adds what an earlier try did not. Stored is what
-    `loads` have written, if they are named.
+    `loads` have written, if they are named. What is compared are ids; whole rows are fetched once
+    it is known which of them are new.
     """
     load_id = load_id or uuid.uuid4().hex
     table = stored(articles.sparkSession, path, schemas.STORED_ARTICLE, loads)
-    known = of_articles(table, articles).select("article_id")
-    stamped = dedupe_first(articles, "article_id", order).withColumn("created_at", F.current_timestamp())
-    fresh = stamped.join(known, "article_id", "left_anti")
-    append(fresh, path, schemas.STORED_ARTICLE, ARTICLE_PARTITIONS, load_id)
+    first = first_places(articles, "article_id", order)
+    known = of_articles(table, first.withColumnRenamed("_key", "article_id"), settled=True)
+    new = first.join(known.select(F.col("article_id").alias("_key")), "_key", "left_anti")
+    fresh = rows_at(articles, settle(new), "article_id", order)
+    stamped = fresh.withColumn("created_at", F.current_timestamp())
+    append(stamped, path, schemas.STORED_ARTICLE, ARTICLE_PARTITIONS, load_id)
     return load_id
 
 

@@ -18,7 +18,7 @@ from broadsheet.sources import payloads, tables
 from broadsheet.sources import store as stores
 from broadsheet.sources.store import Store
 
-COUNTERS = ("answers", "rejected", "fetched", "new_inserted", "indexed", "new_chunks", "without_vector")
+COUNTERS = ("answers", "rejected", "fetched", "new_inserted", "indexed", "new_chunks")
 
 
 def load_batch(
@@ -57,23 +57,17 @@ def load_batch(
 
 
 def _counters(spark: SparkSession, store: Store, landed: DataFrame, write_id: str) -> dict[str, int]:
-    """What a load has done; all but the first two counters are read from what it has written."""
+    """What a load has done; of what it has written only narrow columns are read."""
     answers = landed.agg(
-        F.count(F.lit(1)).alias("answers"), F.count_if(payloads.is_rejected()).alias("rejected")
+        F.count(F.lit(1)).alias("answers"), F.count_if(payloads.is_rejected()).alias("rejected"),
+        F.coalesce(F.sum(payloads.delivered()), F.lit(0)).alias("fetched"),
     ).first()
     chunks = tables.read_chunks(spark, store.chunks, write_id)
-    nothing = F.forall("embedding", lambda x: x == 0)
-    by_article = chunks.groupBy("article_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(nothing).alias("empty")
-    )
-    indexed = by_article.agg(
-        F.count(F.lit(1)).alias("indexed"), F.sum("n").alias("new_chunks"), F.sum("empty").alias("without_vector")
+    indexed = chunks.agg(  # every article that is indexed has a first chunk
+        F.count_if(F.col("chunk_index") == 0).alias("indexed"), F.count(F.lit(1)).alias("new_chunks")
     ).first()
-    return {
-        **answers.asDict(), **{k: v or 0 for k, v in indexed.asDict().items()},
-        "fetched": payloads.parse_payloads(landed).count(),
-        "new_inserted": tables.read_articles(spark, store.articles, write_id).count(),
-    }
+    inserted = tables.read_articles(spark, store.articles, write_id).count()
+    return {**answers.asDict(), **indexed.asDict(), "new_inserted": inserted}
 
 
 def ingest_counts(spark: SparkSession, store: Store, load_id: str) -> DataFrame:
@@ -82,8 +76,13 @@ def ingest_counts(spark: SparkSession, store: Store, load_id: str) -> DataFrame:
     Answers landed and rejected, articles fetched, inserted and indexed, chunks, and chunks whose
     vector is zero, as the model failed or found no word.
     """
+    ended = stores.commit_of(spark, store, load_id)
     counters = F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).alias("n")) for c in COUNTERS])
-    return stores.commit_of(spark, store, load_id).select(F.inline(counters))
+    writes = [r.write_id for r in ended.select("write_id").collect()]
+    chunks = tables.read_chunks(spark, store.chunks, loads=writes)
+    empty = F.count_if(F.forall("embedding", lambda x: x == 0))
+    without = chunks.agg(empty.alias("n")).select(F.lit("without_vector").alias("counter"), "n")
+    return ended.select(F.inline(counters)).unionByName(without)
 
 
 def ingest_stream(
