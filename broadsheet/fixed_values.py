@@ -57,6 +57,7 @@ CONTEXT_TOP_K = 5
 CITATION_CHARS = 200
 SEARCH_SNIPPET_CHARS = 300
 PREVIEW_CHARS = 300
+MISMATCH_SAMPLE = 10
 EMBEDDING_BATCH = 20
 FETCH_INTERVAL_MINUTES = 15
 

@@ -23,6 +23,7 @@ from broadsheet.functions import vectors
 # are k rows per query.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BROADCAST_ROWS = 16_384
+FIRST_ROWS = 2048  # queries that are collected before their size is known
 BLOCK_QUERIES = 256  # queries that are scored at once
 # Rows per block of queries and per part of the table, in the grid for larger batches.
 GRID_QUERIES = 2048
@@ -177,8 +178,16 @@ def scorer(k: int) -> Callable[[pa.Table, Iterator[pa.Table]], pa.Table]:
 
 
 def small_batch(queries: DataFrame) -> pa.Table | None:
-    """The queries, if they are few and small enough to be sent to every task."""
-    batch = queries.limit(BROADCAST_ROWS + 1).toArrow()
+    """The queries, if they are few and small enough to be sent to every task.
+
+    A first part of them tells how large a row is, and whether the rest may be collected at all.
+    """
+    batch = queries.limit(FIRST_ROWS + 1).toArrow()
+    if batch.num_rows > FIRST_ROWS:
+        fitting = min(BROADCAST_ROWS, BROADCAST_BYTES * batch.num_rows // max(1, batch.nbytes))
+        if fitting <= FIRST_ROWS:
+            return None
+        batch = queries.limit(fitting + 1).toArrow()
     fits = batch.num_rows <= BROADCAST_ROWS and batch.nbytes <= BROADCAST_BYTES
     return batch if fits else None
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet import fixed_values as fixed
 from broadsheet.functions import text
+from broadsheet.session import settle
 
 
 def _of_max(counts: DataFrame) -> Column:
@@ -16,12 +17,14 @@ def _of_max(counts: DataFrame) -> Column:
 
 
 def percent_of_max(counts: DataFrame) -> DataFrame:
-    """Counts with their percentage of the largest one."""
+    """Counts with their percentage of the largest one; they are computed once."""
+    counts = settle(counts)
     return counts.withColumn("pct", _of_max(counts))
 
 
 def trend_scale(daily: DataFrame) -> DataFrame:
-    """Daily counts in time order with bar height (at least 8) and label."""
+    """Daily counts in time order with bar height (at least 8) and label; they are computed once."""
+    daily = settle(daily)
     return (
         daily.withColumn("height_pct", F.greatest(_of_max(daily), F.lit(8).cast("long")))
         .withColumn("label", F.date_format("date", "MM/dd"))

@@ -40,7 +40,7 @@ def is_mismatch() -> Column:
     return text.nonempty(stored) & (stored != F.col("recalculated_sentiment"))
 
 
-def mismatch_sample(articles: DataFrame, n: int = 10) -> DataFrame:
+def mismatch_sample(articles: DataFrame, n: int = fixed.MISMATCH_SAMPLE) -> DataFrame:
     """The first `n` disagreeing articles by id."""
     return (
         mismatches(articles)

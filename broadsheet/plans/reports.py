@@ -15,7 +15,8 @@ from broadsheet import fixed_values as fixed
 from broadsheet.functions import text
 from broadsheet.operators.filters import preview
 from broadsheet.operators.normalised import with_normalised
-from broadsheet.operators.sentiment import is_mismatch, mismatch_sample, with_sentiment
+from broadsheet.operators.sentiment import is_mismatch, with_sentiment
+from broadsheet.session import settle
 
 
 def _entry(section: str, key: Column, value: Column, when: Column | None = None) -> Column:
@@ -125,16 +126,22 @@ def overview_report(articles: DataFrame) -> DataFrame:
 
 
 def sentiment_report(articles: DataFrame) -> DataFrame:
-    """Recalculated labels overall and per category, and where the stored ones disagree."""
+    """Recalculated labels overall and per category, and where the stored ones disagree.
+
+    The articles are read and labelled once; what both parts of the report need of them, labels and
+    the names of those that disagree, is written in between.
+    """
     label = "recalculated_sentiment"
+    named = F.when(is_mismatch(), F.struct("article_id", "title", "sentiment"))
+    scored = settle(with_sentiment(articles).select("category", label, named.alias("mismatch")))
     groups = (
-        with_sentiment(articles)
+        scored
         .groupingSets([[], [label], ["category", label]], "category", label)
         .agg(
             (F.grouping(label) == 0).alias("by_label"),
             (F.grouping("category") == 0).alias("by_category"),
             F.count(F.lit(1)).alias("n"),
-            F.count_if(is_mismatch()).alias("wrong"),
+            F.count("mismatch").alias("wrong"),
         )
     )
     whole = ~F.col("by_label")
@@ -156,7 +163,8 @@ def sentiment_report(articles: DataFrame) -> DataFrame:
     zeros = _zeros(
         articles, *[(s, "") for s in ("total_processed", "mismatch_count", "mismatch_rate_pct")]
     )
-    sample = mismatch_sample(articles).select(
+    wrong = scored.filter(F.col("mismatch").isNotNull()).select("mismatch.*", label)
+    sample = wrong.orderBy("article_id", "title", "sentiment").limit(fixed.MISMATCH_SAMPLE).select(
         F.lit("mismatch_sample").alias("section"),
         F.col("article_id").alias("key"),
         F.lit(None).cast("double").alias("value"),
