@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,21 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column, "").cast(pa.binary()).to_pylist()
 
 
+_held: dict = {}
+
+
+def of_worker(name: str, key, make: Callable):
+    """What a worker process keeps from one task to the next: one thing, made when it is needed.
+
+    Another operator's tasks in the same process let go of it, so that caches do not add up.
+    """
+    if _held.get("of") != (name, key):
+        _held.clear()
+        _held["value"] = make()
+        _held["of"] = name, key
+    return _held["value"]
+
+
 class Remembered(dict):
     """A dict of about `most` entries: when it is full, only those used since the last time stay.
 

@@ -9,9 +9,10 @@ then fewer, down to single ones, and scored by these.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,25 +20,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import documents, slices
+from broadsheet.llm.common import documents, free_names, if_few, of_worker, quoted, slices, stored
 
 LONGEST = 5
-SAMPLE = 40_000  # labelled documents that a model is fitted on, about; more are thinned by hash
-WORDS = 150_000  # most frequent (language, word) pairs kept
-GRAMS = 150_000  # most frequent (language, n-gram) pairs kept
+SAMPLE = 5_000  # labelled documents per language that a model is fitted on, about, thinned by hash
+SEEN = 2  # times that a word or an n-gram has to be seen in some language to be known
 KNOWN_WORDS = 300_000  # tokens whose scores a task remembers from one slice of texts to the next
 UNDETERMINED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass(frozen=True)
+class Table:
+    """Words or n-grams and, as rows of a matrix, their log frequency per language."""
+
+    names: pa.Array
+    scores: np.ndarray
+
+    @staticmethod
+    def of(scores: dict[str, tuple[float, ...]], languages: int) -> Table:
+        rows = np.array(list(scores.values()), np.float32).reshape(-1, languages)
+        return Table(pa.array(list(scores), pa.string()), rows)
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+
 @dataclass(frozen=True)
 class Model:
-    """Languages in order, and rows of their log frequencies per word and per n-gram."""
+    """Languages in order, and what is known of words and of n-grams in them."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: Table
+    grams: Table
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def held_out():
@@ -54,6 +71,7 @@ def _counted(rows: DataFrame) -> DataFrame:
     """(lang, word, n) of the texts, summed per batch before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_worker("counts", None, dict)  # lets go of what other operators' tasks have kept
         for batch in slices(batches):
             tokens: dict[str, Counter] = {}
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
@@ -106,41 +124,41 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame, languages: list[str], most: int) -> dict[str, tuple[float, ...]]:
-    """Log frequencies, add-half smoothed, of the `most` most frequent pairs."""
+def _table(counts: DataFrame, languages: list[str], seen: int) -> Table:
+    """Log frequencies, add-half smoothed, of what occurs `seen` times in some language."""
+    place = F.transform(F.array(*map(F.lit, languages)), lambda lang: F.coalesce(F.col("held")[lang], F.lit(0)))
+    by_name = counts.groupBy("word").agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("held"), F.max("n").alias("most")
+    )
+    found = by_name.filter(F.col("most") >= seen).select("word", place.alias("n")).toArrow()
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    kept = counts.orderBy(F.desc("n"), "lang", "word").limit(most).toPandas()
-    place = {lang: i for i, lang in enumerate(languages)}
-    by_word: dict[str, np.ndarray] = {}
-    for lang, word, n in kept.itertuples(index=False):
-        by_word.setdefault(word, np.zeros(len(languages)))[place[lang]] = n
-    total = np.array([totals.get(lang, 0) for lang in languages]) + 0.5 * len(by_word) + 0.5
-    return {w: tuple(np.log((n + 0.5) / total).tolist()) for w, n in by_word.items()}
+    total = np.array([totals.get(lang, 0) for lang in languages]) + 0.5 * len(found) + 0.5
+    n = np.asarray(found["n"].combine_chunks().flatten(), float).reshape(-1, len(languages))
+    names = found["word"].combine_chunks() if len(found) else pa.array([], pa.string())
+    return Table(names, np.log((n + 0.5) / total).astype(np.float32))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, sample: int = SAMPLE, seen: int = SEEN) -> Model:
     """A model of the labelled documents that are not held out; lang is read here only.
 
-    Of more than `sample` documents about so many are taken, by a hash of their ids; their texts
-    count whole. What is collected are at most WORDS + GRAMS counts.
+    Of a language with more than `sample` documents about so many are taken, by a hash of their
+    ids; their texts count whole. What is collected are languages, and words and n-grams of the
+    sample, as arrays.
     """
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")
     ).filter(F.col("lang").isNotNull() & ~held_out())
-    share = min(1.0, sample / max(1, rows.count()))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))
-    sampled = rows.filter(part & F.col("text").isNotNull())
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+    sizes = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")), "languages")
+    languages = sorted(r[0] for r in sizes.select("lang").collect())
     if not languages:
-        return Model([], {}, {})
-    words = _counted(sampled).persist()
-    try:
-        return Model(
-            languages, _table(words, languages, WORDS),
-            _table(_gram_counts(words.select("lang", "word", "n")), languages, GRAMS),
-        )
-    finally:
-        words.unpersist()
+        return Model([], Table.of({}, 1), Table.of({}, 1))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20) < F.lit(sample) / F.col("docs")
+    sampled = rows.filter(F.col("text").isNotNull()).join(if_few(sizes), "lang").filter(part)
+    words = stored(_counted(sampled.select("lang", "text")), "words")
+    return Model(
+        languages, _table(words, languages, seen),
+        _table(stored(_gram_counts(words.select("lang", "word", "n")), "grams"), languages, seen),
+    )
 
 
 class Scores(dict):
@@ -153,11 +171,10 @@ class Scores(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.languages = max(1, len(model.languages))
-        self.rows = np.array(
-            [*model.words.values(), *model.grams.values(), (0.0,) * self.languages]
-        ).reshape(-1, self.languages)
-        self.words = {w: i for i, w in enumerate(model.words)}
-        self.grams = {g: i for i, g in enumerate(model.grams, len(model.words))}
+        nothing = np.zeros((1, self.languages), np.float32)
+        self.rows = np.concatenate([model.words.scores, model.grams.scores, nothing])
+        self.words = {w: i for i, w in enumerate(model.words.names.to_pylist())}
+        self.grams = {g: i for i, g in enumerate(model.grams.names.to_pylist(), len(model.words))}
         self.matrix = np.zeros((0, self.languages + 2))
         self.new: list[str] = []
 
@@ -204,7 +221,7 @@ class Scores(dict):
         learnt = np.empty((len(ends), self.languages + 2))
         parts = np.array(parts)
         for column in range(self.languages):
-            learnt[:, column] = np.add.reduceat(self.rows[:, column][parts], starts)
+            learnt[:, column] = np.add.reduceat(self.rows[parts, column].astype(float), starts)
         learnt[:, -2], learnt[:, -1] = words, letters
         self.matrix = np.concatenate([self.matrix, learnt])
         self.new = []
@@ -214,7 +231,7 @@ class Scores(dict):
         parts: list[int] = []
         for word in words:
             self._parts(word, parts)
-        return self.rows[parts].sum(axis=0)
+        return self.rows[parts].astype(float).sum(axis=0)
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
         """Per text the sums of its tokens' rows."""
@@ -236,22 +253,30 @@ class Scores(dict):
         return out
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns with _lang_pred and _score, the share of the likeliest language.
+def _scores_of(model: Model) -> Scores:
+    """One per worker process, for all of its tasks with this model."""
+    return of_worker("language", model.key, lambda: Scores(model))
+
+
+def identify(
+    docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",),
+    into: Sequence[str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """The `keep` columns and two more: the likeliest language and its share.
 
     `und` with score 0 where text is missing or has no letter, or where nothing was learnt. Ties
     go to the first language in order. Repeated rows are rows like others.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by WORDS and GRAMS
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keep)).schema)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what the sample holds, as arrays
+    (given,) = free_names(docs, "text")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        scores = Scores(model)
-        for batch in slices(batches, "_text", 4 << 20):
+        scores = _scores_of(model)
+        for batch in slices(batches, given, 4 << 20):
             found, sure = [], []
-            for sums in scores.of_texts(pc.fill_null(batch.column("_text"), "").to_pylist()):
+            for sums in scores.of_texts(pc.fill_null(batch.column(given), "").to_pylist()):
                 if not model.languages or not sums[-1]:
                     found.append(UNDETERMINED)
                     sure.append(0.0)
@@ -263,20 +288,22 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 sure.append(float(share[best] / share.sum()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[1:], pa.array(found, pa.string()), pa.array(sure, pa.float64())],
-                names=[*keep, "_lang_pred", "_score"],
+                names=[*keep, *into],
             )
 
-    rows = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    return rows.mapInArrow(predict, f"{schema}, _lang_pred string, _score double")
+    rows = docs.select(F.col("text").cast("string").alias(given), *map(quoted, keep))
+    return rows.mapInArrow(predict, f"{schema}, {into[0]} string, {into[1]} double")
 
 
 def predict_all(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document, by a model of the others."""
+    """doc_id, held_out, lang_pred and score of every document, by a model of the others.
+
+    A text that is missing or has no letter is `und` with score 0. A document without an id is held
+    out. Repeated rows are rows like others, an empty table gives none; ties go to the first
+    language in order. Other columns do not matter.
+    """
     found = identify(documents(docs), fit(docs))
-    return found.select(
-        "doc_id", held_out().alias("held_out"),
-        F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"),
-    )
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def reject(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
@@ -284,8 +311,9 @@ def reject(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
 
     Where the model has learnt nothing no language can be told, and the rows with a letter stay.
     """
-    if not model.words:
+    if not len(model.words) and not len(model.grams):
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
-    found = identify(docs, model, tuple(docs.columns))
-    sure = (F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least)
-    return found.filter(sure).select(*docs.columns)
+    into = free_names(docs, "lang_pred", "score")
+    found = identify(docs, model, docs.columns, into)
+    sure = (F.col(into[0]) != UNDETERMINED) & (F.col(into[1]) >= least)
+    return found.filter(sure).select(*map(quoted, docs.columns))

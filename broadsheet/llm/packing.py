@@ -22,7 +22,6 @@ import itertools
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import Remembered, documents, slices, stored
+from broadsheet.llm.common import Remembered, documents, of_worker, slices, stored
 
 CAPACITY = 4096
 # (groups, share of the capacity up to which a length is small); in the last, all are.
@@ -100,10 +99,9 @@ class WordIds:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-@lru_cache(1)
 def _word_ids(path: str) -> WordIds:
     """One per worker process, so that its tasks load the vocabulary and learn a word once."""
-    return WordIds(path)
+    return of_worker("word-ids", path, lambda: WordIds(path))
 
 
 def _parts(word: str) -> tuple[str, str] | None:

@@ -20,14 +20,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import Remembered, documents, slices, text_bytes
+from broadsheet.llm.common import Remembered, documents, of_worker, slices, text_bytes
 
 MARK = "▁"
 LETTER = re.compile(r"[^\W\d_]")
@@ -177,10 +176,9 @@ class Transducer:
         return text.decode("utf-8", "replace").removeprefix(MARK).replace(MARK, " ")
 
 
-@lru_cache(1)
 def _machine(path: str) -> Transducer:
     """One per worker process, so that its tasks compile it and learn a stretch once."""
-    return Transducer(path)
+    return of_worker("transducer", path, lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, model: str, column: str = "ids") -> DataFrame:
