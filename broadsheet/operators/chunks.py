@@ -79,6 +79,9 @@ def hashed_vectors(chunks: DataFrame, dim: int = 256) -> DataFrame:
     return text_model.as_arrays(unit, chunks.columns)
 
 
+hashed_vectors.by_row = True  # see `tables.append_chunks`
+
+
 def model_vectors(
     embed: Callable[[list[str]], list[list[float]]], dim: int, batch: int = fixed.EMBEDDING_BATCH
 ) -> Callable[[DataFrame], DataFrame]:

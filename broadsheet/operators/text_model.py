@@ -39,6 +39,7 @@ class TextModel:
 
     fitted: PipelineModel
     model_id: str
+    by_row = True  # see `tables.append_chunks`
 
     @staticmethod
     def of(fitted: PipelineModel) -> TextModel:

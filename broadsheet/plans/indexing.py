@@ -32,8 +32,9 @@ def index_articles(
     loads can be compared with either.
     """
     load_id = load_id or uuid.uuid4().hex
-    new = tables.new_chunks(chunk_metadata(chunk_articles(articles)), chunk_table, articles)
-    tables.append_chunks(vectoriser(new), chunk_table, load_id)
+    chunks = chunk_metadata(chunk_articles(articles))
+    new = tables.new_chunks(chunks, chunk_table, articles, cut_once=True)
+    tables.append_chunks(new, chunk_table, load_id, vectoriser)
     return tables.read_chunks(articles.sparkSession, chunk_table, load_id)
 
 

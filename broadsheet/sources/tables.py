@@ -9,7 +9,7 @@ and in them only the parts of files that can hold its ids. One writer per table
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ from broadsheet.session import broadcast_if_few, settle
 
 ARTICLE_PARTITIONS = ("bucket", "load_id")
 CHUNK_PARTITIONS = ("category", "bucket", "load_id")
-BLOOM = {"parquet.bloom.filter.enabled#article_id": "true"}
+WRITING = {"parquet.bloom.filter.enabled#article_id": "true", "compression": "zstd"}
 
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> None:
@@ -77,16 +77,24 @@ def find_articles(
     return rows.drop("bucket", "load_id")
 
 
-def append(rows: DataFrame, path: str, schema: T.StructType, partitions: Sequence[str], load_id: str) -> None:
+def append(
+    rows: DataFrame, path: str, schema: T.StructType, partitions: Sequence[str], load_id: str,
+    completed: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Write rows as those of a load, spread evenly over the files of each folder: one that holds
-    most of them is written by several tasks."""
+    most of them is written by several tasks.
+
+    `completed` adds columns row by row once the rows are in place, so that they are not shuffled.
+    """
     folders = [p for p in partitions if p != "load_id"]
     stamped = rows.withColumn("bucket", bucket_of("article_id")).withColumn("load_id", F.lit(load_id))
-    (
-        stamped.select(*schema.fieldNames()).hint("rebalance", *folders)
+    given = [c for c in schema.fieldNames() if c in stamped.columns]
+    placed = (
+        stamped.select(*given).hint("rebalance", *folders)
         .sortWithinPartitions(*partitions, "article_id")  # lookups by id skip row groups
-        .write.mode("append").options(**BLOOM).partitionBy(*partitions).parquet(path)
     )
+    whole = placed if completed is None else completed(placed)
+    whole.select(*schema.fieldNames()).write.mode("append").options(**WRITING).partitionBy(*partitions).parquet(path)
 
 
 def insert_new(
@@ -111,22 +119,47 @@ def insert_new(
 
 
 def new_chunks(
-    chunks: DataFrame, path: str, articles: DataFrame, loads: Sequence[str] | None = None
+    chunks: DataFrame, path: str, articles: DataFrame, loads: Sequence[str] | None = None,
+    cut_once: bool = False,
 ) -> DataFrame:
     """The chunks of `articles` whose id is not stored, each once.
 
-    Few chunks of a load are stored already as a rule; their ids are broadcast.
+    Few chunks of a load are stored already as a rule; their ids are broadcast. `cut_once` says
+    that every row of `articles` was cut into chunks once, and that there are no other chunks. Only
+    articles that come in several rows can then have a chunk twice, and only theirs are shuffled.
     """
     table = stored(chunks.sparkSession, path, schemas.STORED_CHUNK, loads)
-    known = broadcast_if_few(settle(of_articles(table, articles).select("chunk_id")))
-    return chunks.join(known, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
-
-
-def append_chunks(chunks: DataFrame, path: str, load_id: str) -> None:
-    """Write chunks with vectors as those of a load."""
-    if "model_id" not in chunks.columns:
-        chunks = chunks.withColumn("model_id", F.lit(None).cast("string"))
-    append(chunks, path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id)
+    ids = settle(articles.groupBy("article_id").agg(F.count(F.lit(1)).alias("_n")))
+    known = broadcast_if_few(settle(of_articles(table, ids, settled=True).select("chunk_id")))
+    new = chunks.join(known, "chunk_id", "left_anti")
+    if not cut_once:
+        return new.dropDuplicates(["chunk_id"])
+    several = ids.filter("_n > 1").select(F.col("article_id").alias("_several"))
+    if several.isEmpty():
+        return new
+    several = broadcast_if_few(several)
+    same = F.col("article_id").eqNullSafe(F.col("_several"))
+    repeated = new.join(several, same, "left_semi").dropDuplicates(["chunk_id"])
+    return new.join(several, same, "left_anti").unionByName(repeated)
+
+
+def append_chunks(
+    chunks: DataFrame, path: str, load_id: str,
+    vectoriser: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Write chunks as those of a load; without a vectoriser they have their vectors.
+
+    A vectoriser that goes row by row and says so (`by_row`) is called on the chunks in the order
+    in which they are written: they are shuffled as texts, without the vectors.
+    """
+    def with_model(rows: DataFrame) -> DataFrame:
+        rows = vectoriser(rows) if vectoriser is not None else rows
+        return rows if "model_id" in rows.columns else rows.withColumn("model_id", F.lit(None).cast("string"))
+
+    if getattr(vectoriser, "by_row", False):
+        append(chunks, path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id, with_model)
+    else:
+        append(with_model(chunks), path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id)
 
 
 def insert_new_chunks(

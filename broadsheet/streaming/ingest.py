@@ -46,7 +46,7 @@ def load_batch(
         added = tables.read_articles(spark, store.articles, write_id)
         if vectoriser is not None:
             chunks = chunk_metadata(chunk_articles(added))
-            tables.append_chunks(vectoriser(chunks), store.chunks, write_id)
+            tables.append_chunks(chunks, store.chunks, write_id, vectoriser)
         rejected = payloads.rejected_answers(landed).withColumn("load_id", F.lit(write_id))
         rejected.select(*schemas.REJECT.fieldNames()).write.mode("append").partitionBy("load_id").parquet(store.rejects)
         counters = _counters(spark, store, landed, write_id)
