@@ -46,9 +46,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_few(df: DataFrame, most: int = 500_000) -> DataFrame:
+FEW_ROWS = 500_000  # narrow rows, such as ids, that are broadcast: some tens of MB
+
+
+def broadcast_if_few(df: DataFrame, most: int | None = None) -> DataFrame:
     """`df` marked for broadcast if it has at most `most` rows, else as it is, for a shuffle join.
 
-    For narrow rows, such as ids: at the default they are some tens of MB.
+    For narrow rows, such as ids; the default is FEW_ROWS.
     """
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= (FEW_ROWS if most is None else most) else df

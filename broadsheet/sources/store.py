@@ -134,7 +134,7 @@ def compact(spark: SparkSession, store: Store) -> str:
     write_id, loads = f"compact-{uuid.uuid4().hex}", visible(spark, store)
     articles = tables.read_articles(spark, store.articles, loads=loads)
     chunks = tables.read_chunks(spark, store.chunks, loads=loads)
-    tables.append(articles, store.articles, schemas.STORED_ARTICLE, tables.ARTICLE_PARTITIONS, write_id)
-    tables.append(chunks, store.chunks, schemas.STORED_CHUNK, tables.CHUNK_PARTITIONS, write_id)
+    tables.append(articles, store.articles, schemas.STORED_ARTICLE, tables.ARTICLE_PARTITIONS, write_id, gathered=True)
+    tables.append(chunks, store.chunks, schemas.STORED_CHUNK, tables.CHUNK_PARTITIONS, write_id, gathered=True)
     commit(spark, store, write_id, write_id, replaced=loads)
     return write_id

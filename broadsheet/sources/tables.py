@@ -22,7 +22,10 @@ from broadsheet.session import broadcast_if_few, settle
 
 ARTICLE_PARTITIONS = ("bucket", "load_id")
 CHUNK_PARTITIONS = ("category", "bucket", "load_id")
-WRITING = {"parquet.bloom.filter.enabled#article_id": "true", "compression": "zstd"}
+WRITING = {  # a filter has 10 bits for each of about 50,000 ids, as a row group of texts holds
+    "parquet.bloom.filter.enabled#article_id": "true", "parquet.bloom.filter.max.bytes": "65536",
+    "compression": "zstd",
+}
 
 
 def create_table(spark: SparkSession, path: str, schema: T.StructType, *partitions: str) -> None:
@@ -79,18 +82,20 @@ def find_articles(
 
 def append(
     rows: DataFrame, path: str, schema: T.StructType, partitions: Sequence[str], load_id: str,
-    completed: Callable[[DataFrame], DataFrame] | None = None,
+    completed: Callable[[DataFrame], DataFrame] | None = None, gathered: bool = False,
 ) -> None:
-    """Write rows as those of a load, spread evenly over the files of each folder: one that holds
-    most of them is written by several tasks.
+    """Write rows as those of a load: every task writes its own into the folders they belong to,
+    so whole rows are not shuffled once more, and a folder that holds most is written by many.
 
-    `completed` adds columns row by row once the rows are in place, so that they are not shuffled.
+    `gathered` brings the rows of a folder together first, for fewer files; a large folder still
+    gets several. `completed` adds columns row by row after that, so that they are not shuffled.
     """
     folders = [p for p in partitions if p != "load_id"]
     stamped = rows.withColumn("bucket", bucket_of("article_id")).withColumn("load_id", F.lit(load_id))
     given = [c for c in schema.fieldNames() if c in stamped.columns]
+    own = stamped.select(*given)
     placed = (
-        stamped.select(*given).hint("rebalance", *folders)
+        (own.hint("rebalance", *folders) if gathered else own)
         .sortWithinPartitions(*partitions, "article_id")  # lookups by id skip row groups
     )
     whole = placed if completed is None else completed(placed)
@@ -150,14 +155,15 @@ def append_chunks(
     """Write chunks as those of a load; without a vectoriser they have their vectors.
 
     A vectoriser that goes row by row and says so (`by_row`) is called on the chunks in the order
-    in which they are written: they are shuffled as texts, without the vectors.
+    in which they are written: they are gathered as texts, without the vectors. Chunks with
+    vectors are written where they are; `store.compact` gathers them.
     """
     def with_model(rows: DataFrame) -> DataFrame:
         rows = vectoriser(rows) if vectoriser is not None else rows
         return rows if "model_id" in rows.columns else rows.withColumn("model_id", F.lit(None).cast("string"))
 
     if getattr(vectoriser, "by_row", False):
-        append(chunks, path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id, with_model)
+        append(chunks, path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id, with_model, gathered=True)
     else:
         append(with_model(chunks), path, schemas.STORED_CHUNK, CHUNK_PARTITIONS, load_id)
 
