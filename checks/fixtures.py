@@ -117,6 +117,13 @@ def first_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_first(full_articles(spark, sf_dir), "article_id", "doc_id")
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows as a packed file that several steps read, so that their texts are joined once."""
+    path = fresh_path(rows.sparkSession, name)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def by_document(rows: DataFrame) -> DataFrame:
     """Articles keyed by document, for the chunk store, where every vector has a document."""
     return rows.withColumn("article_id", F.col("doc_id").cast("string"))

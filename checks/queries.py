@@ -24,7 +24,7 @@ from broadsheet.operators import (
 )
 from broadsheet.operators.normalised import with_normalised
 from broadsheet.plans import indexing, reports, search
-from broadsheet.session import fresh_path, settle
+from broadsheet.session import broadcast_if_few, fresh_path, settle
 from broadsheet.sources import articles as article_files
 from broadsheet.sources import payloads as landed
 from broadsheet.sources import reports as report_files
@@ -609,8 +609,8 @@ def search_text(spark, sf):
     longer chunk, which has to find itself, or its like, first."""
     path = fresh_path(spark, "chunks")
     tables.create_chunks(spark, path)
-    rows = fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True))
-    fitted = text_model.fit(settle(chunks.chunk_articles(rows).select("document")))
+    rows = fx.kept(fx.by_document(fx.articles(spark, sf, times=True, urls=True, heavy=True)), "articles")
+    fitted = text_model.fit(chunks.chunk_articles(rows).select("document"))
     kept = fresh_path(spark, "model")
     text_model.save(fitted, kept)
     model = text_model.load(kept)
@@ -622,7 +622,7 @@ def search_text(spark, sf):
     )
     found = search.search_text(settle(queries), model, store, rows).filter("rank = 1")
     texts = store.select("chunk_id", "document")
-    return found.join(texts, "chunk_id").select(
+    return broadcast_if_few(settle(found)).join(texts, "chunk_id").select(
         "query_id", "relevance_score", _bag("document").alias("words")
     )
 
