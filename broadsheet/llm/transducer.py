@@ -9,7 +9,8 @@ the tropical semiring (smallest sum of weights) is the encoding.
 For a unigram vocabulary weights are negated scores. For BPE they alone would give other results
 than its merges do. Merges are local, though: a sequence of pieces is the one they produce if and
 only if every two neighbours are what they produce of these two alone. As an automaton over the
-last piece this leaves one path to each place, which the shortest path then finds.
+last piece this leaves one path to each place, which is then the shortest: it is followed from the
+start, arc by arc. Only where a character has no piece are weights compared.
 
 Texts are cut where no piece can reach across: before marks, around line ends, and between letters
 and others if the vocabulary has no piece of both. The ids of a stretch are remembered.
@@ -18,6 +19,7 @@ and others if the vocabulary has no piece of both. The ids of a stretch are reme
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -69,6 +71,13 @@ class Transducer:
             for c in reversed(piece):
                 node = node.setdefault(c, {})
             node[""] = i
+        # The same from the start of a piece, for arcs looked up by where they begin.
+        self.starts: dict = {}
+        for piece, i in self.ids.items():
+            node = self.starts
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.raw = [
             b"" if special[i] else bytes([int(p[3:5], 16)]) if byte[i] else p.encode()
             for i, p in enumerate(self.pieces)
@@ -105,6 +114,43 @@ class Transducer:
             found = self.follows[pair] = self._merged("".join(parts)) == parts
         return found
 
+    def _only_path(self, text: str) -> list[int] | None:
+        """The path of pieces where they have to be able to follow each other, if there is one.
+
+        One path at most leads to a place, so the arcs are tried from the start on, the longest
+        first, and a place from which there is no way on is not entered again.
+        """
+        n, known, starts = len(text), self.follows, self.starts
+        path: list[tuple] = []  # (piece, the other arcs beside it, where it begins)
+        dead: set[int] = set()
+        at, before, arcs = 0, 0, None
+        while at < n:
+            if arcs is None:
+                arcs, node, end = [], starts, at
+                while end < n:
+                    node = node.get(text[end])
+                    if node is None:
+                        break
+                    end += 1
+                    if "" in node:
+                        arcs.append((end, node[""]))
+            while arcs:
+                end, piece = arcs.pop()
+                if end in dead:
+                    continue
+                follows = known.get((before << 32) + piece)
+                if self.may_follow(before - 1, piece) if follows is None else follows:
+                    path.append((piece, arcs, at))
+                    at, before, arcs = end, piece + 1, None
+                    break
+            else:
+                if not path:
+                    return None
+                dead.add(at)
+                _, arcs, at = path.pop()
+                before = path[-1][0] + 1 if path else 0
+        return [p[0] for p in path]
+
     def _path(self, text: str) -> list[int]:
         """The shortest path through a stretch; -1 stands for a character without a piece."""
         n, known = len(text), self.follows if self.merges else {}
@@ -147,14 +193,15 @@ class Transducer:
         found = self.known.get_kept(stretch)
         if found is None:
             out = []
-            for piece in self._path(stretch):
+            only = self._only_path(stretch) if self.merges else None
+            for piece in self._path(stretch) if only is None else only:
                 if piece >= 0:
                     out.append(piece)
                 elif self.byte_ids:
                     out.extend(self.byte_ids[b] for b in chr(-1 - piece).encode())
                 else:
                     out.append(self.unknown)
-            found = np.array(out, "<u4").tobytes()
+            found = struct.pack(f"<{len(out)}I", *out)
             if len(stretch) <= REMEMBERED:
                 self.known.make_room()
                 self.known[stretch] = found

@@ -75,3 +75,14 @@ def test_shortest_path_of_a_unigram_vocabulary():
         node[""] = i
     assert machine._path("abb") == [3, 2]  # 3.2, against 3.6 and 3.9
     assert machine._path("azb") == [1, -1 - ord("z"), 2]
+
+
+def test_words_are_followed_without_weights(ours, monkeypatch):
+    """Pieces that follow each other are found arc by arc; other characters go by weights."""
+    words = ["▁the", "▁information", "▁eaenat", "▁thheingble", "▁èieuxvi", "éouelleè", "Thwhtionhe", "▁", "0"]
+    expected = [ours._path(w) for w in words]
+    assert [ours._only_path(w) for w in words] == expected
+    assert ours._only_path("a\U0001f9ff") is None
+    fresh = tr.Transducer(PIECE_BPE)
+    monkeypatch.setattr(fresh, "_path", None)
+    assert [np.frombuffer(fresh._ids(w), "<u4").tolist() for w in words] == expected
