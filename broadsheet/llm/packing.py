@@ -19,6 +19,7 @@ among the pieces of its length, counted in salted parts so that one frequent len
 from __future__ import annotations
 
 import itertools
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Sequence
@@ -37,10 +38,12 @@ SCHEMES = ((8, 0.2), (16, 0.2), (32, 0.2), (32, 0.3), (0, 1.0))
 END_ID = 1
 SALT_ROWS = 50_000  # pieces in a part in which those of one length are ranked, about
 KNOWN_WORDS = 1_000_000  # words whose ids a worker process remembers, about, at most
-TOGETHER = 1000  # words of letters that are encoded in one text
+TOGETHER = 100  # words of letters that are encoded in one text
 WORD_END = "</w>"  # ends the last piece of each word of the vocabulary
 MARKS = "!#$%&()*+,-./:;=?@[]^{|}~"  # neither white space nor letters, nor part of a contraction
 
+OTHER_STOP = re.compile(r"[,.](?<![A-Za-z0-9À-ÖØ-öø-ÿ][,.])(?: |$)")  # behind no plain letter or digit
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -48,8 +51,8 @@ PLACED = PIECES + ", sequence_id long, offset long"
 class WordIds:
     """Little-endian ids of words, remembered.
 
-    The tokenizer never joins across white space, nor letters with marks behind them. Words of
-    letters are encoded many in one text, as each of them ends with a piece that is an end.
+    The tokenizer never joins across white space, nor letters with marks behind them, so a comma or
+    full stop that ends a word is a word of its own. Words of letters are encoded many in one text, as each of them ends with a piece that is an end.
     """
 
     def __init__(self, path: str):
@@ -80,16 +83,23 @@ class WordIds:
                 for word, own in zip(group, self._encoded(group), strict=True):
                     self.known[word] = own.tobytes()
 
+    def _unknown(self, words: set[str]) -> list[str]:
+        """Those of the words that are not remembered; the others stay remembered."""
+        known, old = self.known, self.known.old
+        absent = [w for w in words if w not in known]
+        known.update([(w, old[w]) for w in absent if w in old])
+        return [w for w in absent if w not in old]
+
     def of_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text; words new to all of them are encoded together."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [_cut(t) for t in texts]
         words = set().union(*split)
         known = self.known
         known.make_room(len(words))
-        new = [w for w in words if known.get_kept(w) is None]
+        new = self._unknown(words)
         parts = {w: cut for w in new if (cut := _parts(w)) is not None}
         wanted = {p for cut in parts.values() for p in cut} | {w for w in new if w not in parts}
-        unknown = [w for w in wanted if known.get_kept(w) is None]
+        unknown = self._unknown(wanted)
         self._learn_letters([w for w in unknown if w.isalpha()])
         others = [w for w in unknown if not w.isalpha()]
         for word, ids in zip(others, self._encoded(others), strict=True):
@@ -104,6 +114,15 @@ def _word_ids(path: str) -> WordIds:
     return of_worker("word-ids", path, lambda: WordIds(path))
 
 
+def _cut(text: str) -> list[str]:
+    """The words of a text; where all commas and full stops that end one are behind a plain letter
+    or digit, these are words of their own."""
+    text = text.replace("\n", " ")
+    if not OTHER_STOP.search(text):
+        text = text.replace(", ", " , ").replace(". ", " . ")
+    return text.split(" ")
+
+
 def _parts(word: str) -> tuple[str, str] | None:
     """A word of letters and the marks behind it, which are tokens of their own; or None."""
     stem = word.rstrip(MARKS)

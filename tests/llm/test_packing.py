@@ -71,3 +71,13 @@ def test_plans_hold_all_pieces(seed):
         else:
             room[at] -= length
     assert bins <= 1.06 * len(room) + 16
+
+
+def test_marks_that_end_words_are_not_learnt_with_them():
+    """Ids are the tokenizer's, and a word followed by a mark takes no place of its own."""
+    words, tokenizer = packing.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    texts = ["one, two. three, one. two\nthree.", "a.. b, c", ", a. ", "_, a, b", "1, 2. 3", "é, ß. ſ. ", ""]
+    for text in texts:
+        (ids,) = words.of_texts([text])
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not {"one,", "two.", "three,", "one."} & set(words.known)
