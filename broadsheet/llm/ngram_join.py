@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ FREQUENT = 64  # a token in more prefixes than these finds no candidates
 VERIFY = 0.25  # cost of verifying a candidate per token of its set, in entries of token lists
 STEPS = (0, 1, 2, 3, 5, 8, 12, 18, 27, 40, 60, 90, 135, 200, 300)  # values of m that are tried
 DENSE = 99  # stands for the demand of a dense document; its partner's is smaller
-KNOWN_WORDS = 300_000
+SLICE = 2 << 20  # bytes of text whose words are in memory at a time, about
 SKETCH_BITS = 1024  # a power of two
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -48,31 +49,45 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 # --- sets of shingles -------------------------------------------------------------------------
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_sets(texts: list[bytes], words: int, known: WordHashes) -> Iterator[np.ndarray]:
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the hashes of all words; each different word is hashed once."""
+    lower = pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string()))
+    split = pc.ascii_split_whitespace(lower)  # white space at an end leaves an empty word
+    found, count = split.flatten(), split.value_lengths().to_numpy().astype(np.int64)
+    empty = pc.equal(pc.binary_length(found), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        of_text = np.repeat(np.arange(len(count)), count)
+        count = count - np.bincount(of_text[empty], minlength=len(count))
+        found = found.filter(pa.array(~empty))
+    found = found.dictionary_encode()
+    different = found.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, different), np.uint64, len(different))
+    return count, mix(hashes)[found.indices.to_numpy()]
+
+
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of the runs of `words` words of each text.
 
     Words are separated by ASCII white space, A to Z are lower-cased. A text with fewer words is
     one shingle; one without a word has none.
     """
-    split = [t.lower().split() for t in texts]
-    count = np.fromiter(map(len, split), np.int64, len(split))
-    flat = (w for ws in split for w in ws)
-    hashes = mix(np.fromiter(map(known.__getitem__, flat), np.uint64, int(count.sum())))
+    count, hashes = word_hashes(texts)
     runs = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
     for i in range(words):
         runs = runs * _FACTOR + hashes[i:i + len(runs)]
     runs = mix(runs)
-    for at, n in zip((np.cumsum(count) - count).tolist(), count.tolist(), strict=True):
+    ends = np.cumsum(count)
+    starts = ends - count
+    for at, end in zip(starts.tolist(), (ends - words + 1).tolist(), strict=True):
+        if end > at:
+            runs[at:end].sort()
+    new = np.ones(len(runs), bool)
+    new[1:] = runs[1:] != runs[:-1]
+    new[starts[count >= words]] = True
+    for at, n in zip(starts.tolist(), count.tolist(), strict=True):
         if n >= words:
-            yield np.unique(runs[at:at + n - words + 1])
+            end = at + n - words + 1
+            yield runs[at:end][new[at:end]]
         elif n:
             whole = np.array([n], np.uint64)
             for i in range(at, at + n):
@@ -106,10 +121,9 @@ def looked_at(n, threshold: int):
 def _sets(rows: DataFrame, words: int, threshold: int, tokens: str = "") -> DataFrame:
     """(doc_id, text_key, n, sid) of the sets, and tokens: `all`, or those `looked at`."""
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             sizes, names, kept = [], [], []
-            for found in shingle_sets(text_bytes(batch.column("text")), words, known):
+            for found in shingle_sets(text_bytes(batch.column("text")), words):
                 n = len(found)
                 sizes.append(n)
                 names.append(int.from_bytes(

@@ -1,7 +1,7 @@
 """Secret scans over a trigram inverted index.
 
 Each rule's regular expression is read into a Boolean query: alternatives, each a set of trigrams
-that any match must contain. Every task indexes its rows in segments of some MB (trigram -> rows
+that any match must contain. Every task indexes its rows in segments of a MB (trigram -> rows
 that hold it; only trigrams that occur in a query are indexed), intersects and unites the posting
 lists as the queries say, and runs a regular expression only over the rows that remain. A rule
 with an alternative that demands no trigram is run over all rows. Segments are as large as a slice
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm.common import documents, free_names, quoted, slices
 
 MOST_STATES = 64
+SEGMENT = 1 << 20  # bytes of text that are indexed at a time, about; it takes some 20 times as much
 MOST_LITERALS = 4  # characters of a class that are told apart
 
 
@@ -196,7 +197,7 @@ def find(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries = [trigram_query(r.pattern, r.flags) for r in rules]
         index, compiled = Index(queries), [_compiled(r) for r in rules]
-        for batch in slices(batches):
+        for batch in slices(batches, most=SEGMENT):
             texts = pc.fill_null(batch.column("text"), "").cast(pa.string())
             postings = index.postings(texts)
             spans: list[list] = [[] for _ in range(len(texts))]

@@ -151,3 +151,16 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 301)}, **{i: 1000 for i in (1000, 1001, 1002)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_each_different_word_is_hashed_once(monkeypatch):
+    """Over all texts of a slice; words are those of a plain split."""
+    hashed = []
+    digest = nj.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(nj.xxhash, "xxh3_64_intdigest", lambda w: hashed.append(w) or digest(w))
+    texts = [b" A b  a B a b\t", b"", b"\x0b\x0c\r\n", b"a b a b a b", "É é\u00a0x\u2003y a b c".encode()]
+    sets = [s.tolist() for s in nj.shingle_sets(texts, 5)]
+    plain = [w for t in texts for w in t.lower().split()]
+    assert sorted(hashed) == sorted(set(plain))
+    assert nj.word_hashes(texts)[0].tolist() == [len(t.split()) for t in texts]
+    assert sets[0] == sets[3] and len(sets[0]) == 2 and sets[1] == sets[2] == [] and len(sets[4]) == 1

@@ -75,3 +75,20 @@ def test_redaction(make):
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {
         1: "a <secret> b <secret> c", 2: None, 3: "clean", 4: "<secret>"}
+
+
+def test_segments_take_little_memory(make):
+    """A batch of some MB of text is not indexed at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from broadsheet.llm.common import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["token: abcdefgh12 " * 60] * 8000})
+    index = secrets.Index([secrets.trigram_query(r.pattern, r.flags) for r in secrets.RULES])
+    tracemalloc.start()
+    for part in slices([batch], most=secrets.SEGMENT):
+        assert index.postings(part.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
