@@ -1,11 +1,13 @@
 """The work of a search by cells: bounded per task, and only pairs that share a cell."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from broadsheet.operators import ivf, knn
-from broadsheet.session import fresh_path
+from broadsheet.session import fresh_path, settle, settle_packed, shared_dir
 
 
 def test_tasks_of_a_search_by_cells_are_bounded(spark, monkeypatch):
@@ -49,3 +51,83 @@ def test_chunks_meet_the_queries_of_their_cell_only():
     along = [i for i in first[0] if (8999 - int(i[1:])) % 2 == 0][:3]
     assert [r["chunk_id"] for r in found if r["query_id"] == 7] == along
     assert [r["chunk_id"] for r in found if r["query_id"] == 8] == first[1][:3]
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def _made(spark, n, parts=3):
+    """Chunks of random vectors in a few partitions, and as many queries that share ids, or have none."""
+    rng = np.random.default_rng(11)
+    made = [(f"c{i:04d}", [float(x) for x in rng.normal(size=8)]) for i in range(n)]
+    store = spark.createDataFrame(made, "chunk_id string, embedding array<float>").repartition(parts, "chunk_id")
+    number = F.substring("chunk_id", 2, 4).cast("long")
+    queries = store.select(F.when(number % 9 != 0, F.least(number, F.lit(150))).alias("query_id"), "embedding")
+    return settle(store), settle(queries)
+
+
+def test_large_batches_leave_the_table_where_it_is(spark, monkeypatch):
+    store, queries = _made(spark, 240)
+    cells, path = ivf.fit(store, 4), fresh_path(spark, "cells")
+    ivf.write(store, cells, path)
+    table = ivf.read(spark, path)
+
+    def found():
+        rows = ivf.ivf_topk(queries, table, cells, 5, 2).collect()
+        return sorted((r.query_id or -1, r["rank"], r.chunk_id, round(r.cosine, 9)) for r in rows)
+
+    few, scans, scan = found(), [], knn.broadcast_topk
+
+    def watched(batch, own, k):
+        scans.append((batch.num_rows, _plan(own)))
+        return scan(batch, own, k)
+
+    monkeypatch.setattr(knn, "broadcast_topk", watched)
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 60)
+    assert found() == few
+    assert len(scans) == 4 and sum(n for n, _ in scans) == 240  # also of the ids that most share
+    assert max(n for n, _ in scans) < 90
+    scans.clear()
+    monkeypatch.setattr(knn, "BROADCAST_ROWS", 1000)
+    monkeypatch.setattr(ivf, "TASK_PAIRS", 1000)  # more than a task's share: groups of queries, not of chunks
+    monkeypatch.setattr(ivf, "SCAN_QUERIES", 1)
+    assert found() == few
+    assert len(scans) > 2 and sum(n for n, _ in scans) == 240
+    assert not any("Exchange" in plan for _, plan in scans)
+
+
+def test_cells_are_written_in_one_pass_without_a_shuffle(spark):
+    store, _ = _made(spark, 60)
+    odd = spark.createDataFrame(
+        [("zero", [0.0] * 8), ("none", None), ("short", [float("nan")])], "chunk_id string, embedding array<float>")
+    cells, path = ivf.fit(store, 4), fresh_path(spark, "cells")
+    placed = ivf.with_cell(store, cells)
+    assert _plan(placed).count("Scan") == 1
+    ivf.write(store.unionByName(odd), cells, path)
+    tasks = {f.rsplit("/part-", 1)[1][:5] for f in spark.read.parquet(path).inputFiles()}
+    assert len(tasks) > 2  # those that had the chunks
+    kept = ivf.read(spark, path).collect()
+    assert {r.chunk_id: r.cell for r in kept if r.cell == ivf.NO_CELL} == dict.fromkeys(("zero", "none", "short"), ivf.NO_CELL)
+    was = {r.chunk_id: r.embedding for r in store.collect()}
+    assert {r.chunk_id: r.embedding for r in kept if r.cell != ivf.NO_CELL} == was
+
+
+def test_packed_rows_keep_their_order_and_take_less_disk(spark):
+    word = "concat('word', pmod(xxhash64(id, x), 300))"
+    rows = spark.range(4000).repartition(5, "id").select(
+        "id", F.expr(f"if(id % 30 = 0, null, array_join(transform(sequence(1, 60), x -> {word}), ' '))").alias("document"),
+        F.array(F.col("id").cast("float"), F.lit(None).cast("float")).alias("embedding"))
+    packed = settle_packed(rows)
+    assert packed.schema.simpleString() == rows.schema.simpleString()
+    assert packed.rdd.glom().collect() == rows.rdd.glom().collect()
+    assert settle_packed(rows.filter("id < 0")).count() == 0
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+
+    def written(settled):
+        size = lambda: sum(f.stat().st_size for f in folder.rglob("part-*"))
+        before, kept = size(), settled(rows)
+        return size() - before, kept  # kept until it was measured
+
+    assert written(settle_packed)[0] * 3 < written(settle)[0] * 2
