@@ -131,3 +131,57 @@ def test_packed_rows_keep_their_order_and_take_less_disk(spark):
         return size() - before, kept  # kept until it was measured
 
     assert written(settle_packed)[0] * 3 < written(settle)[0] * 2
+
+
+def test_short_products_lose_no_near_tie():
+    """Cosines that differ by less than a short float tells apart are ranked by their long ones."""
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=48)
+    rows = np.concatenate([
+        centre + rng.normal(size=(3000, 48)) * 1e-5, rng.normal(size=(3000, 48)), np.repeat(centre[None], 2000, axis=0)])
+    rows = rows[rng.permutation(len(rows))]
+    ids = [f"c{i:05d}" for i in range(len(rows))]
+    asked = np.concatenate([centre + rng.normal(size=(40, 48)) * 1e-3, rng.normal(size=(40, 48))])
+    cell = np.arange(len(rows)) % 3
+    own = np.array([[i % 3, (i + 1) % 3] for i in range(80)])
+    part = pa.table({
+        "chunk_id": ids, "category": pa.nulls(len(ids), pa.string()),
+        "embedding": pa.array(rows.tolist(), pa.list_(pa.float64())), "cell": pa.array(cell, pa.int32())})
+    queries = pa.table({
+        "query_id": np.arange(80), "category": pa.nulls(80, pa.string()),
+        "embedding": pa.array(asked.tolist(), pa.list_(pa.float64())), "cells": pa.array(own.tolist(), pa.list_(pa.int32()))})
+    found = knn.scorer(10)(queries, [part.slice(i, 1500) for i in range(0, len(ids), 1500)])
+    got = {i: [] for i in range(80)}
+    for r in sorted(found.to_pylist(), key=lambda r: (-r["cosine"], r["chunk_id"])):
+        got[r["query_id"]].append((r["chunk_id"], r["cosine"]))
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosine = np.round(np.einsum("ij,kj->ik", unit(asked), unit(rows)), 12)
+    for i in range(80):
+        inside = np.nonzero(np.isin(cell, own[i]))[0]
+        best = sorted(inside, key=lambda c: (-cosine[i, c], ids[c]))[:10]
+        assert np.allclose([c for _, c in got[i]], cosine[i, best], rtol=0, atol=2e-12)
+        clear = [ids[c] for c in best if cosine[i, c] > cosine[i, best[-1]] + 1e-11]
+        assert set(clear) <= {c for c, _ in got[i]}
+
+
+def test_a_small_scan_leaves_few_rows_per_query(spark, monkeypatch):
+    store, queries = _made(spark, 240, 12)
+    cells, path = ivf.fit(store, 4), fresh_path(spark, "cells")
+    ivf.write(store, cells, path)
+    monkeypatch.setattr(ivf, "CORE_TASKS", 1)
+    scans, scan = [], knn.broadcast_topk
+
+    def watched(batch, own, k):
+        scans.append(own.rdd.getNumPartitions())
+        return scan(batch, own, k)
+
+    monkeypatch.setattr(knn, "broadcast_topk", watched)
+    limit = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(limit)
+    spark.conf.set(limit, "1k")  # many partitions
+    try:
+        table = ivf.read(spark, path)
+        assert ivf.ivf_topk(queries, table, cells, 5, 4).count() > 0
+        assert table.rdd.getNumPartitions() > scans[0] == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(limit, was)
