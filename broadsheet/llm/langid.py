@@ -314,6 +314,8 @@ def reject(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
     if not len(model.words) and not len(model.grams):
         return docs.filter(F.col("text").cast("string").rlike(r"\p{L}"))
     into = free_names(docs, "lang_pred", "score")
-    found = identify(docs, model, docs.columns, into)
+    places = free_names(docs, *map(str, range(len(docs.columns))))  # two columns may share a name
+    at = [c.lower() for c in docs.columns].index("text")
+    found = identify(docs.toDF(*places).withColumn("text", F.col(places[at])), model, places, into)
     sure = (F.col(into[0]) != UNDETERMINED) & (F.col(into[1]) >= least)
-    return found.filter(sure).select(*map(quoted, docs.columns))
+    return found.filter(sure).select(*places).toDF(*docs.columns)
